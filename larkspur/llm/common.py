@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def byte_batches(
     """Cuts Arrow batches into runs of rows whose text column holds about max_bytes."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         for i, n in enumerate(sizes):
             if held and held + n > max_bytes:
                 yield batch.slice(start, i - start)

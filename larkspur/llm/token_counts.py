@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.common import byte_batches, table
@@ -74,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.compute.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()),
+                pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()),
                 pa.array(counts, pa.int64()),
                 pa.array([n > limit for n in counts], pa.bool_()),
             ],
