@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table
-from larkspur.llm.tokenizing import END_ID, encode_ids, public_path
+from larkspur.llm.tokenizing import END_ID, encode_raw, public_path
 
 CAPACITY = 1024
 BATCH_BYTES = 1 << 20
 
+END = np.array([END_ID], "<u4").tobytes()
+
 #: (multiplicity, lengths in the order of their places)
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -94,14 +96,14 @@ def slots(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     for batch in byte_batches(batches, BATCH_BYTES, 1):
         docs, piece, start, length, crc = [], [], [], [], []
-        for d, ids in zip(
-            batch.column(0).to_pylist(), encode_ids(path, [t or "" for t in batch.column(1).to_pylist()]), strict=True
+        for d, own in zip(
+            batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()]), strict=True
         ):
-            ids.append(END_ID)
-            raw = memoryview(np.array(ids, "<u4")).cast("B")
-            first = len(ids) % capacity or capacity
+            raw = memoryview(own + END)
+            total = len(raw) // 4
+            first = total % capacity or capacity
             at, k = 0, 0
-            while at < len(ids):
+            while at < total:
                 n = first if k == 0 else capacity
                 docs.append(d)
                 piece.append(k)

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table
-from larkspur.llm.tokenizing import END_ID, encode_ids, public_path
+from larkspur.llm.tokenizing import END_ID, encode_raw, public_path
 
 #: Ids in one ORC row. Longer documents take several rows, so that stripes and read batches stay bounded.
 ROW_IDS = 4096
 BATCH_BYTES = 1 << 20
+END = np.array([END_ID], "<u4").tobytes()
 STRIPE_BYTES = 64 << 20
 #: Rows between two entries of the row index.
 INDEX_STRIDE = 1000
@@ -27,15 +28,15 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in byte_batches(batches, BATCH_BYTES, 1):
         owner, docs, parts, ids, ends = [], [], [], [], [0]
         for d, own in zip(
-            batch.column(0).to_pylist(), encode_ids(path, [t or "" for t in batch.column(1).to_pylist()]), strict=True
+            batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()]), strict=True
         ):
-            own.append(END_ID)
+            own = np.frombuffer(own + END, "<i4")
             for part, at in enumerate(range(0, len(own), ROW_IDS)):
                 docs.append(d)
                 owner.append(row)
                 parts.append(part)
                 ends.append(ends[-1] + min(ROW_IDS, len(own) - at))
-            ids.append(np.array(own, np.int32))
+            ids.append(own)
             row += 1
         values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
         yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+
+import numpy as np
+import regex
 
 #: Token appended to each document by the binary writer and the packer.
 END_ID = 2
@@ -32,6 +36,83 @@ def encode_ids(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in hf_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+class WordMemo:
+    """Byte-level BPE by words: each distinct word is encoded by the library once and then remembered.
+
+    Merges never reach across the words of the pre-tokenizer, so ids of a text are those of its words in a
+    row. A text goes whole to the library if it holds a special token or a character at which the words
+    found here and the library's own have not been seen to agree (all of the basic plane is compared at
+    the start), and so does every text if the tokenizer isn't plain byte-level BPE.
+    """
+
+    WORDS = regex.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+        r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+    )
+    #: Remembered words; all are forgotten beyond this number.
+    LIMIT = 1_000_000
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        self.tokenizer = hf_tokenizer(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
+        self.plain = (
+            spec["model"]["type"] == "BPE"
+            and spec["normalizer"] is None
+            and spec["truncation"] is None
+            and spec["padding"] is None
+            and pre.get("type") == "ByteLevel"
+            and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space", True)
+        )
+        odd = self._odd_characters() if self.plain else ""
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.unsafe = re.compile("|".join([f"[{odd}\U00010000-\U0010ffff]", *special]))
+        self.memo: dict[str, bytes] = {}
+
+    def _odd_characters(self) -> str:
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        odd = []
+        for code in [*range(0x80), *range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+            c = chr(code)
+            probe = f"a{c}a 1{c}1 !{c}! {c}{c}a"
+            if [span for _, span in cut(probe)] != [m.span() for m in self.WORDS.finditer(probe)]:
+                odd.append(re.escape(c))
+        return "".join(odd)
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        fast = [self.plain and not self.unsafe.search(t) for t in texts]
+        words = [self.WORDS.findall(t) if f else [] for t, f in zip(texts, fast, strict=True)]
+        memo = self.memo
+        if len(memo) > self.LIMIT:
+            memo.clear()
+        new = list({w for own in words for w in own if w not in memo})
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
+        whole = [t for t, f in zip(texts, fast, strict=True) if not f]
+        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        return [
+            b"".join(map(memo.__getitem__, own)) if f else np.array(next(rest).ids, "<u4").tobytes()
+            for own, f in zip(words, fast, strict=True)
+        ]
+
+
+@functools.lru_cache(maxsize=4)
+def word_memo(path: str) -> WordMemo:
+    return WordMemo(path)
+
+
+def encode_raw(path: str, texts: list[str]) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers."""
+    if path.endswith(".json"):
+        return word_memo(path).raw(texts)
+    return [np.array(ids, "<u4").tobytes() for ids in encode_ids(path, texts)]
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
