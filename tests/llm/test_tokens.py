@@ -119,7 +119,7 @@ def test_plan_is_near_the_bound_and_whole():
                 held[x] += n
         assert (held == counts).all()
         bound = max(-(-int((counts * np.arange(1025)).sum()) // 1024), int(counts[513:].sum()))
-        assert sum(n for n, _ in plan) <= bound * 1.04 + 1
+        assert sum(n for n, _ in plan) <= bound * 1.06 + 1
 
 
 def test_words_give_the_library_s_ids():
