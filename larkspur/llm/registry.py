@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from larkspur.llm import sharding
+from larkspur.llm.decontamination import op8_suffix_decontamination
 from larkspur.llm.packing import op6_best_fit_packing
+from larkspur.llm.sharding import op7_stratified_shards
 from larkspur.llm.token_counts import op3_token_counts
 from larkspur.llm.token_files import op5_token_orc
+from larkspur.llm.toxicity import op10_toxicity
 
 
 def queries():
@@ -12,8 +16,11 @@ def queries():
         "op3_token_counts": op3_token_counts,
         "op5_token_orc": op5_token_orc,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_stratified_shards": op7_stratified_shards,
+        "op8_suffix_decontamination": op8_suffix_decontamination,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op7_stratified_shards": sharding.ORACLE_SQL}
