@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.llm import sharding
+from larkspur.llm import chat, sharding
+from larkspur.llm.chat import op2_chat_format
 from larkspur.llm.decontamination import op8_suffix_decontamination
+from larkspur.llm.nearest import op9_anisotropic_neighbours
 from larkspur.llm.packing import op6_best_fit_packing
 from larkspur.llm.sharding import op7_stratified_shards
 from larkspur.llm.token_counts import op3_token_counts
@@ -13,14 +15,16 @@ from larkspur.llm.toxicity import op10_toxicity
 
 def queries():
     return {
+        "op2_chat_format": op2_chat_format,
         "op3_token_counts": op3_token_counts,
         "op5_token_orc": op5_token_orc,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_stratified_shards": op7_stratified_shards,
         "op8_suffix_decontamination": op8_suffix_decontamination,
+        "op9_anisotropic_neighbours": op9_anisotropic_neighbours,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql():
-    return {"op7_stratified_shards": sharding.ORACLE_SQL}
+    return {"op2_chat_format": chat.ORACLE_SQL, "op7_stratified_shards": sharding.ORACLE_SQL}
