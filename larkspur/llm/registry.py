@@ -7,6 +7,7 @@ from larkspur.llm.chat import op2_chat_format
 from larkspur.llm.decontamination import op8_suffix_decontamination
 from larkspur.llm.nearest import op9_anisotropic_neighbours
 from larkspur.llm.packing import op6_best_fit_packing
+from larkspur.llm.pii import op4_skip_chain_pii
 from larkspur.llm.sharding import op7_stratified_shards
 from larkspur.llm.token_counts import op3_token_counts
 from larkspur.llm.token_files import op5_token_orc
@@ -17,6 +18,7 @@ def queries():
     return {
         "op2_chat_format": op2_chat_format,
         "op3_token_counts": op3_token_counts,
+        "op4_skip_chain_pii": op4_skip_chain_pii,
         "op5_token_orc": op5_token_orc,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_stratified_shards": op7_stratified_shards,
