@@ -6,6 +6,7 @@ from larkspur.llm import chat, sharding
 from larkspur.llm.chat import op2_chat_format
 from larkspur.llm.decontamination import op8_suffix_decontamination
 from larkspur.llm.nearest import op9_anisotropic_neighbours
+from larkspur.llm.ngram_join import op1_ngram_jaccard
 from larkspur.llm.packing import op6_best_fit_packing
 from larkspur.llm.pii import op4_skip_chain_pii
 from larkspur.llm.sharding import op7_stratified_shards
@@ -16,6 +17,7 @@ from larkspur.llm.toxicity import op10_toxicity
 
 def queries():
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_chat_format": op2_chat_format,
         "op3_token_counts": op3_token_counts,
         "op4_skip_chain_pii": op4_skip_chain_pii,
