@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, table
+from larkspur.llm.common import Scratch, bounded_broadcast, table
 
 WINDOW = 10
 #: Training text in one suffix array.
 SHARD_BYTES = 8 << 20
 #: Benchmark text searched in one pass over the documents. A larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
+#: Leaking rows whose ids may be broadcast; beyond it, a shuffle join does the same.
+BROADCAST_ROWS = 1_000_000
 
 #: ASCII bytes that aren't letters or digits part words; A-Z become a-z.
 _FOLD = bytes(
@@ -256,6 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     bad = leaks(docs, benchmark, window).where(F.size("hits") > 0)
     bad = bad.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
+    bad = bounded_broadcast(Scratch(docs.sparkSession, "leaked").keep(bad, "rows"), BROADCAST_ROWS)
     same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_text"))
     return docs.join(bad, same, "left_anti")
 

@@ -559,5 +559,24 @@ def ngram_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 1
     return Join(docs, Rule(n, *similarity)).run()
 
 
+def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs with one row of each group of linked texts, that of the smallest id; columns stay as they are.
+
+    Rows without shingles, linked with nothing, all stay. Of rows that are equal in id and text one stays.
+    Rows of one id with different texts count as one document: they stay or go together.
+    """
+    join = Join(docs, Rule(n, *similarity))
+    found = join.run()
+    gone = join.scratch.keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    left = docs.join(bounded_broadcast(gone, BROADCAST_ROWS), "doc_id", "left_anti")
+    twice = join.profile.where("node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
+    twice = join.scratch.keep(twice.select("doc_id").distinct(), "twice")
+    if twice.limit(1).count():
+        twice = bounded_broadcast(twice, BROADCAST_ROWS)
+        one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(twice, "doc_id", "left_anti").unionByName(one)
+    return left.select(*docs.columns)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
