@@ -169,7 +169,8 @@ def _shard(docs: list[list[bytes]], test: Suffixes | None) -> list[pa.Array]:
         order = np.argsort(doc, kind="stable")
         window, place, length, doc = window[order], place[order], length[order], doc[order]
         hit, starts = np.unique(doc, return_index=True)
-        for d, a, b in zip(hit.tolist(), starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
+        bounds = [*starts.tolist(), len(doc)]
+        for d, a, b in zip(hit.tolist(), bounds[:-1], bounds[1:], strict=True):
             w, p, n = window[a:b], place[a:b] - first[d], length[a:b]
             cover = np.zeros(n_words[d] + 1, np.int64)
             np.add.at(cover, p, 1)
