@@ -75,21 +75,17 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = N
 
 
 @functools.lru_cache(maxsize=64)
-def _zeros_operator(n_bytes: int) -> tuple[int, ...]:
-    """The linear map (32 columns) that n_bytes zero bytes apply to a CRC-32 register."""
-    if n_bytes == 1:
-        out = []
-        for bit in range(32):
-            v = 1 << bit
-            for _ in range(8):
-                v = (v >> 1) ^ (0xEDB88320 if v & 1 else 0)
-            out.append(v)
-        return tuple(out)
-    half = _zeros_operator(n_bytes // 2)
-    out = [_apply(half, x) for x in half]
-    if n_bytes % 2:
-        one = _zeros_operator(1)
-        out = [_apply(one, x) for x in out]
+def _zeros_operator(power: int) -> tuple[int, ...]:
+    """The linear map (32 columns) that 2 ** power zero bytes apply to a CRC-32 register."""
+    if power:
+        half = _zeros_operator(power - 1)
+        return tuple(_apply(half, x) for x in half)
+    out = []
+    for bit in range(32):
+        v = 1 << bit
+        for _ in range(8):
+            v = (v >> 1) ^ (0xEDB88320 if v & 1 else 0)
+        out.append(v)
     return tuple(out)
 
 
@@ -105,7 +101,10 @@ def _apply(op: tuple[int, ...], v: int) -> int:
 
 def crc32_join(first: int, second: int, second_bytes: int) -> int:
     """CRC-32 of two byte strings in a row, from theirs and the second one's length."""
-    return _apply(_zeros_operator(second_bytes), first) ^ second if second_bytes else first
+    for power in range(second_bytes.bit_length()):
+        if second_bytes >> power & 1:
+            first = _apply(_zeros_operator(power), first)
+    return first ^ second
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +127,8 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for parts in batch.column(batch.schema.get_field_index("parts")).to_pylist():
-            crc = 0
-            for p in parts:
+            crc = parts[0]["crc"]
+            for p in parts[1:]:
                 crc = crc32_join(crc, p["crc"], 4 * p["n"])
             out.append(crc)
         yield pa.RecordBatch.from_arrays(
