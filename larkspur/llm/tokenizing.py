@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
+import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -36,6 +39,39 @@ def encode_ids(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in hf_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _class(member: Callable[[str], bool]) -> str:
+    """The characters of the basic plane that are members, as ranges of a regular expression's class."""
+    inside = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and member(chr(c))]
+    starts = [c for c, before in zip(inside, [-2, *inside], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(inside, [*inside[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
+
+
+def _word_pattern() -> re.Pattern[str]:
+    """The byte-level pre-tokenizer's words, for the basic plane; explicit classes make it twice as fast."""
+    blank = regex.compile(r"\p{White_Space}")
+    letter = _class(lambda c: unicodedata.category(c)[0] == "L")
+    number = _class(lambda c: unicodedata.category(c)[0] == "N")
+    space = _class(lambda c: blank.match(c) is not None)
+    return re.compile(
+        f"'(?:[stmd]|re|ve|ll)| ?[{letter}]++| ?[{number}]++| ?[^{space}{letter}{number}]++"
+        f"|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
+class _Memo(dict):
+    """word -> its ids' bytes, encoded when first asked for."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.encode = tokenizer.encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word, add_special_tokens=False).ids
+        self[word] = raw = struct.pack(f"<{len(ids)}I", *ids)
+        return raw
+
+
 class WordMemo:
     """Byte-level BPE by words: each distinct word is encoded by the library once and then remembered.
 
@@ -45,10 +81,6 @@ class WordMemo:
     the start), and so does every text if the tokenizer isn't plain byte-level BPE.
     """
 
-    WORDS = regex.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-        r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-    )
     #: Remembered words; all are forgotten beyond this number.
     LIMIT = 1_000_000
 
@@ -59,6 +91,7 @@ class WordMemo:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
+        self.words = _word_pattern()
         self.plain = (
             spec["model"]["type"] == "BPE"
             and spec["normalizer"] is None
@@ -69,9 +102,9 @@ class WordMemo:
             and not pre.get("add_prefix_space", True)
         )
         odd = self._odd_characters() if self.plain else ""
-        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.unsafe = re.compile("|".join([f"[{odd}\U00010000-\U0010ffff]", *special]))
-        self.memo: dict[str, bytes] = {}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.odd = re.compile(f"[{odd}\U00010000-\U0010ffff]")
+        self.memo = _Memo(self.tokenizer)
 
     def _odd_characters(self) -> str:
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -79,25 +112,24 @@ class WordMemo:
         for code in [*range(0x80), *range(0x80, 0xD800), *range(0xE000, 0x10000)]:
             c = chr(code)
             probe = f"a{c}a 1{c}1 !{c}! {c}{c}a"
-            if [span for _, span in cut(probe)] != [m.span() for m in self.WORDS.finditer(probe)]:
+            if [span for _, span in cut(probe)] != [m.span() for m in self.words.finditer(probe)]:
                 odd.append(re.escape(c))
         return "".join(odd)
 
+    def _safe(self, text: str) -> bool:
+        return not any(s in text for s in self.special) and (text.isascii() or not self.odd.search(text))
+
     def raw(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        fast = [self.plain and not self.unsafe.search(t) for t in texts]
-        words = [self.WORDS.findall(t) if f else [] for t, f in zip(texts, fast, strict=True)]
-        memo = self.memo
-        if len(memo) > self.LIMIT:
-            memo.clear()
-        new = list({w for own in words for w in own if w not in memo})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.memo) > self.LIMIT:
+            self.memo.clear()
+        ids_of, words = self.memo.__getitem__, self.words.findall
+        fast = [self.plain and self._safe(t) for t in texts]
         whole = [t for t, f in zip(texts, fast, strict=True) if not f]
         rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
         return [
-            b"".join(map(memo.__getitem__, own)) if f else np.array(next(rest).ids, "<u4").tobytes()
-            for own, f in zip(words, fast, strict=True)
+            b"".join(map(ids_of, words(t))) if f else np.array(next(rest).ids, "<u4").tobytes()
+            for t, f in zip(texts, fast, strict=True)
         ]
 
 
