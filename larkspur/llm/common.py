@@ -65,6 +65,18 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def smallest_hashes(df: DataFrame, key: str, salt: int, limit: int) -> DataFrame:
+    """At most `limit` rows, those with the smallest hashes of their key: a sample that doesn't depend on order.
+
+    Rows whose hash can't be among them by a wide margin are left out first, so what a task hands on for
+    the final order doesn't grow with the number of tasks.
+    """
+    h, n = F.xxhash64(key, F.lit(salt)), df.count()
+    if n > 4 * limit:
+        df = df.where(h < int(-(2**63) + 2**64 * (4 * limit / n)))
+    return df.orderBy(h, key).limit(limit)
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import table
+from larkspur.llm.common import smallest_hashes, table
 
 TOP = 20
 #: Codewords of a subspace: four bits.
@@ -208,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == lengths["d"])
     asked = usable(queries).where(F.size("embedding") == lengths["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_TRAIN).select("embedding").collect()
+    sample = smallest_hashes(rows, "vec_id", 9, MAX_TRAIN).select("embedding").collect()
     quantiser = train(np.array([r[0] for r in sample], np.float64))
     found = None
     block_ids: list[int] = []

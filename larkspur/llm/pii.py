@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import table
+from larkspur.llm.common import smallest_hashes, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of a token: none, or one of KINDS.
@@ -287,9 +287,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame) -> Field:
     """Weights from the base spans of at most MAX_DOCS documents; everything collected is bounded by that."""
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id")
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame(ids.limit(MAX_DOCS).collect(), ids.schema).distinct()
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
+    chosen = docs.sparkSession.createDataFrame(smallest_hashes(ids, "doc_id", 4, MAX_DOCS).collect(), ids.schema).distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
     chains = []
     packed = rows.mapInArrow(_pack, "features binary, labels binary, chain binary, skip binary")

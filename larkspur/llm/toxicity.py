@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import table
+from larkspur.llm.common import smallest_hashes, table
 
 #: Orders of the character n-grams.
 ORDERS = (3, 4, 5)
@@ -122,10 +122,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id", F.lit(10))
     chosen = known.limit(0)
     for value in (0, 1):
-        chosen = chosen.union(known.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(MAX_ROWS[value]))
+        chosen = chosen.union(smallest_hashes(known.where(F.col("toxic") == value), "doc_id", 10, MAX_ROWS[value]))
     picked = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most sum(MAX_ROWS) ids
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
