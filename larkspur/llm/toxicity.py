@@ -21,6 +21,8 @@ MAX_ROWS = (4000, 2000)
 #: Texts are hashed in overlapping stretches of this many characters.
 CHUNK = 1 << 20
 FOLDS = 5
+#: Fitted rows that are held as numbers at a time.
+BLOCK = 256
 EPOCHS = 40
 SMOOTHING = 1.0
 L2 = 2e-3
@@ -68,30 +70,39 @@ def fit(rows: list[tuple[str | None, int]], prior: float) -> Model:
     y = np.array([r[1] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 30.0 if len(rows) and y[0] == 1 else -30.0)
-    index = [features(r[0]) for r in rows]
+    index = [features(r[0]).astype(np.int32) for r in rows]
     ends = np.cumsum([0, *map(len, index)])
-    columns = np.concatenate(index).astype(np.int32)
+    columns = np.concatenate(index)
     del index
-    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(ends))
-    pos = SMOOTHING + np.bincount(columns[y[row_of] == 1], minlength=1 << BITS)
-    neg = SMOOTHING + np.bincount(columns[y[row_of] == 0], minlength=1 << BITS)
+    size = 1 << BITS
+    cuts = np.append(np.arange(0, len(rows), BLOCK), len(rows)).tolist()
+    blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
+    pos, neg = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
+    for a, b in blocks:
+        label = np.repeat(y[a:b], np.diff(ends[a : b + 1]))
+        pos += np.bincount(columns[ends[a] : ends[b]], label, minlength=size)
+        neg += np.bincount(columns[ends[a] : ends[b]], 1 - label, minlength=size)
     ratio = np.log((pos / (y.sum() + 2 * SMOOTHING)) / (neg / ((1 - y).sum() + 2 * SMOOTHING)))
-    values = ratio[columns].astype(np.float32)
-    w, b = np.full(1 << BITS, 0.1), 0.0
-    m, v = np.zeros(w.size + 1), np.zeros(w.size + 1)
+    w, b0 = np.full(size, 0.1), 0.0
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     row_weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    for t in range(1, EPOCHS + 1):  # full-batch Adam: the same result however the rows are ordered
-        z = np.add.reduceat(np.append(w[columns] * values, 0.0), np.minimum(ends[:-1], len(columns)))
-        z[np.diff(ends) == 0] = 0
-        g_row = (1 / (1 + np.exp(-np.clip(z + b, -60, 60))) - y) * row_weight
-        g = np.append(np.bincount(columns, g_row[row_of] * values, minlength=1 << BITS) + L2 * w, g_row.sum())
+    for t in range(1, EPOCHS + 1):  # full-batch Adam: the same result however the rows are dealt to tasks
+        g, g_bias, scaled = np.zeros(size), 0.0, w * ratio
+        for a, b in blocks:  # so that only a block's n-grams have numbers beside their places
+            own, lengths = columns[ends[a] : ends[b]], np.diff(ends[a : b + 1])
+            sums = np.append(0.0, np.cumsum(scaled[own]))
+            z = sums[ends[a + 1 : b + 1] - ends[a]] - sums[ends[a:b] - ends[a]]
+            g_row = (1 / (1 + np.exp(-np.clip(z + b0, -60, 60))) - y[a:b]) * row_weight[a:b]
+            g += np.bincount(own, np.repeat(g_row, lengths), minlength=size)
+            g_bias += g_row.sum()
+        g = np.append(g * ratio + L2 * w, g_bias)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
-        b -= step[-1]
+        b0 -= step[-1]
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    return Model((w * ratio).astype(np.float32), b + float(np.log(prior / (1 - prior))))
+    return Model((w * ratio).astype(np.float32), b0 + float(np.log(prior / (1 - prior))))
 
 
 def held_out(doc_id: Column) -> Column:
