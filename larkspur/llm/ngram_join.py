@@ -39,9 +39,10 @@ from larkspur.llm.common import (
     texts_of,
 )
 from larkspur.llm.components import components
+from larkspur.llm.tokenizing import release_words
 
 #: Signatures gathered in a task before they are sorted and dealt out.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Ids and signatures that may be broadcast (8 bytes each); beyond it, a shuffle join does the same.
 BROADCAST_ROWS = 1_000_000
 #: Longest stretch of a text that is split into words at once.
@@ -214,6 +215,7 @@ def neighbourhoods(own: np.ndarray, rule: Rule, allocation: Allocation) -> tuple
 
 
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    release_words()
     words = WordHashes()
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
@@ -444,7 +446,8 @@ class Join:
 
     def candidates(self) -> DataFrame:
         rule, clashes = self.rule, self.clashes
-        bits = max(1, (4 * shuffle_partitions(self.spark) - 1).bit_length(), int(self.total / FLUSH).bit_length())
+        # blocks of about this many shingles' signatures
+        bits = max(1, (4 * shuffle_partitions(self.spark) - 1).bit_length(), int(self.total / 1_500_000).bit_length())
         bits = min(bits, 16)
         blocks = self.docs.mapInArrow(lambda b: _deal(b, rule, bits, clashes), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")

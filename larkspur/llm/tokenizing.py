@@ -138,6 +138,11 @@ def word_memo(path: str) -> WordMemo:
     return WordMemo(path)
 
 
+def release_words() -> None:
+    """Forgets remembered words: Python workers go from operator to operator, and others need the memory."""
+    word_memo.cache_clear()
+
+
 def encode_raw(path: str, texts: list[str]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
     if path.endswith(".json"):
