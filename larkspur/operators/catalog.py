@@ -45,7 +45,8 @@ def conditions(
     return reduce(lambda a, b: a & b, found, F.lit(True))
 
 
-ORDER = (F.col("set_code").asc(), F.col("card_number").asc(), F.col("variant").asc_nulls_last(), F.col("id").asc())
+def total_order() -> tuple[Column, ...]:
+    return F.col("set_code").asc(), F.col("card_number").asc(), F.col("variant").asc_nulls_last(), F.col("id").asc()
 
 
 def search(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters: str | None) -> DataFrame:
@@ -60,7 +61,7 @@ def search(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filte
         raise ValueError(f"offset must be from 0 to {MAX_OFFSET}")
     matches = rows.where(conditions(**filters))
     total = matches.agg(F.count("*").alias("total"))  # one row
-    return matches.orderBy(*ORDER).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    return matches.orderBy(*total_order()).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
 def detail(cards: DataFrame, external_ids: DataFrame) -> DataFrame:
