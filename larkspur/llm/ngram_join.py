@@ -10,9 +10,13 @@ their non-empty parts alone. The few whose sum does not ("poor" sets) also index
 too, among themselves. Sets take part in their own band's scheme and in the one below.
 
 All segments start at v = 0. What is in a bucket is tied together by candidates that form a tree, which are
-verified exactly; buckets that verified links don't join into one component are looked at again, pair by
-pair. Where that would cost more than indexing one-deletion neighbourhoods, the costliest segments go to
-v = -1 and the cheapest ones of the scheme to v = 1.
+verified exactly. Ties that aren't links, between different components, leave those components open. The
+cost of an open tie is set against that of one-deletion neighbourhoods: where these are cheaper, the
+costliest segments go to v = -1 and the cheapest ones of the scheme to v = 1. The components that the ties
+of the final allocation join are one group, and a group is compared with itself by differences: each set
+stands as what sets it apart from the group's pivot, a set near most of the others. Of two linked sets that
+aren't both in the pivot's component, the differences d and e share at least (d + e - H) / 2 >= 1 elements,
+so an index of their rarest elements with a bound on positions finds every such pair.
 """
 
 from __future__ import annotations
@@ -334,54 +338,50 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozens
     """(node, its set) of rows (doc_id, text, node) whose text is that node's."""
     for part, sets in _sets(batches, rule):
         rows = [
-            (node, own.tobytes())
+            (node, own)
             for node, own in zip(part.column(2).to_pylist(), sets, strict=True)
             if len(own) and _node(own, clashes) == node
         ]
+        values = np.concatenate([np.zeros(0, np.uint64), *(r[1] for r in rows)]).view(np.int64)
+        ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "own"]
+            [pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+            names=["node", "own"],
         )
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _cell(k: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """One number for a segment of a scheme; 0 in the low half stands for the sets that are poor."""
+    return (k.astype(np.int64) << 32) + segment.astype(np.int64) + 1
+
+
+def _shared(x: np.ndarray, y: np.ndarray, rule: Rule) -> np.ndarray:
+    """The segments in which two sets meet."""
+    (sig, k, segment), (other, _, _) = signatures(x, rule), signatures(y, rule)
+    _, at, _ = np.intersect1d(sig, other, return_indices=True)
+    return _cell(k[at], segment[at])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of pairs of sets; of those that aren't linked, the signatures they share."""
+    """Exact comparison of pairs of sets; of those that aren't linked, the segments in which they meet."""
     for batch in batches:
         linked, shared = [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True):
             small, large = (x, y) if len(x) <= len(y) else (y, x)
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             linked.append(rule.linked(int((large[at] == small).sum()), len(x) + len(y)))
-            shared.append(
-                None
-                if linked[-1]
-                else np.intersect1d(signatures(x, rule)[0], signatures(y, rule)[0]).view(np.int64)
-            )
+            shared.append(None if linked[-1] else _shared(x, y, rule))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.list_(pa.int64()))],
             names=["a", "b", "linked", "shared"],
         )
 
 
-def _members(
-    batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int], wanted: np.ndarray | None
-) -> Iterator[pa.RecordBatch]:
-    """(sig, k, segment, node) of the index, of the wanted signatures alone if these are given."""
-    for _, sets in _sets(batches, rule):
-        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
-        for own in sets:
-            if len(own):
-                sig, k, segment = signatures(own, rule)
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, sig.view(np.int64)), len(wanted) - 1)
-                    keep = wanted[at] == sig.view(np.int64)
-                    sig, k, segment = sig[keep], k[keep], segment[keep]
-                if len(sig):
-                    found.append([sig.view(np.int64), k, segment, np.full(len(sig), _node(own, clashes))])
-        columns = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "k", "segment", "node"])
-
-
 def _deep_members(
     batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int], allocation: Allocation
 ) -> Iterator[pa.RecordBatch]:
@@ -404,8 +404,8 @@ def _deep_members(
 def allocate(costs: dict[int, dict[int, float]], prices: dict[int, float], segments: dict[int, int]) -> Allocation:
     """Exchanges in each scheme: the costliest segment goes to -1 and the cheapest to 1 while that saves work.
 
-    costs: pairs that the equal-parts index of a segment leaves to compare; prices: signatures that the
-    one-deletion neighbourhoods of one segment take.
+    costs: elements of differences to index for what a segment's equal parts leave open; prices: signatures
+    that the one-deletion neighbourhoods of one segment take.
     """
     skipped, deep = {}, {}
     for k, own in costs.items():
@@ -454,92 +454,154 @@ class Join:
         pairs = dealt.mapInArrow(_meet, "a long, b long")
         return self.scratch.keep(pairs.where("a <> b").distinct(), "candidates")
 
-    def verified(self, pairs: DataFrame, label: str) -> DataFrame:
-        """(a, b, linked, shared) of candidate pairs."""
+    def sets(self, nodes: DataFrame, label: str) -> DataFrame:
+        """(node, own) of the nodes, read from the first text of each."""
         rule, clashes = self.rule, self.clashes
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = nodes.join(self.classes, "node").select(F.col("first").alias("doc_id"), "node")
         wanted = self.scratch.keep(wanted, f"{label}-wanted")
         texts = self.docs.join(bounded_broadcast(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "node")
-        sets = texts.mapInArrow(lambda b: _wanted_sets(b, rule, clashes), "node long, own binary")
-        sets = self.scratch.keep(sets.groupBy("node").agg(F.first("own").alias("own")), f"{label}-sets")
+        sets = texts.mapInArrow(lambda b: _wanted_sets(b, rule, clashes), "node long, own array<long>")
+        return self.scratch.keep(sets.groupBy("node").agg(F.first("own").alias("own")), f"{label}-sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+        """(a, b, linked, shared) of candidate pairs."""
+        rule = self.rule
         with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
         with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
         out = with_b.select("a", "b", "own_a", "own_b").mapInArrow(
             lambda b: _verify(b, rule), "a long, b long, linked boolean, shared array<long>"
         )
-        kept = self.scratch.keep(out, f"{label}-verified")
-        self.scratch.drop(f"{label}-sets")
-        return kept
-
-    def unresolved(self, done: DataFrame, parts: DataFrame) -> DataFrame | None:
-        """Further pairs to compare: those that share a bucket which no component holds whole."""
-        rule, clashes, docs = self.rule, self.clashes, self.docs
-        of_a = parts.select(F.col("node").alias("a"), F.col("component").alias("part_a"))
-        of_b = parts.select(F.col("node").alias("b"), F.col("component").alias("part_b"))
-        open_ = (
-            done.where("not linked")
-            .join(of_a, "a", "left")
-            .join(of_b, "b", "left")
-            .where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-            .select(F.explode("shared").alias("sig"))
-            .distinct()
-        )
-        open_ = self.scratch.keep(open_, "open")
-        n = open_.count()
-        if not n:
-            return None
-        schema = "sig long, k long, segment long, node long"
-        if n <= BROADCAST_ROWS:
-            wanted = np.sort(np.array([r["sig"] for r in open_.toLocalIterator()], np.int64))
-            shared = self.spark.sparkContext.broadcast(wanted)
-            members = docs.mapInArrow(lambda b: _members(b, rule, clashes, shared.value), schema)
-        else:
-            members = docs.mapInArrow(lambda b: _members(b, rule, clashes, None), schema).join(open_, "sig", "left_semi")
-        members = members.distinct().join(parts, "node", "left")
-        members = members.withColumn("component", F.coalesce("component", "node"))
-        members = self.scratch.keep(members, "members")
-        by_part = members.groupBy("sig", "k", "segment", "component").agg(F.count("*").alias("n"))
-        left = by_part.groupBy("sig", "k", "segment").agg(
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-        )
-        costs: dict[int, dict[int, float]] = defaultdict(dict)
-        for r in left.where("segment >= 0").groupBy("k", "segment").agg(F.sum("pairs").alias("c")).collect():
-            costs[r["k"]][r["segment"]] = float(r["c"])  # a row per segment: bounded by the longest text
+        return self.scratch.keep(out, f"{label}-verified")
+
+    def allocation(self, open_: DataFrame) -> Allocation:
+        """What the open ties of each segment cost against one-deletion neighbourhoods."""
+        rule, costs = self.rule, defaultdict(dict)
+        cells = open_.select(F.explode("shared").alias("cell")).groupBy("cell").count()
+        for r in cells.collect():  # a row per segment: bounded by the longest text
+            k, segment = r["cell"] >> 32, (r["cell"] & 0xFFFFFFFF) - 1
+            if segment >= 0:
+                costs[k][segment] = 2.0 * scheme(rule, k)[1] * r["count"]
         prices = dict.fromkeys(costs, 0.0)
         for r in self.profile.where("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator():
             top = band_of(rule, r["n_shingles"])
             for k in {top, top - 1} & prices.keys():
                 prices[k] += r["count"] * (r["n_shingles"] / scheme(rule, k)[0] + 1)
-        allocation = allocate(costs, prices, {k: scheme(rule, k)[0] for k in costs})
-        unused = [(k, int(i)) for k, own in allocation.skipped.items() for i in own]
-        kept = members
-        if unused:
-            gone = self.spark.createDataFrame(unused, "k long, segment long")
-            kept = members.join(gone, ["k", "segment"], "left_anti")
-        x = kept.select("sig", F.col("node").alias("a"), F.col("component").alias("part_a"))
-        y = kept.select("sig", F.col("node").alias("b"), F.col("component").alias("part_b"))
-        pairs = x.join(y, "sig").where("part_a <> part_b and a < b").select("a", "b")
-        if unused:
-            deep = docs.mapInArrow(lambda b: _deep_members(b, rule, clashes, allocation), "sig long, kind long, node long")
-            deep = self.scratch.keep(deep.distinct().join(parts, "node", "left"), "deep")
-            deep = deep.withColumn("component", F.coalesce("component", "node"))
-            x = deep.where("kind <> 1").select("sig", F.col("kind").alias("kind_a"), F.col("node").alias("a"), F.col("component").alias("part_a"))
-            y = deep.select("sig", F.col("kind").alias("kind_b"), F.col("node").alias("b"), F.col("component").alias("part_b"))
-            met = x.join(y, "sig").where("part_a <> part_b and kind_a + kind_b in (1, 4)")
-            pairs = pairs.union(met.select(F.least("a", "b"), F.greatest("a", "b")))
+        return allocate(costs, prices, {k: scheme(rule, k)[0] for k in costs})
+
+    def deep_ties(self, allocation: Allocation) -> DataFrame:
+        """(a, b): trees over what meets by one deletion, or as sets that the allocation makes poor."""
+        rule, clashes = self.rule, self.clashes
+        deep = self.docs.mapInArrow(
+            lambda b: _deep_members(b, rule, clashes, allocation), "sig long, kind long, node long"
+        )
+        deep = self.scratch.keep(deep.distinct(), "deep")
+        heads = deep.groupBy("sig").agg(*(F.min(F.when(F.col("kind") == i, F.col("node"))).alias(f"head_{i}") for i in range(3)))
+        heads = heads.where("head_2 is not null or (head_0 is not null and head_1 is not null)")
+        head = F.when(F.col("kind") == 0, F.col("head_1")).when(F.col("kind") == 1, F.col("head_0")).otherwise(F.col("head_2"))
+        return deep.join(heads, "sig").select(F.col("node").alias("a"), head.alias("b")).where("a <> b").distinct()
+
+    def groups(self, done: DataFrame, parts: DataFrame) -> DataFrame | None:
+        """(node, part, wide): nodes of the components, or parts, that ties join to groups of several; None if none."""
+        of_a = parts.select(F.col("node").alias("a"), F.col("component").alias("part_a"))
+        of_b = parts.select(F.col("node").alias("b"), F.col("component").alias("part_b"))
+
+        def between(ties: DataFrame) -> DataFrame:
+            named = ties.join(of_a, "a", "left").join(of_b, "b", "left")
+            named = named.withColumn("a", F.coalesce("part_a", "a")).withColumn("b", F.coalesce("part_b", "b"))
+            return named.where("a <> b").drop("part_a", "part_b")
+
+        open_ = self.scratch.keep(between(done.where("not linked").select("a", "b", "shared")), "open")
+        if not open_.limit(1).count():
+            return None
+        allocation = self.allocation(open_)
+        skipped = [int(c) for k, i in allocation.skipped.items() for c in _cell(np.full(len(i), k), i)]
+        ties = open_.select("a", "b")
+        if skipped:
+            left = F.array_except("shared", F.array(*map(F.lit, skipped)))
+            ties = open_.where(F.size(left) > 0).select("a", "b").union(between(self.deep_ties(allocation)))
+        wide = components(ties, self.scratch, "wide").select(F.col("node").alias("part"), F.col("component").alias("wide"))
+        wide = wide.union(wide.select("wide", "wide").distinct())  # a component's smallest node isn't a row of it
+        tops = wide.select(F.col("part").alias("node"), "part", "wide")
+        rest = parts.select("node", F.col("component").alias("part")).join(wide, "part").select("node", "part", "wide")
+        return self.scratch.keep(tops.union(rest), "members")
+
+    def by_group(self, df: DataFrame, small: DataFrame, array: str) -> DataFrame:
+        """df joined with small, a row and an array to a group; broadcast if all arrays are small together."""
+        held = small.agg(F.sum(F.size(array) + 4).alias("n")).first()["n"] or 0
+        return df.join(F.broadcast(small) if held <= BROADCAST_ROWS else small, "wide")
+
+    def pivots(self, held: DataFrame) -> DataFrame:
+        """(wide, pivot, pivot_part, pivot_own): in each group the set next to what more than half of it holds."""
+        totals = held.groupBy("wide").agg(F.count("*").alias("total"))
+        counts = held.select("wide", F.explode("own").alias("e")).groupBy("wide", "e").agg(F.count("*").alias("n"))
+        most = counts.join(bounded_broadcast(totals, BROADCAST_ROWS), "wide").where("2 * n > total")
+        most = most.groupBy("wide").agg(F.collect_list("e").alias("most"))  # less than twice the mean set
+        most = totals.join(most, "wide", "left").select("wide", F.coalesce("most", F.array().cast("array<long>")).alias("most"))
+        most = self.scratch.keep(most, "most")
+        apart = F.size("own") + F.size("most") - 2 * F.size(F.array_intersect("own", "most"))
+        near = self.by_group(held, most, "most").select("wide", F.struct(apart.alias("d"), "node").alias("x"))
+        near = near.groupBy("wide").agg(F.min("x").alias("x")).select(F.col("x.node").alias("node"))
+        pivots = held.join(bounded_broadcast(near, BROADCAST_ROWS), "node")
+        pivots = pivots.select("wide", F.col("node").alias("pivot"), F.col("part").alias("pivot_part"), F.col("own").alias("pivot_own"))
+        return self.scratch.keep(pivots, "pivots")
+
+    def further(self, members: DataFrame, sets: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a, b) of links with the pivots, and of every other pair of parts still apart that may be linked.
+
+        With H the most that two sets of these sizes may differ in and d, e what they differ from the pivot
+        in, linked sets share at least (d + e - H) / 2 of that. Sets with d <= H are linked with the pivot.
+        A set of the pivot's part meets sets that aren't, so their e exceeds what the pivot allows by one
+        at least; H grows by no more than the set is larger than the pivot.
+        """
+        num, den = self.rule.num, self.rule.den
+        held = self.scratch.keep(members.join(sets, "node"), "held")
+        both = self.by_group(held, self.pivots(held), "pivot_own").where("node <> pivot")
+        apart = F.concat(F.array_except("own", "pivot_own"), F.array_except("pivot_own", "own"))
+        diffs = both.select(
+            "wide", "node", "part", "pivot", "pivot_part", F.size("own").cast("long").alias("s"),
+            F.size("pivot_own").cast("long").alias("p"), apart.alias("apart"),
+        ).withColumn("d", F.size("apart").cast("long"))
+        diffs = self.scratch.keep(diffs, "diffs")
+        direct = diffs.where(f"d <= ((s + p) * {den - num}) div {den + num}").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "part")
+        direct = self.scratch.keep(direct, "direct")
+        near = bounded_broadcast(direct.select("part", F.lit(True).alias("near")).distinct(), BROADCAST_ROWS)
+        diffs = diffs.join(near, "part", "left").withColumn("near", F.expr("near is not null or part = pivot_part"))
+        diffs = diffs.withColumn("part", F.expr("if(near, pivot_part, part)"))
+        most = F.expr(f"((s + s * {den} div {num}) * {den - num}) div {den + num}")
+        central = F.expr("if(near, (d + 2 - greatest(0, s - p)) div 2, 1)")
+        diffs = diffs.withColumn("least", F.greatest(F.lit(1), F.col("d") - most, central))
+        diffs = diffs.drop("near", "pivot", "pivot_part", "p")
+        rows = diffs.select("wide", "node", F.explode("apart").alias("e"))
+        often = rows.groupBy("wide", "e").agg(F.count("*").alias("n")).where("n > 1")
+        order = rows.join(often, ["wide", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("order"))
+        placed = diffs.drop("apart").join(order, "node")
+        placed = placed.select("*", F.posexplode("order").alias("i", "x"))
+        placed = placed.select("wide", F.col("x.e").alias("e"), "node", "part", "s", "d", "least", (F.col("d") - F.size("order") + F.col("i")).alias("at"))
+        placed = self.scratch.keep(placed.where("at <= d - least").drop("least"), "placed")
+        x = placed.select("wide", "e", *(F.col(c).alias(f"{c}_a") for c in ("node", "part", "s", "d", "at")))
+        y = placed.select("wide", "e", *(F.col(c).alias(f"{c}_b") for c in ("node", "part", "s", "d", "at")))
+        need = f"(d_a + d_b - ((s_a + s_b) * {den - num}) div {den + num} + 1) div 2"
+        met = x.join(y, ["wide", "e"]).where(
+            f"part_a <> part_b and node_a < node_b and least(d_a - at_a, d_b - at_b) >= greatest(1, {need})"
+        )
         seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return self.scratch.keep(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "further")
+        pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        return direct.select("a", "b"), self.scratch.keep(pairs.join(seen, ["a", "b"], "left_anti"), "further")
 
     def run(self) -> DataFrame:
-        done = self.verified(self.candidates(), "first")
-        links = done.where("linked").select("a", "b")
-        parts = components(links, self.scratch, "parts")
-        further = self.unresolved(done, parts)
-        if further is not None and further.limit(1).count():
-            more = self.verified(further, "second").where("linked").select("a", "b")
+        pairs = self.candidates()
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "first")
+        done = self.verified(pairs, sets, "first")
+        parts = components(done.where("linked").select("a", "b"), self.scratch, "parts")
+        members = self.groups(done, parts)
+        if members is not None:
+            nodes = members.select("node").join(sets, "node", "left_anti")
+            if nodes.limit(1).count():  # those that met by one deletion alone
+                sets = sets.union(self.sets(nodes, "more"))
+            direct, further = self.further(members, sets, done)
+            more = self.verified(further, sets, "second").where("linked").select("a", "b")
             ties = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = components(ties.union(more), self.scratch, "all")
+            parts = components(ties.union(direct).union(more), self.scratch, "all")
         named = self.classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
         named = self.scratch.keep(named.join(firsts, "component").select("node", "component_id"), "named")

@@ -65,6 +65,36 @@ def test_allocation_keeps_every_similar_pair():
         assert np.intersect1d(*plain).size or deep
 
 
+def family(seed, copies, length):
+    """Copies of one text that differ in up to an eighth of their words, some edits shared: several components."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for _ in range(copies):
+        own = list(base)
+        for at in rng.integers(0, length, rng.integers(0, length // 8)):
+            own[at] = f"e{rng.integers(0, 3)}"
+        for at in sorted(rng.integers(0, len(own), rng.integers(0, 3)), reverse=True):
+            del own[at]
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("n, similarity", [(3, (90, 100)), (5, (80, 100)), (2, (85, 100))])
+@pytest.mark.parametrize("exchanged", [False, True])
+def test_large_groups_are_exact(spark, monkeypatch, n, similarity, exchanged):
+    rows = family(1, 90, 80) + family(2, 40, 200) + family(3, 40, 30) + ["other text of its own", None]
+    if exchanged:  # one-deletion neighbourhoods wherever a scheme has two segments
+        plain = ngram_join.allocate
+        monkeypatch.setattr(
+            ngram_join, "allocate", lambda costs, prices, m: plain(costs, dict.fromkeys(prices, 0.0), m)
+        )
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.ngram_join(docs, n, similarity).collect())
+    assert got == components_by_all_pairs(rows, n, *similarity)
+    assert len({r[2] for r in got}) > 5
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert ngram_join.ngram_join(docs).collect() == []
