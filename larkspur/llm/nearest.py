@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: anisotropic product quantisation, four-bit table scans, exact reranking."""
+"""Nearest neighbours: anisotropic product quantisation, four-bit table scans, exact reranking within error bounds."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ MAX_TRAIN = 8000
 ROUNDS = 6
 #: Share of the largest inner products whose errors matter: sets how much more parallel error weighs.
 THRESHOLD = 0.2
-#: Candidates of each query that a scanned block hands on to exact reranking.
+#: Rows of each block whose exact scores set a query's floor; every row that may reach the floor is reranked too.
 RERANK = 512
 #: Rows scanned as one block, and queries that are in memory at a time.
 BLOCK_ROWS = 32_768
@@ -65,6 +65,11 @@ class Quantiser:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
+    def decoded(self, packed: np.ndarray, dims: int) -> np.ndarray:
+        """The vectors that packed codes stand for."""
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, : self.books.shape[0]]
+        return self.books[np.arange(self.books.shape[0]), codes].reshape(len(packed), -1)[:, :dims]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each byte of a code, the inner product of its two subspaces with the query: (bytes, 256)."""
         one = np.einsum("jcw,jw->jc", self.books, self.pad(q[None])[0].reshape(-1, WIDTH).astype(np.float32))
@@ -111,19 +116,57 @@ def exact(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (rows * q).sum(1)
 
 
-def search(ids: np.ndarray, rows: np.ndarray, quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarray, top: int):
-    """(query index, candidate id, score) of each query's best `top` rows of this block after reranking.
+class Bounds:
+    """What exact scores of a block's rows can be, given their table scores.
+
+    With x a row, c = x^.x / |x|^2 of its decoded x^ and r the part of x - x^ across x, a query's table score
+    is q.x^ = c q.x - q.r. Where q.x is at least t, the part of q across x is at most sqrt(|q|^2 - (t / |x|)^2)
+    for t > 0, and |q| else. Sums in single precision are off by no more than `slack` |q|.
+    """
 
-    Of equal vectors only the top + 1 with the smallest ids can be in any answer, so the others are left
-    out before the scan, which changes no result.
+    def __init__(self, rows: np.ndarray, decoded: np.ndarray) -> None:
+        self.norm = np.linalg.norm(rows, axis=1)
+        self.share = (rows * decoded).sum(1) / self.norm**2
+        self.across = np.linalg.norm(rows * self.share[:, None] - decoded, axis=1)
+        self.slack = (rows.shape[1] + 16) * 2.0**-23 * (self.norm * (1 + np.abs(self.share)) + np.linalg.norm(decoded, axis=1))
+
+    def reach(self, rough: np.ndarray, length: float, floor: float) -> np.ndarray:
+        """Places of the rows whose exact score with a query of this length may be `floor` or more."""
+        if floor == -np.inf:
+            return np.arange(len(rough))
+        apart = np.sqrt(np.maximum(length**2 - (max(floor, 0.0) / self.norm) ** 2, 0.0))
+        return np.flatnonzero(~(rough < self.share * floor - self.across * apart - self.slack * length))
+
+    def near(self, single: np.ndarray, places: np.ndarray, length: float, floor: float) -> np.ndarray:
+        """Those of the places whose score in single precision doesn't rule `floor` out."""
+        return places[~(single < floor - self.slack[places] * length)]
+
+
+def search(
+    ids: np.ndarray,
+    rows: np.ndarray,
+    quantiser: Quantiser,
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    top: int,
+    floors: np.ndarray | None = None,
+):
+    """(query index, id, score) of each query's best `top` rows of this block, the same as by scoring all of them.
+
+    The exact scores of the RERANK + top rows with the largest table scores give a floor that the best rows
+    reach; every row that may reach it by its table score and error bound is scored exactly. Rows below a
+    query's entry in `floors` may be left out. Of equal vectors only the top + 1 with the smallest ids can be
+    in any answer, so the others are left out before the scan.
     """
     order = np.lexsort((ids, *rows.T[::-1]))
     ids, rows = ids[order], rows[order]
     new = np.append(True, (rows[1:] != rows[:-1]).any(1))
     nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
     ids, rows = ids[nth <= top], rows[nth <= top]
-    codes = np.ascontiguousarray(quantiser.packed(rows).T)
-    rows = rows.astype(np.float64)
+    packed = quantiser.packed(rows)
+    codes = np.ascontiguousarray(packed.T)
+    single, rows = rows.astype(np.float32), rows.astype(np.float64)
+    bounds = Bounds(rows, quantiser.decoded(packed, rows.shape[1]).astype(np.float64))
     keep = min(RERANK + top, len(ids))
     out_q, out_id, out_score = [], [], []
     for k in range(len(queries)):
@@ -131,11 +174,19 @@ def search(ids: np.ndarray, rows: np.ndarray, quantiser: Quantiser, query_ids: n
         rough = lut[0].take(codes[0])
         for j in range(1, len(codes)):
             rough += lut[j].take(codes[j])
-        near = np.argpartition(-rough, keep - 1)[:keep]
-        if keep < len(ids):  # rows as near as the last one that was kept, in case of ties
-            near = np.flatnonzero(rough >= rough[near].min())
+        q = queries[k].astype(np.float64)
+        length, floor = float(np.linalg.norm(q)), -np.inf if floors is None else float(floors[k])
+        first = np.argpartition(-rough, keep - 1)[:keep]
+        first = first[ids[first] != query_ids[k]]
+        if len(first) >= top:
+            floor = max(floor, float(np.partition(exact(rows[first], q), -top)[-top]))
+        near = bounds.reach(rough, length, floor)
+        if len(near) > keep:
+            # gathering a large share of the rows costs more than multiplying all
+            product = (single @ queries[k])[near] if 8 * len(near) > len(ids) else single[near] @ queries[k]
+            near = bounds.near(product, near, length, floor)
         near = near[ids[near] != query_ids[k]]
-        score = exact(rows[near], queries[k].astype(np.float64))
+        score = exact(rows[near], q)
         best = np.lexsort((ids[near], -score))[:top]
         out_q.append(np.full(len(best), k))
         out_id.append(ids[near][best])
@@ -156,7 +207,12 @@ def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, query_ids, qu
 
     def merge(held, best):
         ids, rows = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        q, i, s = search(ids, rows, quantiser, query_ids, queries, top)
+        floors = None
+        if best is not None:  # the last score of each query that has `top` rows
+            floors = np.full(len(queries), -np.inf)
+            last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == top - 1)
+            floors[best[0][last]] = best[2][last]
+        q, i, s = search(ids, rows, quantiser, query_ids, queries, top, floors)
         if best is not None:
             q, i, s = (np.concatenate(p) for p in zip(best, (q, i, s), strict=True))
             order = np.lexsort((i, -s, q))
@@ -197,7 +253,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
     all of them; equal scores go by vec_id; copies of a vector are candidates each. Without rows or
     queries the result is empty. Further columns are ignored.
 
-    Codebooks are fitted on at most MAX_TRAIN rows; every row is coded and scanned. Queries go in blocks of
+    Codebooks are fitted on at most MAX_TRAIN rows; every row is coded and scanned, and every row whose table
+    score and error bound allow it to be among the best is scored exactly, so none is missed. Queries go in blocks of
     QUERY_BLOCK against all rows; each task hands on its best `top` per query, already scored exactly.
     """
     spark = vectors.sparkSession

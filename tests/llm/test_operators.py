@@ -7,6 +7,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import chat, decontamination, nearest, ngram_join, pii, sharding, toxicity
@@ -193,6 +194,28 @@ def test_neighbours(spark):
     assert hit / (150 * 20) >= 0.95
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.05])
+def test_full_blocks_with_near_copies_miss_no_neighbour(noise):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(nearest.BLOCK_ROWS + 5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    crowd = np.arange(len(x)) % 3 == 0
+    x[crowd] = x[0] + noise * rng.normal(size=(crowd.sum(), 64))
+    x[~crowd & (rng.random(len(x)) < 0.01)] *= -3
+    x = x.astype(np.float32)
+    ids = rng.permutation(len(x))
+    asked = np.append(np.arange(0, 60, 3), np.arange(1, 60, 3))
+    quantiser = nearest.train(x[:2000])
+    parts = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 9000]), pa.array(list(x[i : i + 9000]))], names=["i", "v"]) for i in range(0, len(x), 9000)]
+    (got,) = nearest._scan(iter(parts), quantiser, ids[asked], x[asked], 20)
+    got = list(zip(*(c.to_pylist() for c in got.columns), strict=True))
+    for k in asked:
+        score = (x.astype(np.float64) * x[k].astype(np.float64)).sum(1)
+        best = [i for i in np.lexsort((ids, -score))[:21] if i != k][:20]
+        own = sorted((r for r in got if r[0] == ids[k]), key=lambda r: (-r[2], r[1]))
+        assert [r[1] for r in own] == ids[best].tolist()
+
+
 def plain_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
