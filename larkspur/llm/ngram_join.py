@@ -335,12 +335,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """(node, its set) of rows (doc_id, text, node) whose text is that node's."""
+    """(node, its set) of rows (doc_id, text, node) whose text is that node's, or whose node is null."""
     for part, sets in _sets(batches, rule):
         rows = [
-            (node, own)
+            (_node(own, clashes), own)
             for node, own in zip(part.column(2).to_pylist(), sets, strict=True)
-            if len(own) and _node(own, clashes) == node
+            if len(own) and node in (None, _node(own, clashes))
         ]
         values = np.concatenate([np.zeros(0, np.uint64), *(r[1] for r in rows)]).view(np.int64)
         ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32)
@@ -455,12 +455,17 @@ class Join:
         return self.scratch.keep(pairs.where("a <> b").distinct(), "candidates")
 
     def sets(self, nodes: DataFrame, label: str) -> DataFrame:
-        """(node, own) of the nodes, read from the first text of each."""
+        """(node, own) of the nodes, read from the first text of each; by node where all its rows have null ids."""
         rule, clashes = self.rule, self.clashes
         wanted = nodes.join(self.classes, "node").select(F.col("first").alias("doc_id"), "node")
         wanted = self.scratch.keep(wanted, f"{label}-wanted")
         texts = self.docs.join(bounded_broadcast(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "node")
         sets = texts.mapInArrow(lambda b: _wanted_sets(b, rule, clashes), "node long, own array<long>")
+        unnamed = wanted.where("doc_id is null").select("node")
+        if unnamed.limit(1).count():
+            texts = self.docs.where("doc_id is null").withColumn("node", F.lit(None).cast("long"))
+            found = texts.mapInArrow(lambda b: _wanted_sets(b, rule, clashes), "node long, own array<long>")
+            sets = sets.union(found.join(bounded_broadcast(unnamed, BROADCAST_ROWS), "node", "left_semi"))
         return self.scratch.keep(sets.groupBy("node").agg(F.first("own").alias("own")), f"{label}-sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
@@ -618,7 +623,8 @@ def ngram_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 1
     fraction `similarity`; component_id is the smallest doc_id that links lead to. Equal sets are one
     node and linked whatever their number. Null and empty texts, and texts of white space alone, have no
     shingles and are linked with nothing: their component is their own id. Rows with equal ids are texts
-    each on their own, the ids of their components the smallest of all that are in them. Further columns
+    each on their own, the ids of their components the smallest of all that are in them. Rows with null ids
+    link like others; a component has a null id only if all of its rows have. Further columns
     are ignored; an empty table gives an empty result. Links are verified on whole sets of 64-bit hashes.
     """
     return Join(docs, Rule(n, *similarity)).run()

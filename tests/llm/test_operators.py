@@ -96,6 +96,22 @@ def test_large_groups_are_exact(spark, monkeypatch, n, similarity, exchanged):
     assert len({r[2] for r in got}) > 5
 
 
+@pytest.mark.parametrize("nulls", [3, 2, 1])
+def test_rows_with_null_ids_link_others(spark, nulls):
+    """Every nulls-th row has a null id: with 2 and 3, bucket heads among them; with 1, there are no other rows."""
+    rows = family(1, 60, 80) + family(4, 30, 40) + [None, "", "alone"]
+    docs = [(None if i % nulls == 0 else i, t, "x") for i, t in enumerate(rows)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = sorted((tuple(r) for r in ngram_join.ngram_join(frame, 3, (90, 100)).collect()), key=repr)
+    parts = components_by_all_pairs(rows, 3, 90, 100)
+    first = {}
+    for (i, _, _), (_, _, p) in zip(docs, parts, strict=True):
+        first[p] = min((x for x in (first.get(p), i) if x is not None), default=None)
+    want = [(d[0], n, first[p]) for d, (_, n, p) in zip(docs, parts, strict=True)]
+    assert got == sorted(want, key=repr)
+    assert nulls == 1 or any(a is None and c is not None for a, _, c in got)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert ngram_join.ngram_join(docs).collect() == []
