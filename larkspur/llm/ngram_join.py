@@ -29,8 +29,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 
 from larkspur.llm.common import (
     MIX_A,
@@ -334,6 +335,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _with_nodes(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int], at: int, name: str) -> Iterator[pa.RecordBatch]:
+    """The rows, with the node of the text in column `at`; null without shingles."""
+    release_words()
+    words = WordHashes()
+    for batch in batches:
+        sets = (shingles(t, rule, words) for t in texts_of(batch.column(at)))
+        nodes = pa.array([_node(own, clashes) if len(own) else None for own in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """(node, its set) of rows (doc_id, text, node) whose text is that node's, or whose node is null."""
     for part, sets in _sets(batches, rule):
@@ -609,7 +620,9 @@ class Join:
             parts = components(ties.union(direct).union(more), self.scratch, "all")
         named = self.classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-        named = self.scratch.keep(named.join(firsts, "component").select("node", "component_id"), "named")
+        named = named.join(firsts, "component").select("node", "first", "component", "component_id")
+        self.named = named = self.scratch.keep(named, "named")
+        named = named.select("node", "component_id")
         return self.profile.join(named, "node", "left").select(
             "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
         )
@@ -633,20 +646,40 @@ def ngram_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 1
 def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one row of each group of linked texts, that of the smallest id; columns stay as they are.
 
-    Rows without shingles, linked with nothing, all stay. Of rows that are equal in id and text one stays.
-    Rows of one id with different texts count as one document: they stay or go together.
+    Rows are told apart by id and set, so of one id's different texts each is judged by its own group. A null id
+    counts as larger than any other; of texts of one id in a group, and of rows equal in id and set, one stays.
+    Rows without shingles, linked with nothing, all stay.
     """
     join = Join(docs, Rule(n, *similarity))
-    found = join.run()
-    gone = join.scratch.keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    left = docs.join(bounded_broadcast(gone, BROADCAST_ROWS), "doc_id", "left_anti")
-    twice = join.profile.where("node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
-    twice = join.scratch.keep(twice.select("doc_id").distinct(), "twice")
-    if twice.limit(1).count():
-        twice = bounded_broadcast(twice, BROADCAST_ROWS)
-        one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(twice, "doc_id", "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    join.run()
+    rule, clashes = join.rule, join.clashes
+    lead = F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "node")).alias("lead")
+    leads = join.named.groupBy("component").agg(lead).select("lead.node", "lead.first", F.lit(True).alias("leads"))
+    leads = join.scratch.keep(leads, "leads")
+    rows = join.profile.where("node is not null").join(leads, "node", "left")
+    rows = rows.select("doc_id", F.expr("leads is not null and doc_id <=> first").alias("stays"))
+    rows = rows.union(join.profile.where("node is null").select("doc_id", F.lit(True)))
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    ids = join.scratch.keep(ids.where("n > 1 or not stays"), "ids")
+    gone = bounded_broadcast(ids.select("doc_id"), BROADCAST_ROWS)
+    left = docs.join(gone, "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
+    # ids of several rows of which some stay, and null ids: each row is judged by its own text
+    shared = bounded_broadcast(ids.where("stays").select("doc_id"), BROADCAST_ROWS)
+    several = docs.join(shared, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    name = "node"
+    while name in docs.columns:
+        name += "_"
+    schema, at = StructType([*docs.schema.fields, StructField(name, LongType())]), docs.columns.index("text")
+    several = several.mapInArrow(lambda b: _with_nodes(b, rule, clashes, at, name), schema)
+    several = join.scratch.keep(several, "several")
+    whole = leads.select(F.col("node").alias(f"{name}_lead"), F.col("first").alias(f"{name}_id"))
+    own = several.where(F.col(name).isNotNull()).join(
+        whole, (F.col(name) == F.col(f"{name}_lead")) & F.col("doc_id").eqNullSafe(F.col(f"{name}_id"))
+    )
+    plain = [f.name for f in docs.schema.fields if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    nth = F.row_number().over(Window.partitionBy(name).orderBy("text", *plain))
+    own = own.withColumn(f"{name}_nth", nth).where(F.col(f"{name}_nth") == 1)
+    return left.union(several.where(F.col(name).isNull()).select(*docs.columns)).union(own.select(*docs.columns))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,22 @@ def test_rows_with_null_ids_link_others(spark, nulls):
     assert nulls == 1 or any(a is None and c is not None for a, _, c in got)
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    # 2 carries a copy of 1's text and one that leads a group of its own; 7 has one text twice and one without words
+    docs = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, b), (7, c), (7, c), (7, c.upper()), (7, " "), (7, None), (8, d)]
+    docs += [(None, a), (None, d + " end"), (None, "alone " + c[::-1]), (None, "alone " + c[::-1]), (9, None), (9, None)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, node string")
+    got = [tuple(r) for r in ngram_join.without_near_duplicates(frame).collect()]
+    parts = [p for _, _, p in components_by_all_pairs([t for _, t in docs], 5, 80, 100)]
+    want = []
+    for p in sorted(set(parts)):
+        own = sorted((i is None, i or 0, t or "", i, t, "x") for (i, t), q in zip(docs, parts, strict=True) if q == p)
+        want.append(own[0][3:])
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert (2, b, "x") in got
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert ngram_join.ngram_join(docs).collect() == []
