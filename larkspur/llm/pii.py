@@ -24,8 +24,11 @@ MAX_TOKENS = 2000
 CERTAIN = 0.9
 #: Where a corpus hardly repeats its tokens, skip potentials stay near this agreement of like labels.
 SKIP_PRIOR = 3.0
-SWEEPS = 12
 DAMPING = 0.5
+#: Messages have settled when none moves by more in a sweep. If they still swing after as many sweeps as the text
+#: has tokens, each further PATIENCE sweeps halve their steps.
+TOLERANCE = 1e-6
+PATIENCE = 200
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -205,7 +208,7 @@ def fit(chains: list[Chain], rounds: int = 300, l2: float = 1e-3) -> Field:
 
 
 def marginals(c: Chain, field: Field) -> np.ndarray:
-    """Loopy sum-product: (tokens, LABELS). Tokens in base spans are held at their labels."""
+    """Loopy sum-product until messages settle: (tokens, LABELS). Tokens in base spans are held at their labels."""
     unary = c.features @ field.unary
     held = c.labels > 0
     unary[held] = np.where(np.eye(LABELS)[c.labels[held]] > 0, 0.0, -50.0)
@@ -217,14 +220,19 @@ def marginals(c: Chain, field: Field) -> np.ndarray:
         [np.repeat(q[None], k, 0) for q, k in ((field.chain, n), (field.chain.T, n), (field.skip, s), (field.skip.T, s))]
     )
     message = np.zeros((len(source), LABELS))
-    for _ in range(SWEEPS if len(source) else 0):
+    step, sweeps, moved = 1 - DAMPING, 0, np.inf if len(source) else 0.0
+    while step * moved > TOLERANCE:
+        sweeps += 1
+        if sweeps > len(unary) and sweeps % PATIENCE == 0:
+            step /= 2
         belief = unary.copy()
         np.add.at(belief, target, message)
         out = (belief[source] - message[reverse])[:, :, None] + pair
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None]).sum(1))
         new -= new.max(1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        moved = np.abs(new - message).max()
+        message = (1 - step) * message + step * new
     belief = unary.copy()
     np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))

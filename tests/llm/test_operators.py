@@ -272,6 +272,28 @@ def test_personal_data(spark):
     assert out[30] is None and out[31] == "none at 1999" and out[0].startswith("call [PHONE] now.")
 
 
+def test_labels_reach_distant_repeats():
+    n = 60
+    links = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    features = np.zeros((n, pii.FEATURES))
+    features[:, 0] = 1
+    field = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 3 * np.eye(pii.LABELS))
+    field.unary[0, 1] = 0.4
+    labels = np.zeros(n, np.int64)
+    labels[0] = 1
+    got = pii.marginals(pii.Chain([], features, labels, links[:0], links), field)
+    unary = np.exp(features @ field.unary)
+    unary[0] = np.eye(pii.LABELS)[1]
+    before, after = [unary[0]], [np.ones(pii.LABELS)]  # exact on a chain: forwards and backwards
+    for i in range(1, n):
+        before.append(unary[i] * (np.exp(field.skip).T @ before[-1]))
+        after.append(np.exp(field.skip) @ (after[-1] * unary[n - i]))
+    want = np.array(before) * np.array(after[::-1])
+    want /= want.sum(1, keepdims=True)
+    assert np.abs(got - want).max() < 1e-3
+    assert (want[:, 1] >= pii.CERTAIN).sum() > 40
+
+
 def test_toxicity_on_the_held_out_fold(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scores = toxicity.toxicity_scores(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
