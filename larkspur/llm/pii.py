@@ -20,6 +20,8 @@ LABELS = len(KINDS) + 1
 #: At most so many documents, those with the smallest hashes of their ids, and so many tokens of each fit the weights.
 MAX_DOCS = 4000
 MAX_TOKENS = 2000
+#: Label, in fitting, of tokens outside base spans that repeat one inside: what they are isn't known.
+UNKNOWN = -1
 #: A span is added where the marginal of its label is at least this.
 CERTAIN = 0.9
 #: Where a corpus hardly repeats its tokens, skip potentials stay near this agreement of like labels.
@@ -84,7 +86,7 @@ class Chain:
 
     spans: list[tuple[int, int]]
     features: np.ndarray  # (tokens, FEATURES), 0 or 1
-    labels: np.ndarray  # from the base spans; 0 elsewhere
+    labels: np.ndarray  # from the base spans; 0 elsewhere, or UNKNOWN
     chain: np.ndarray  # (edges, 2): tokens next to each other
     skip: np.ndarray  # (edges, 2): the same or a similar token, one occurrence after the other
 
@@ -128,7 +130,7 @@ def _keys(token: str) -> set[str]:
     return {k for k in (plain, local, digits) if len(k) >= (6 if k.isdigit() else 4)}
 
 
-def chain_of(text: str, base: list[Span], limit: int | None = None) -> Chain:
+def chain_of(text: str, base: list[Span], limit: int | None = None, unknown: bool = False) -> Chain:
     spans, at = [], 0
     while (m := _HINT.search(text, at)) and (limit is None or len(spans) < limit):
         start = m.start()
@@ -153,8 +155,12 @@ def chain_of(text: str, base: list[Span], limit: int | None = None) -> Chain:
             k += 1
     seen: dict[str, int] = {}
     skip: set[tuple[int, int]] = set()
-    for i, (a, b) in enumerate(spans):
-        for key in _keys(text[a:b]):
+    keys = [_keys(text[a:b]) for a, b in spans]
+    if unknown:
+        inside = set().union(*(own for own, label in zip(keys, labels, strict=True) if label))
+        labels[[not label and not inside.isdisjoint(own) for own, label in zip(keys, labels, strict=True)]] = UNKNOWN
+    for i, own in enumerate(keys):
+        for key in own:
             if key in seen:
                 skip.add((seen[key], i))
             seen[key] = i
@@ -178,15 +184,16 @@ class Field:
 def fit(chains: list[Chain], rounds: int = 300, l2: float = 1e-3) -> Field:
     """Maximises the pseudo-likelihood: each token's label given its features and its neighbours' labels.
 
-    The penalty draws skip potentials to SKIP_PRIOR on the diagonal, all other weights to 0.
+    UNKNOWN labels are neither fitted nor given to neighbours. The penalty draws skip potentials to SKIP_PRIOR on the diagonal, all other weights to 0.
     """
-    chains = [c for c in chains if len(c.labels)]
+    chains = [c for c in chains if (c.labels != UNKNOWN).any()]
     if not chains:
         return Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), SKIP_PRIOR * np.eye(LABELS))
     first = np.cumsum([0, *(len(c.labels) for c in chains)])
     x, y = np.concatenate([c.features for c in chains]), np.concatenate([c.labels for c in chains])
     edges = [np.concatenate([getattr(c, n) + a for c, a in zip(chains, first, strict=False)]) for n in ("chain", "skip")]
-    one = np.eye(LABELS)[y]
+    known = y != UNKNOWN
+    one = np.where(known[:, None], np.eye(LABELS)[y], 0.0)
     sides = [np.zeros_like(one) for _ in range(4)]  # labels of the token before, after, and by skip edges
     for k, e in enumerate(edges):
         np.add.at(sides[2 * k], e[:, 1], one[e[:, 0]])
@@ -199,9 +206,9 @@ def fit(chains: list[Chain], rounds: int = 300, l2: float = 1e-3) -> Field:
     for t in range(1, rounds + 1):
         z = x @ w[:f] + sides[0] @ w[f:f2] + sides[1] @ w[f:f2].T + skip @ w[f2:]
         p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - one) / len(y)
+        d = (p / p.sum(1, keepdims=True) - one) * (known[:, None] / known.sum())
         g_skip = skip.T @ d
-        g = np.concatenate([x.T @ d, sides[0].T @ d + (sides[1].T @ d).T, (g_skip + g_skip.T) / 2]) + l2 * (w - prior) / len(y)
+        g = np.concatenate([x.T @ d, sides[0].T @ d + (sides[1].T @ d).T, (g_skip + g_skip.T) / 2]) + l2 * (w - prior) / known.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Field(w[:f], w[f:f2], w[f2:])
@@ -239,31 +246,28 @@ def marginals(c: Chain, field: Field) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def reached(c: Chain) -> np.ndarray:
-    """Tokens that edges join, over any number of steps, to one in a base span."""
-    edges = np.concatenate([c.chain, c.skip])
-    on = c.labels > 0
-    while len(edges):
-        new = on.copy()
-        np.logical_or.at(new, edges[:, 0], on[edges[:, 1]])
-        np.logical_or.at(new, edges[:, 1], on[edges[:, 0]])
-        if (new == on).all():
-            break
-        on = new
-    return on
+def possible(c: Chain, field: Field) -> np.ndarray:
+    """Tokens outside base spans that could come to CERTAIN if all messages to them spoke for one label.
+
+    A message for a label against none is a mean over its sender's labels, so it's no more than the most of these.
+    """
+    unary = c.features @ field.unary
+    gain = unary[:, 1:] - unary[:, :1]
+    for target, pair in (
+        (c.chain[:, 1], field.chain), (c.chain[:, 0], field.chain.T), (c.skip[:, 1], field.skip), (c.skip[:, 0], field.skip.T)
+    ):
+        np.add.at(gain, target, np.maximum(0.0, (pair[:, 1:] - pair[:, :1]).max(0)))
+    return (c.labels == 0) & (gain >= np.log(CERTAIN / (1 - CERTAIN)) - 1e-6).any(1)
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
-    """The base spans, and all: with those that the field adds outside them.
+    """The base spans, and all: with those that the field adds outside them, in texts without base spans too.
 
-    The field spreads labels, it doesn't start any: a text without base spans gets none. Neighbouring
-    tokens that get one label make one span.
+    Neighbouring tokens that get one label make one span.
     """
     base = base_spans(text)
-    if not base:
-        return base, base
     c = chain_of(text, base)
-    open_ = reached(c) & (c.labels == 0)
+    open_ = possible(c, field)
     if not open_.any():
         return base, base
     p = marginals(c, field)
@@ -285,8 +289,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = []
         for text in batch.column(0).to_pylist():
-            c = chain_of(text or "", base_spans(text or ""), MAX_TOKENS)
-            parts = (c.features.astype(np.uint8), c.labels.astype(np.uint8), c.chain.astype("<i4"), c.skip.astype("<i4"))
+            c = chain_of(text or "", base_spans(text or ""), MAX_TOKENS, unknown=True)
+            parts = (c.features.astype(np.uint8), c.labels.astype(np.int8), c.chain.astype("<i4"), c.skip.astype("<i4"))
             blobs.append([p.tobytes() for p in parts])
         yield pa.RecordBatch.from_arrays(
             [pa.array([b[i] for b in blobs], pa.binary()) for i in range(4)], names=["features", "labels", "chain", "skip"]
@@ -305,7 +309,7 @@ def train(docs: DataFrame) -> Field:
             Chain(
                 [],
                 np.frombuffer(r[0], np.uint8).reshape(-1, FEATURES).astype(np.float64),
-                np.frombuffer(r[1], np.uint8).astype(np.int64),
+                np.frombuffer(r[1], np.int8).astype(np.int64),
                 np.frombuffer(r[2], "<i4").reshape(-1, 2).astype(np.int64),
                 np.frombuffer(r[3], "<i4").reshape(-1, 2).astype(np.int64),
             )

@@ -272,6 +272,21 @@ def test_personal_data(spark):
     assert out[30] is None and out[31] == "none at 1999" and out[0].startswith("call [PHONE] now.")
 
 
+def test_field_adds_spans(spark):
+    filler = " ".join(f"word {i}" for i in range(40))
+    docs = [(i, f"call +1 (988) 555-{2000 + i} now. {filler} again 555-{2000 + i} or 5552000x, in {1900 + i}") for i in range(60)]
+    field = pii.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    text = docs[7][1]
+    base, spans = pii.all_spans(text, field)
+    assert [text[a:b] for a, _, b in base] == ["+1 (988) 555-2007"]
+    assert [(text[a:b], pii.KINDS[k]) for a, k, b in spans if (a, k, b) not in base] == [("555-2007", "phone")]
+    alone = f"{filler} ask at (988) 555-2001 in 1999"
+    assert pii.base_spans(alone) == []
+    assert [alone[a:b] for a, _, b in pii.all_spans(alone, field)[1]] == ["(988) 555-2001"]
+    c = pii.chain_of(text, base, unknown=True)
+    assert [text[a:b] for (a, b), label in zip(c.spans, c.labels, strict=True) if label == pii.UNKNOWN] == ["555-2007"]
+
+
 def test_labels_reach_distant_repeats():
     n = 60
     links = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
