@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import smallest_hashes, table
+from larkspur.llm.common import Scratch, smallest_hashes, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of a token: none, or one of KINDS.
 LABELS = len(KINDS) + 1
-#: At most so many documents, those with the smallest hashes of their ids, and so many tokens of each fit the weights.
+#: At most so many documents, those with the smallest hashes of their ids, fit the weights, each whole; one that would
+#: bring them to more than so many tokens in all is passed over.
 MAX_DOCS = 4000
-MAX_TOKENS = 2000
+MAX_TOKENS = 500_000
 #: Label, in fitting, of tokens outside base spans that repeat one inside: what they are isn't known.
 UNKNOWN = -1
 #: A span is added where the marginal of its label is at least this.
@@ -130,9 +131,9 @@ def _keys(token: str) -> set[str]:
     return {k for k in (plain, local, digits) if len(k) >= (6 if k.isdigit() else 4)}
 
 
-def chain_of(text: str, base: list[Span], limit: int | None = None, unknown: bool = False) -> Chain:
+def chain_of(text: str, base: list[Span], unknown: bool = False) -> Chain:
     spans, at = [], 0
-    while (m := _HINT.search(text, at)) and (limit is None or len(spans) < limit):
+    while m := _HINT.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
@@ -288,22 +289,41 @@ def render(spans: list[Span]) -> str:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = []
-        for text in batch.column(0).to_pylist():
-            c = chain_of(text or "", base_spans(text or ""), MAX_TOKENS, unknown=True)
+        for text in batch.column(1).to_pylist():
+            c = chain_of(text or "", base_spans(text or ""), unknown=True)
             parts = (c.features.astype(np.uint8), c.labels.astype(np.int8), c.chain.astype("<i4"), c.skip.astype("<i4"))
             blobs.append([p.tobytes() for p in parts])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b[i] for b in blobs], pa.binary()) for i in range(4)], names=["features", "labels", "chain", "skip"]
+            [batch.column(0), pa.array([len(b[1]) for b in blobs], pa.int64()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(4))],
+            names=["doc_id", "tokens", "features", "labels", "chain", "skip"],
         )
 
 
 def train(docs: DataFrame) -> Field:
-    """Weights from the base spans of at most MAX_DOCS documents; everything collected is bounded by that."""
+    """Weights from the base spans of at most MAX_DOCS documents with at most MAX_TOKENS tokens, each taken whole.
+
+    Everything collected is bounded by that.
+    """
+    spark, h = docs.sparkSession, F.xxhash64("doc_id", F.lit(4))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    chosen = docs.sparkSession.createDataFrame(smallest_hashes(ids, "doc_id", 4, MAX_DOCS).collect(), ids.schema).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
+    chosen = spark.createDataFrame(smallest_hashes(ids, "doc_id", 4, MAX_DOCS).collect(), ids.schema).distinct()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    packed = rows.mapInArrow(_pack, f"doc_id {kind}, tokens long, features binary, labels binary, chain binary, skip binary")
+    scratch = Scratch(spark, "personal-data")
+    packed = scratch.keep(packed, "packed")
+    sizes = packed.groupBy("doc_id").agg(F.sum("tokens").alias("n")).orderBy(h, "doc_id").collect()
+    left, over = MAX_TOKENS, []
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+        else:
+            over.append((r["doc_id"],))
+    if over:
+        over = F.broadcast(spark.createDataFrame(over, f"doc_id {kind}"))  # at most MAX_DOCS ids
+        packed = packed.join(over, "doc_id", "left_anti")
+    packed = packed.select("features", "labels", "chain", "skip")
     chains = []
-    packed = rows.mapInArrow(_pack, "features binary, labels binary, chain binary, skip binary")
     for r in sorted(packed.collect(), key=lambda r: tuple(map(bytes, r))):
         chains.append(
             Chain(
@@ -314,6 +334,7 @@ def train(docs: DataFrame) -> Field:
                 np.frombuffer(r[3], "<i4").reshape(-1, 2).astype(np.int64),
             )
         )
+    scratch.drop()
     return fit(chains)
 
 

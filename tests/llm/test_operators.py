@@ -287,6 +287,18 @@ def test_field_adds_spans(spark):
     assert [text[a:b] for (a, b), label in zip(c.spans, c.labels, strict=True) if label == pii.UNKNOWN] == ["555-2007"]
 
 
+def test_fitting_takes_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_TOKENS", 3000)
+    long = "to a.b@c.example " + " ".join(str(10**6 + i) for i in range(2500)) + " a.b@c.example."
+    rows = [(1, long), (2, "4 " * 4000), (3, "call +1 (988) 555-2485 now"), (4, None)]
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda chains: seen.extend(chains))
+    pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [pii.chain_of(t or "", pii.base_spans(t or "")) for i, t in rows if i != 2]
+    assert sorted(len(c.labels) for c in seen) == sorted(len(c.labels) for c in want) == [0, 3, 2502]
+    assert sorted(len(c.skip) for c in seen) == [0, 0, 1]
+
+
 def test_labels_reach_distant_repeats():
     n = 60
     links = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
