@@ -39,6 +39,7 @@ from larkspur.llm.common import (
     Scratch,
     WordHashes,
     bounded_broadcast,
+    byte_batches,
     shuffle_partitions,
     table,
     texts_of,
@@ -50,7 +51,8 @@ from larkspur.llm.tokenizing import release_words
 FLUSH = 600_000
 #: Ids and signatures that may be broadcast (8 bytes each); beyond it, a shuffle join does the same.
 BROADCAST_ROWS = 1_000_000
-#: Longest stretch of a text that is split into words at once.
+#: Bytes of texts whose sets are made at once, and the longest stretch of a text that is split into words at once.
+AT_ONCE = 2 << 20
 STRETCH = 4 << 20
 
 _32 = np.uint64(32)
@@ -116,37 +118,95 @@ def scheme(rule: Rule, k: int) -> tuple[int, int]:
     return m, h
 
 
-def shingles(text: bytes | None, rule: Rule, words: WordHashes) -> np.ndarray:
-    """The set of a whole text, as ascending 64-bit hashes."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    if len(text) <= STRETCH:
-        own = np.array([words[w] for w in text.lower().split()], np.uint64)
-    else:
-        parts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + STRETCH)
-            while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
-            parts.append(np.array([words[w] for w in text[at:end].lower().split()], np.uint64))
-            at = end
-        own = np.concatenate(parts)
-    if not len(own):
-        return own
-    n = min(rule.n, len(own))
+@dataclass(frozen=True)
+class Sets:
+    """Several sets: the ascending hashes of each, one set after the other; set i is flat[ends[i] : ends[i + 1]]."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends)
+
+    def only(self, chosen: np.ndarray) -> Sets:
+        """The sets at True."""
+        if chosen.all():
+            return self
+        sizes = self.sizes
+        return Sets(self.flat[np.repeat(chosen, sizes)], _ends(sizes[chosen]))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the values at each set's elements, modulo 2 ** 64; 0 for empty sets."""
+        out = np.zeros(len(self), np.uint64)
+        full = self.sizes > 0
+        if full.any():
+            out[full] = np.add.reduceat(values, self.ends[:-1][full])
+        return out
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+def one_set(own: np.ndarray) -> Sets:
+    return Sets(own, np.array([0, len(own)]))
+
+
+def _words(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a whole text, a stretch at a time."""
+    at = 0
+    while text and at < len(text):
+        end = min(len(text), at + STRETCH)
+        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield text[at:end].lower().split()
+        at = end
+
+
+def _window_hashes(own: np.ndarray, n: int) -> np.ndarray:
     h = np.full(len(own) - n + 1, n, np.uint64)
     for k in range(n):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[k : len(own) - n + 1 + k])
-    h.sort()
-    return h[np.append(True, h[1:] != h[:-1])]
-
-
-def keys_of(own: np.ndarray) -> tuple[int, int]:
-    """Two independent hashes of a set; the first is its node."""
-    n = np.uint64(len(own))
-    a = mix(np.array([mix(own + np.uint64(1)).sum() + n], np.uint64))
-    b = mix(np.array([mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() ^ n], np.uint64))
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+    return h
+
+
+def shingles(texts: list[bytes | None], rule: Rule, words: WordHashes) -> Sets:
+    """The sets of whole texts, as ascending 64-bit hashes."""
+    hashes: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        before = len(hashes)
+        for part in _words(text):
+            hashes.extend(map(words.__getitem__, part))
+        counts[i] = len(hashes) - before
+    own, n = np.fromiter(hashes, np.uint64, len(hashes)), rule.n
+    all_windows = _window_hashes(own, n) if len(own) >= n else np.zeros(0, np.uint64)
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    flat, ends = np.empty(sizes.sum(), np.uint64), _ends(sizes)
+    for start, count, x, y in zip(_ends(counts).tolist(), counts.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+        if count >= n:
+            flat[x:y] = all_windows[start : start + y - x]
+            flat[x:y].sort()
+        elif count:
+            flat[x:y] = _window_hashes(own[start : start + count], count)
+    new = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.zeros(0, bool)
+    new[ends[:-1][sizes > 0]] = True
+    return Sets(flat[new], _ends(new)[ends])
+
+
+def keys_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set; the first is its node."""
+    n = sets.sizes.astype(np.uint64)
+    first = mix(sets.sums(mix(sets.flat + np.uint64(1))) + n)
+    second = mix(sets.sums(mix(sets.flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))) ^ n)
+    return first.view(np.int64), second.view(np.int64)
 
 
 @dataclass(frozen=True)
@@ -160,89 +220,127 @@ class Allocation:
 START = Allocation()
 
 
-def _parts(own: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segment of each shingle, first shingle and segment of each part, sum of each part's hashes."""
-    segment = ((own >> _32) * np.uint64(m)) >> _32
-    first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-    token = mix(own ^ np.uint64(0x5851F42D4C957F2D))
-    return token, first, segment[first].astype(np.int64), np.add.reduceat(token, first)
-
-
-def _signature(sums: np.ndarray, k: int, segment: np.ndarray, space: int) -> np.ndarray:
-    return mix(sums + mix((segment.astype(np.uint64) + np.uint64((k << 34) + (space << 33)) + np.uint64(1)) * np.uint64(MIX_B)))
-
-
-def signatures(own: np.ndarray, rule: Rule, allocation: Allocation = START) -> tuple[np.ndarray, ...]:
-    """(signature, scheme, segment) of the equal-parts index of a set; segment -1 is a poor set's."""
-    out = []
-    top = band_of(rule, len(own))
-    for k in (top, top - 1):
-        if k < 0 or not scheme(rule, k)[1]:
-            continue  # without a difference to forgive, similar sets are equal sets
-        m, h = scheme(rule, k)
-        _, first, segment, sums = _parts(own, m)
-        skipped, deep = allocation.skipped.get(k), allocation.deep.get(k)
-        reached = len(first)
-        used = np.ones(len(first), bool)
-        if skipped is not None:
-            used = ~np.isin(segment, skipped)
-            sizes = np.diff(np.append(first, len(own)))
-            reached = int(used.sum() + (np.isin(segment, deep) & (sizes > 1)).sum())
-        out.append((_signature(sums[used], k, segment[used], 0), np.full(used.sum(), k), segment[used]))
-        if reached <= h:
-            whole = np.zeros(m, np.uint64)
-            whole[segment] = sums
-            out.append((_signature(whole, k, np.arange(m), 1), np.full(m, k), np.full(m, -1)))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+class Parts:
+    """The parts of sets in the segments of one scheme each: `k` and `m` are its number and segments by set."""
+
+    def __init__(self, sets: Sets, k: np.ndarray, m: np.ndarray) -> None:
+        owner = np.repeat(np.arange(len(sets)), sets.sizes)
+        segment = ((sets.flat >> _32) * m.astype(np.uint64)[owner]) >> _32
+        self.first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])]))
+        self.token = mix(sets.flat ^ np.uint64(0x5851F42D4C957F2D))
+        self.sums = np.add.reduceat(self.token, self.first)
+        self.sizes = np.diff(np.append(self.first, len(sets.flat)))
+        self.segment, self.owner = segment[self.first].astype(np.int64), owner[self.first]
+        self.k = k[self.owner]
+
+    def within(self, segments: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether each part's segment is among those of its scheme."""
+        cells = [_cell(np.full(len(i), k), i) for k, i in segments.items()]
+        return np.isin(_cell(self.k, self.segment), np.concatenate(cells)) if cells else np.zeros(len(self.k), bool)
+
+
+def _signature(sums: np.ndarray, k: np.ndarray, segment: np.ndarray, space: int) -> np.ndarray:
+    place = segment.astype(np.uint64) + (k.astype(np.uint64) << np.uint64(34)) + np.uint64((space << 33) + 1)
+    return mix(sums + mix(place * np.uint64(MIX_B)))
+
+
+def _schemes(sets: Sets, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(chosen, k, m, H) of the sets' own band's scheme, then of the one below, for the sets that have it."""
+    sizes, back = np.unique(sets.sizes, return_inverse=True)
+    tops = np.array([band_of(rule, n) if n else -1 for n in sizes.tolist()], np.int64)
+    for below in (0, 1):
+        of_size = [(k, *scheme(rule, k)) if k >= 0 else (k, 0, 0) for k in (tops - below).tolist()]
+        k, m, h = np.array(of_size, np.int64).reshape(-1, 3)[back].T
+        chosen = (k >= 0) & (h > 0)  # without a difference to forgive, similar sets are equal sets
+        if chosen.any():
+            yield chosen, k[chosen], m[chosen], h[chosen]
+
+
+def signatures_of(sets: Sets, rule: Rule, allocation: Allocation = START) -> tuple[np.ndarray, ...]:
+    """(signature, set, scheme, segment) of the equal-parts index of sets; segment -1 is a poor set's."""
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    for chosen, k, m, h in _schemes(sets, rule):
+        place, own = np.flatnonzero(chosen), sets.only(chosen)
+        parts = Parts(own, k, m)
+        used = ~parts.within(allocation.skipped)
+        reached = np.bincount(parts.owner[used], minlength=len(own))
+        if allocation.deep:
+            reached += np.bincount(parts.owner[parts.within(allocation.deep) & (parts.sizes > 1)], minlength=len(own))
+        segment = parts.segment[used]
+        found.append((_signature(parts.sums[used], parts.k[used], segment, 0), place[parts.owner[used]], parts.k[used], segment))
+        bounds = np.searchsorted(parts.owner, np.arange(len(own) + 1))
+        for i in np.flatnonzero(reached <= h).tolist():
+            x, y = bounds[i], bounds[i + 1]
+            whole, scheme_ = np.zeros(m[i], np.uint64), np.full(m[i], k[i])
+            whole[parts.segment[x:y]] = parts.sums[x:y]
+            found.append((_signature(whole, scheme_, np.arange(m[i]), 1), np.full(m[i], place[i]), scheme_, np.full(m[i], -1)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def signatures(own: np.ndarray, rule: Rule, allocation: Allocation = START) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, scheme, segment) of one set."""
+    sig, _, k, segment = signatures_of(one_set(own), rule, allocation)
+    return sig, k, segment
+
+
+def neighbourhoods_of(
+    sets: Sets, rule: Rule, allocation: Allocation, node: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, deletions, node) in the segments at v = 1: each part, and each part without one of its shingles.
+
+    Equal parts have been tied at v = 0 already, so the smallest node stands for all that have a part here.
+    """
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for chosen, k, m, _ in _schemes(sets, rule):
+        own, nodes = sets.only(chosen), node[chosen]
+        parts = Parts(own, k, m)
+        at = np.flatnonzero(parts.within(allocation.deep))
+        whole = _signature(parts.sums[at], parts.k[at], parts.segment[at], 0)
+        order = np.lexsort((nodes[parts.owner[at]], whole))
+        order = order[np.append(True, whole[order][1:] != whole[order][:-1])] if len(order) else order
+        at, whole = at[order], whole[order]
+        found.append((whole, np.zeros(len(at), np.int64), nodes[parts.owner[at]]))
+        at = at[parts.sizes[at] > 1]
+        part = np.repeat(at, parts.sizes[at])
+        element = np.arange(len(part)) - np.repeat(_ends(parts.sizes[at])[:-1] - parts.first[at], parts.sizes[at])
+        less = _signature(parts.sums[part] - parts.token[element], parts.k[part], parts.segment[part], 0)
+        found.append((less, np.ones(len(part), np.int64), nodes[parts.owner[part]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def neighbourhoods(own: np.ndarray, rule: Rule, allocation: Allocation) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, deletions) in the segments at v = 1: each part, and each part without one of its shingles."""
-    sig, kind = [], []
-    top = band_of(rule, len(own))
-    for k in (top, top - 1):
-        if k not in allocation.deep:
-            continue
-        token, first, segment, sums = _parts(own, scheme(rule, k)[0])
-        sizes = np.diff(np.append(first, len(own)))
-        chosen = np.isin(segment, allocation.deep[k])
-        sig.append(_signature(sums[chosen], k, segment[chosen], 0))
-        kind.append(np.zeros(chosen.sum(), np.int64))
-        part = np.repeat(np.arange(len(first)), sizes)
-        less = chosen[part] & (sizes[part] > 1)
-        sig.append(_signature(sums[part[less]] - token[less], k, segment[part[less]], 0))
-        kind.append(np.ones(less.sum(), np.int64))
-    if not sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sig), np.concatenate(kind)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(signature, deletions) of one set."""
+    return neighbourhoods_of(one_set(own), rule, allocation, np.zeros(1, np.int64))[:2]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+    """Runs of rows of about AT_ONCE bytes, and the sets of the texts in their second column."""
     release_words()
     words = WordHashes()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            yield part, [shingles(t, rule, words) for t in texts_of(part.column(1))]
+    for part in byte_batches(batches, AT_ONCE, 1):
+        yield part, shingles(texts_of(part.column(1)), rule, words)
+
+
+def _nodes(sets: Sets, clashes: frozenset[int]) -> np.ndarray:
+    first, second = keys_of(sets)
+    return np.where(np.isin(first, list(clashes)), second, first) if clashes else first
 
 
-def _node(own: np.ndarray, clashes: frozenset[int]) -> int:
-    first, second = keys_of(own)
-    return second if first in clashes else first
+def _different(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int]) -> Iterator[tuple[np.ndarray, Sets]]:
+    """(nodes, their sets) of the texts with shingles, of equal sets in a run only one."""
+    for _, sets in _sets(batches, rule):
+        node = _nodes(sets, clashes)
+        full = np.flatnonzero(sets.sizes > 0)
+        chosen = np.zeros(len(sets), bool)
+        chosen[full[np.unique(node[full], return_index=True)[1]]] = True
+        yield node[chosen], sets.only(chosen)
 
 
 def _profile(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for part, sets in _sets(batches, rule):
-        keys = [keys_of(s) if len(s) else (None, None) for s in sets]
+        empty = sets.sizes == 0
         yield pa.RecordBatch.from_arrays(
-            [
-                part.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([k[0] for k in keys], pa.int64()),
-                pa.array([k[1] for k in keys], pa.int64()),
-            ],
+            [part.column(0), pa.array(sets.sizes), *(pa.array(k, mask=empty) for k in keys_of(sets))],
             names=["doc_id", "n_shingles", "node", "other"],
         )
 
@@ -268,59 +366,85 @@ def _tree(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], node[new], pairs[:, 0], pairs[:, 1]
 
 
+def _deep_tree(sig: np.ndarray, kind: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, kind, node) that are left, and (a, b): nodes whose parts are equal after one deletion on one side.
+
+    Where a whole part (kind 0) is here, the parts that come to it by a deletion (kind 1) are tied to it and go.
+    """
+    order = np.lexsort((node, kind, sig))
+    sig, kind, node = sig[order], kind[order], node[order]
+    new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
+    meets = kind[first] == 0
+    pairs = np.stack([node, node[first]], 1)[meets & (node != node[first])]
+    left = ~meets | new
+    left[1:] &= ~((sig[1:] == sig[:-1]) & (kind[1:] == kind[:-1]) & (node[1:] == node[:-1]))
+    pairs = np.unique(pairs, axis=0)
+    return sig[left], kind[left], node[left], pairs[:, 0], pairs[:, 1]
+
+
 _BLOCK = "block int, sigs binary, at binary, nodes binary"
 
 
+def _block_rows(sig: np.ndarray, kind: np.ndarray | None, node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Ascending signatures packed in blocks by their first bits, and the ties (a, b) found already."""
+    rows = []
+    starts = np.searchsorted(sig, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    for block, (x, y) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True)):
+        if x < y:
+            nodes, at = np.unique(node[x:y], return_inverse=True)
+            at = at.astype(np.uint32) if kind is None else (at * 2 + kind[x:y]).astype(np.uint32)
+            rows.append((block, _planes(np.diff(sig[x:y], prepend=np.uint64(0))), _planes(at), nodes.tobytes()))
+    for x in range(0, len(a), 4096):
+        rows.append((int(a[x]) & ((1 << bits) - 1), None, a[x : x + 4096].tobytes(), b[x : x + 4096].tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "sigs", "at", "nodes"]
+    )
+
+
 def _deal(batches: Iterator[pa.RecordBatch], rule: Rule, bits: int, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """Signatures in packed blocks by their first bits; those that meet here are tied here already."""
-    held: list[tuple[np.ndarray, int]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
-
-    def flush() -> pa.RecordBatch:
-        sig = np.concatenate([h[0] for h in held])
-        node = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
-        sig, node, a, b = _tree(sig, node)
-        rows = []
-        starts = np.searchsorted(sig, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        for block, (x, y) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True)):
-            if x < y:
-                nodes, at = np.unique(node[x:y], return_inverse=True)
-                gaps = np.diff(sig[x:y], prepend=np.uint64(0))
-                rows.append((block, _planes(gaps), _planes(at.astype(np.uint32)), nodes.tobytes()))
-        for x in range(0, len(a), 4096):
-            rows.append((int(a[x]) & ((1 << bits) - 1), None, a[x : x + 4096].tobytes(), b[x : x + 4096].tobytes()))
-        held.clear()
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "sigs", "at", "nodes"]
-        )
-
-    for _, sets in _sets(batches, rule):
-        for own in sets:
-            if len(own):
-                sig = signatures(own, rule)[0]
-                if len(sig):
-                    held.append((sig, _node(own, clashes)))
-                    count += len(sig)
+    for node, sets in _different(batches, rule, clashes):
+        sig, owner, _, _ = signatures_of(sets, rule)
+        held.append((sig, node[owner]))
+        count += len(sig)
         if count >= FLUSH:
-            yield flush()
+            sig, node, a, b = _tree(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
             count = 0
+            yield _block_rows(sig, None, node, a, b, bits)
     if held:
-        yield flush()
+        sig, node, a, b = _tree(*map(np.concatenate, zip(*held, strict=True)))
+        yield _block_rows(sig, None, node, a, b, bits)
+
+
+def _deal_deep(
+    batches: Iterator[pa.RecordBatch], rule: Rule, bits: int, clashes: frozenset[int], allocation: Allocation
+) -> Iterator[pa.RecordBatch]:
+    """As _deal, the one-deletion neighbourhoods of an allocation and the signatures of sets that it makes poor."""
+    for node, sets in _different(batches, rule, clashes):
+        sig, kind, of = neighbourhoods_of(sets, rule, allocation, node)
+        poor, owner, _, segment = signatures_of(sets, rule, allocation)
+        poor, of_poor = poor[segment == -1], node[owner[segment == -1]]
+        yield _block_rows(*_deep_tree(np.append(sig, poor), np.append(kind, np.zeros(len(poor), np.int64)), np.append(of, of_poor)), bits)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
     """Ties the nodes that share a signature; rows come sorted by block, and one block is held at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     block = None
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def done() -> pa.RecordBatch:
-        _, _, a, b = _tree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         held.clear()
-        return pairs(a, b)
+        return pairs(*(_deep_tree(*columns) if deep else _tree(*columns))[-2:])
 
     for batch in batches:
         for key, sigs, at, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -329,8 +453,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = key
             if sigs is None:
                 yield pairs(np.frombuffer(at, np.int64), np.frombuffer(nodes, np.int64))
-            else:
-                held.append((np.cumsum(_unplanes(sigs, "<u8")), np.frombuffer(nodes, np.int64)[_unplanes(at, "<u4")]))
+                continue
+            sig, at, nodes = np.cumsum(_unplanes(sigs, "<u8")), _unplanes(at, "<u4"), np.frombuffer(nodes, np.int64)
+            held.append((sig, (at & 1).astype(np.int64), nodes[at >> 1]) if deep else (sig, nodes[at]))
     if held:
         yield done()
 
@@ -339,24 +464,21 @@ def _with_nodes(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozense
     """The rows, with the node of the text in column `at`; null without shingles."""
     release_words()
     words = WordHashes()
-    for batch in batches:
-        sets = (shingles(t, rule, words) for t in texts_of(batch.column(at)))
-        nodes = pa.array([_node(own, clashes) if len(own) else None for own in sets], pa.int64())
+    for batch in byte_batches(batches, AT_ONCE, at):
+        sets = shingles(texts_of(batch.column(at)), rule, words)
+        nodes = pa.array(_nodes(sets, clashes), mask=sets.sizes == 0)
         yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """(node, its set) of rows (doc_id, text, node) whose text is that node's, or whose node is null."""
     for part, sets in _sets(batches, rule):
-        rows = [
-            (_node(own, clashes), own)
-            for node, own in zip(part.column(2).to_pylist(), sets, strict=True)
-            if len(own) and node in (None, _node(own, clashes))
-        ]
-        values = np.concatenate([np.zeros(0, np.uint64), *(r[1] for r in rows)]).view(np.int64)
-        ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32)
+        node, any_ = _nodes(sets, clashes), part.column(2).is_null().to_numpy(zero_copy_only=False)
+        wanted = part.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        chosen = (sets.sizes > 0) & (any_ | (wanted == node))
+        own = sets.only(chosen)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+            [pa.array(node[chosen]), pa.ListArray.from_arrays(pa.array(own.ends.astype(np.int32)), pa.array(own.flat.view(np.int64)))],
             names=["node", "own"],
         )
 
@@ -393,40 +515,25 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         )
 
 
-def _deep_members(
-    batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int], allocation: Allocation
-) -> Iterator[pa.RecordBatch]:
-    """(sig, deletions, node) under an allocation: 0 and 1 in its deep segments, 2 for sets it makes poor."""
-    for _, sets in _sets(batches, rule):
-        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 3]
-        for own in sets:
-            if len(own):
-                sig, kind = neighbourhoods(own, rule, allocation)
-                poor, _, segment = signatures(own, rule, allocation)
-                poor = poor[segment == -1]
-                sig = np.concatenate([sig, poor]).view(np.int64)
-                kind = np.concatenate([kind, np.full(len(poor), 2)])
-                if len(sig):
-                    found.append([sig, kind, np.full(len(sig), _node(own, clashes))])
-        columns = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "kind", "node"])
-
-
-def allocate(costs: dict[int, dict[int, float]], prices: dict[int, float], segments: dict[int, int]) -> Allocation:
+def allocate(
+    costs: dict[int, dict[int, float]], prices: dict[int, float], segments: dict[int, int], fixed: float = 0.0
+) -> Allocation:
     """Exchanges in each scheme: the costliest segment goes to -1 and the cheapest to 1 while that saves work.
 
     costs: elements of differences to index for what a segment's equal parts leave open; prices: signatures
-    that the one-deletion neighbourhoods of one segment take.
+    that the one-deletion neighbourhoods of one segment take; fixed: what any exchange takes, as all texts are
+    read again for it. Without savings beyond that, all segments stay at 0.
     """
-    skipped, deep = {}, {}
+    skipped, deep, saved = {}, {}, 0.0
     for k, own in costs.items():
         order = sorted(range(segments[k]), key=lambda i: (-own.get(i, 0.0), i))
         n = 0
-        while 2 * n + 1 < len(order) and own.get(order[n], 0.0) > prices[k] + own.get(order[-1 - n], 0.0):
+        while 2 * n + 1 < len(order) and (gain := own.get(order[n], 0.0) - prices[k] - own.get(order[-1 - n], 0.0)) > 0:
+            saved += gain
             n += 1
         if n:
             skipped[k], deep[k] = np.array(order[:n]), np.array(order[len(order) - n :])
-    return Allocation(skipped, deep)
+    return Allocation(skipped, deep) if saved > fixed else START
 
 
 class Join:
@@ -455,14 +562,17 @@ class Join:
             classes = self.profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
         self.classes = self.scratch.keep(classes.select("node", "first"), "classes")
 
-    def candidates(self) -> DataFrame:
-        rule, clashes = self.rule, self.clashes
-        # blocks of about this many shingles' signatures
+    @property
+    def bits(self) -> int:
+        """Of a block's number: blocks hold about 1.5 million signatures of all texts."""
         bits = max(1, (4 * shuffle_partitions(self.spark) - 1).bit_length(), int(self.total / 1_500_000).bit_length())
-        bits = min(bits, 16)
+        return min(bits, 16)
+
+    def candidates(self) -> DataFrame:
+        rule, clashes, bits = self.rule, self.clashes, self.bits
         blocks = self.docs.mapInArrow(lambda b: _deal(b, rule, bits, clashes), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
-        pairs = dealt.mapInArrow(_meet, "a long, b long")
+        pairs = dealt.mapInArrow(lambda b: _meet(b, False), "a long, b long")
         return self.scratch.keep(pairs.where("a <> b").distinct(), "candidates")
 
     def sets(self, nodes: DataFrame, label: str) -> DataFrame:
@@ -492,29 +602,26 @@ class Join:
     def allocation(self, open_: DataFrame) -> Allocation:
         """What the open ties of each segment cost against one-deletion neighbourhoods."""
         rule, costs = self.rule, defaultdict(dict)
-        cells = open_.select(F.explode("shared").alias("cell")).groupBy("cell").count()
-        for r in cells.collect():  # a row per segment: bounded by the longest text
+        # an open tie goes only with all the segments in which it meets, so each of them bears its share
+        cells = open_.select(F.explode("shared").alias("cell"), (F.lit(1.0) / F.size("shared")).alias("share"))
+        for r in cells.groupBy("cell").agg(F.sum("share").alias("ties")).collect():  # a row per segment: bounded by the longest text
             k, segment = r["cell"] >> 32, (r["cell"] & 0xFFFFFFFF) - 1
             if segment >= 0:
-                costs[k][segment] = 2.0 * scheme(rule, k)[1] * r["count"]
+                costs[k][segment] = 2.0 * scheme(rule, k)[1] * r["ties"]
         prices = dict.fromkeys(costs, 0.0)
         for r in self.profile.where("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator():
             top = band_of(rule, r["n_shingles"])
             for k in {top, top - 1} & prices.keys():
                 prices[k] += r["count"] * (r["n_shingles"] / scheme(rule, k)[0] + 1)
-        return allocate(costs, prices, {k: scheme(rule, k)[0] for k in costs})
+        return allocate(costs, prices, {k: scheme(rule, k)[0] for k in costs}, float(self.total))
 
     def deep_ties(self, allocation: Allocation) -> DataFrame:
         """(a, b): trees over what meets by one deletion, or as sets that the allocation makes poor."""
-        rule, clashes = self.rule, self.clashes
-        deep = self.docs.mapInArrow(
-            lambda b: _deep_members(b, rule, clashes, allocation), "sig long, kind long, node long"
-        )
-        deep = self.scratch.keep(deep.distinct(), "deep")
-        heads = deep.groupBy("sig").agg(*(F.min(F.when(F.col("kind") == i, F.col("node"))).alias(f"head_{i}") for i in range(3)))
-        heads = heads.where("head_2 is not null or (head_0 is not null and head_1 is not null)")
-        head = F.when(F.col("kind") == 0, F.col("head_1")).when(F.col("kind") == 1, F.col("head_0")).otherwise(F.col("head_2"))
-        return deep.join(heads, "sig").select(F.col("node").alias("a"), head.alias("b")).where("a <> b").distinct()
+        rule, clashes, bits = self.rule, self.clashes, self.bits
+        blocks = self.docs.mapInArrow(lambda b: _deal_deep(b, rule, bits, clashes, allocation), _BLOCK)
+        dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
+        pairs = dealt.mapInArrow(lambda b: _meet(b, True), "a long, b long")
+        return self.scratch.keep(pairs.where("a <> b").distinct(), "deep")
 
     def groups(self, done: DataFrame, parts: DataFrame) -> DataFrame | None:
         """(node, part, wide): nodes of the components, or parts, that ties join to groups of several; None if none."""

@@ -88,7 +88,7 @@ def test_large_groups_are_exact(spark, monkeypatch, n, similarity, exchanged):
     if exchanged:  # one-deletion neighbourhoods wherever a scheme has two segments
         plain = ngram_join.allocate
         monkeypatch.setattr(
-            ngram_join, "allocate", lambda costs, prices, m: plain(costs, dict.fromkeys(prices, 0.0), m)
+            ngram_join, "allocate", lambda costs, prices, m, fixed: plain(costs, dict.fromkeys(prices, 0.0), m)
         )
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
     got = sorted(tuple(r) for r in ngram_join.ngram_join(docs, n, similarity).collect())
