@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,20 +22,25 @@ class Scratch:
     """Tables that cut lineage, written to the shared folder in spark.checkpoint.dir.
 
     Every executor can read them, so a lost executor costs a re-read and not a recomputation of
-    what came before. They go when `drop` is called or when the driver's interpreter ends.
+    what came before. They go when `drop` is called or when the driver's interpreter ends. Where the
+    setting is missing, a local session makes a folder of its own; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.kept: set[str] = set()
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str, **partition: object) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.kept.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +48,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def drop(self, name: str = "") -> None:
+        self.kept.discard(name)
         try:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)

@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch
 
+ROUNDS = 200
+#: A node with more than a HUB-th of all rows is a hub, so there are fewer than HUB of them.
+HUB = 400
+
+
+def _with_minima(rows: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """rows (u, v) with the minimum m of their u from low (u, n, m).
+
+    Hubs have more than limit rows, which a join would bring to one task: their minima are put where the rows are.
+    """
+    hubs = low.where(F.col("n") > limit).select("u", "m").collect()  # fewer than HUB
+    plain = low.select("u", "m")
+    if not hubs:
+        return rows.join(plain, "u")
+    minima = F.create_map(*[F.lit(x) for r in hubs for x in (r["u"], r["m"])])
+    is_hub = F.col("u").isin([r["u"] for r in hubs])
+    return rows.where(~is_hub).join(plain.where(~is_hub), "u").unionByName(rows.where(is_hub).withColumn("m", minima[F.col("u")]))
+
+
+def _kept(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The edges written, and their count and checksum, taken on the way."""
+    seen = Observation()
+    edges = scratch.keep(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 2**31).alias("x")), name)
+    return edges, (seen.get["n"], seen.get["x"])
+
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, component) of each node with a link: component is the smallest node it reaches.
 
     links is (a, b) in any direction, repeats and loops allowed. Each round hangs every node on the
     smallest one it knows, first its larger neighbours, then its smaller ones, until nothing moves;
-    rounds grow as the logarithm of the longest path. A node with many links is never gathered: minima
-    are taken by partial aggregation and joined back.
+    rounds grow as the logarithm of the longest path, and more than ROUNDS of them are an error. A node
+    with many links is never gathered: minima are taken by partial aggregation, and rows of the few hubs
+    aren't dealt out by them.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, before = scratch.keep(edges, f"{label}-0"), None
-    for round_ in range(1, 200):
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
+    (edges, state), before = _kept(edges, scratch, f"{label}-0"), None
+    for round_ in range(1, ROUNDS):
+        if state == before or not state[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before, limit = state, max(64, 2 * state[0] // HUB)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+        low = low.select("u", "n", F.least("u", "m").alias("m"))
+        large = _with_minima(both.where("v > u"), low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-{round_}")
+        edges, state = _kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), scratch, f"{label}-{round_}")
         if round_ > 1:
             scratch.drop(f"{label}-{round_ - 2}")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components haven't settled after {ROUNDS} rounds")

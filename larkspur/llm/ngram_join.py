@@ -49,6 +49,11 @@ from larkspur.llm.tokenizing import release_words
 
 #: Signatures gathered in a task before they are sorted and dealt out.
 FLUSH = 600_000
+#: Buckets of so many nodes have every pair as a candidate; larger ones a tree.
+SMALL_BUCKET = 8
+#: Groups of at most so many nodes and shingles are compared whole in one task, their sets held at once.
+SMALL_GROUP = 64
+SMALL_SHINGLES = 1 << 17
 #: Ids and signatures that may be broadcast (8 bytes each); beyond it, a shuffle join does the same.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of texts whose sets are made at once, and the longest stretch of a text that is split into words at once.
@@ -288,7 +293,7 @@ def neighbourhoods_of(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, deletions, node) in the segments at v = 1: each part, and each part without one of its shingles.
 
-    Equal parts have been tied at v = 0 already, so the smallest node stands for all that have a part here.
+    Equal parts meet as they are, so the deletions of a part are those of the smallest node that has it here.
     """
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for chosen, k, m, _ in _schemes(sets, rule):
@@ -296,10 +301,10 @@ def neighbourhoods_of(
         parts = Parts(own, k, m)
         at = np.flatnonzero(parts.within(allocation.deep))
         whole = _signature(parts.sums[at], parts.k[at], parts.segment[at], 0)
+        found.append((whole, np.zeros(len(at), np.int64), nodes[parts.owner[at]]))
         order = np.lexsort((nodes[parts.owner[at]], whole))
         order = order[np.append(True, whole[order][1:] != whole[order][:-1])] if len(order) else order
-        at, whole = at[order], whole[order]
-        found.append((whole, np.zeros(len(at), np.int64), nodes[parts.owner[at]]))
+        at = at[order]
         at = at[parts.sizes[at] > 1]
         part = np.repeat(at, parts.sizes[at])
         element = np.arange(len(part)) - np.repeat(_ends(parts.sizes[at])[:-1] - parts.first[at], parts.sizes[at])
@@ -355,15 +360,47 @@ def _unplanes(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
-def _tree(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures once each with their smallest node, and (a, b): the other nodes tied to that one."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
-    head = node[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-    other = head != node
-    pairs = np.unique(np.stack([node[other], head[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[new], node[new], pairs[:, 0], pairs[:, 1]
+def _distinct(sig: np.ndarray, node: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, node, whether it stands for others), each pair once, ascending, and the size of each one's bucket."""
+    order = np.lexsort((~stands, node, sig))
+    sig, node, stands = sig[order], node[order], stands[order]
+    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
+    sig, node, stands = sig[new], node[new], stands[new]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    return sig, node, stands, np.repeat(np.diff(np.append(first, len(sig))), np.diff(np.append(first, len(sig))))
+
+
+def _ties(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _tree(sig: np.ndarray, node: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, node, stands) that are left, and (a, b): of buckets above SMALL_BUCKET only the smallest node is, tied to the others."""
+    sig, node, stands, size = _distinct(sig, node, stands)
+    first = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
+    head = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    large = size > SMALL_BUCKET
+    a, b = _ties([np.stack([node, head], 1)[large & ~first]])
+    left = ~large | first
+    return sig[left], node[left], (stands | large)[left], a, b
+
+
+def _met(sig: np.ndarray, node: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, tree) of whole buckets: every pair of small ones, and trees over those that are large or were tied in part before."""
+    sig, node, stands, size = _distinct(sig, node, stands)
+    if not len(sig):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    counts = np.diff(np.append(first, len(sig)))
+    tree = (size > SMALL_BUCKET) | np.repeat(np.logical_or.reduceat(stands, first), counts)
+    head = np.repeat(node[first], counts)
+    trees, whole = _ties([np.stack([node, head], 1)[tree & (node != head)]]), []
+    for d in range(1, SMALL_BUCKET):
+        at = np.flatnonzero((sig[d:] == sig[:-d]) & ~tree[d:])
+        whole.append(np.stack([node[at + d], node[at]], 1))
+    wholes = _ties(whole)
+    return np.append(trees[0], wholes[0]), np.append(trees[1], wholes[1]), np.arange(len(trees[0]) + len(wholes[0])) < len(trees[0])
 
 
 def _deep_tree(sig: np.ndarray, kind: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -386,14 +423,14 @@ def _deep_tree(sig: np.ndarray, kind: np.ndarray, node: np.ndarray) -> tuple[np.
 _BLOCK = "block int, sigs binary, at binary, nodes binary"
 
 
-def _block_rows(sig: np.ndarray, kind: np.ndarray | None, node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Ascending signatures packed in blocks by their first bits, and the ties (a, b) found already."""
+def _block_rows(sig: np.ndarray, kind: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Ascending signatures, nodes and a bit for each, packed in blocks by the first bits, and the ties (a, b) found already."""
     rows = []
     starts = np.searchsorted(sig, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     for block, (x, y) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True)):
         if x < y:
             nodes, at = np.unique(node[x:y], return_inverse=True)
-            at = at.astype(np.uint32) if kind is None else (at * 2 + kind[x:y]).astype(np.uint32)
+            at = (at * 2 + kind[x:y]).astype(np.uint32)
             rows.append((block, _planes(np.diff(sig[x:y], prepend=np.uint64(0))), _planes(at), nodes.tobytes()))
     for x in range(0, len(a), 4096):
         rows.append((int(a[x]) & ((1 << bits) - 1), None, a[x : x + 4096].tobytes(), b[x : x + 4096].tobytes()))
@@ -405,21 +442,25 @@ def _block_rows(sig: np.ndarray, kind: np.ndarray | None, node: np.ndarray, a: n
 
 
 def _deal(batches: Iterator[pa.RecordBatch], rule: Rule, bits: int, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """Signatures in packed blocks by their first bits; those that meet here are tied here already."""
+    """Signatures in packed blocks by their first bits; large buckets are tied here already."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
+
+    def flush() -> pa.RecordBatch:
+        sig, node = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        sig, node, stands, a, b = _tree(sig, node, np.zeros(len(sig), bool))
+        return _block_rows(sig, stands, node, a, b, bits)
+
     for node, sets in _different(batches, rule, clashes):
         sig, owner, _, _ = signatures_of(sets, rule)
         held.append((sig, node[owner]))
         count += len(sig)
         if count >= FLUSH:
-            sig, node, a, b = _tree(*map(np.concatenate, zip(*held, strict=True)))
-            held.clear()
+            yield flush()
             count = 0
-            yield _block_rows(sig, None, node, a, b, bits)
     if held:
-        sig, node, a, b = _tree(*map(np.concatenate, zip(*held, strict=True)))
-        yield _block_rows(sig, None, node, a, b, bits)
+        yield flush()
 
 
 def _deal_deep(
@@ -434,17 +475,20 @@ def _deal_deep(
 
 
 def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
-    """Ties the nodes that share a signature; rows come sorted by block, and one block is held at a time."""
+    """(a, b, tree) of nodes that share a signature; rows come sorted by block, and one block is held at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     block = None
 
-    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def pairs(a: np.ndarray, b: np.ndarray, tree: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(tree)], names=["a", "b", "tree"])
 
     def done() -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        sig, bit, node = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        return pairs(*(_deep_tree(*columns) if deep else _tree(*columns))[-2:])
+        if deep:
+            a, b = _deep_tree(sig, bit, node)[-2:]
+            return pairs(a, b, np.ones(len(a), bool))
+        return pairs(*_met(sig, node, bit > 0))
 
     for batch in batches:
         for key, sigs, at, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -452,10 +496,11 @@ def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBa
                 yield done()
             block = key
             if sigs is None:
-                yield pairs(np.frombuffer(at, np.int64), np.frombuffer(nodes, np.int64))
-                continue
-            sig, at, nodes = np.cumsum(_unplanes(sigs, "<u8")), _unplanes(at, "<u4"), np.frombuffer(nodes, np.int64)
-            held.append((sig, (at & 1).astype(np.int64), nodes[at >> 1]) if deep else (sig, nodes[at]))
+                a = np.frombuffer(at, np.int64)
+                yield pairs(a, np.frombuffer(nodes, np.int64), np.ones(len(a), bool))
+            else:
+                at = _unplanes(at, "<u4")
+                held.append((np.cumsum(_unplanes(sigs, "<u8")), (at & 1).astype(np.int64), np.frombuffer(nodes, np.int64)[at >> 1]))
     if held:
         yield done()
 
@@ -504,17 +549,57 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
     """Exact comparison of pairs of sets; of those that aren't linked, the segments in which they meet."""
     for batch in batches:
         linked, shared = [], []
-        for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True):
+        for x, y, tree in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), batch.column(4).to_pylist(), strict=True):
             small, large = (x, y) if len(x) <= len(y) else (y, x)
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             linked.append(rule.linked(int((large[at] == small).sum()), len(x) + len(y)))
-            shared.append(None if linked[-1] else _shared(x, y, rule))
+            shared.append(_shared(x, y, rule) if tree and not linked[-1] else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.list_(pa.int64()))],
-            names=["a", "b", "linked", "shared"],
+            [batch.column(0), batch.column(1), batch.column(4), pa.array(linked, pa.bool_()), pa.array(shared, pa.list_(pa.int64()))],
+            names=["a", "b", "tree", "linked", "shared"],
         )
 
 
+def _links_within(nodes: list[int], sets: list[np.ndarray], rule: Rule) -> tuple[list[int], list[int]]:
+    """(a, b): a forest over the linked sets of a small group, found by comparing all of them."""
+    sizes = np.array([len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column, often = np.cumsum(n > 1) - 1, n[at] > 1
+    holds = np.zeros((len(sets), int((n > 1).sum())), np.float32)
+    holds[np.repeat(np.arange(len(sets)), sizes)[often], column[at[often]]] = 1
+    common = np.rint(holds @ holds.T).astype(np.int64)
+    linked = rule.den * common >= rule.num * (sizes[:, None] + sizes[None] - common)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while ((low := np.where(linked, label, len(sets)).min(1)) != label).any():
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return [nodes[i] for i in moved.tolist()], [nodes[i] for i in label[moved].tolist()]
+
+
+def _inside(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Links within small groups; rows (wide, node, own) come sorted, a group is held at a time."""
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+    group = None
+    for batch in batches:
+        a: list[int] = []
+        b: list[int] = []
+        for wide, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+            if wide != group and len(nodes) > 1:
+                x, y = _links_within(nodes, sets, rule)
+                a, b = a + x, b + y
+            if wide != group:
+                nodes, sets, group = [], [], wide
+            if not nodes or nodes[-1] != node:
+                nodes.append(node)
+                sets.append(own.copy())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    if len(nodes) > 1:
+        x, y = _links_within(nodes, sets, rule)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
 def allocate(
     costs: dict[int, dict[int, float]], prices: dict[int, float], segments: dict[int, int], fixed: float = 0.0
 ) -> Allocation:
@@ -552,15 +637,16 @@ class Join:
         sums = self.profile.agg(F.sum("n_shingles").alias("n")).first()
         self.total = sums["n"] or 0
         classes = self.profile.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("first"), F.min("other").alias("x"), F.max("other").alias("y")
+            F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.min("other").alias("x"), F.max("other").alias("y")
         )
         # different sets with equal 64-bit hashes: about n * n / 2 ** 65 of n sets, so a handful at 1e10
         self.clashes = frozenset(r["node"] for r in classes.where("x <> y").select("node").collect())
         if self.clashes:
             again = F.when(F.col("node").isin(list(self.clashes)), F.col("other")).otherwise(F.col("node"))
             self.profile = self.profile.withColumn("node", again)
-            classes = self.profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-        self.classes = self.scratch.keep(classes.select("node", "first"), "classes")
+            classes = self.profile.where("node is not null").groupBy("node")
+            classes = classes.agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"))
+        self.classes = self.scratch.keep(classes.select("node", "first", "n"), "classes")
 
     @property
     def bits(self) -> int:
@@ -572,30 +658,54 @@ class Join:
         rule, clashes, bits = self.rule, self.clashes, self.bits
         blocks = self.docs.mapInArrow(lambda b: _deal(b, rule, bits, clashes), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
-        pairs = dealt.mapInArrow(lambda b: _meet(b, False), "a long, b long")
-        return self.scratch.keep(pairs.where("a <> b").distinct(), "candidates")
+        pairs = dealt.mapInArrow(lambda b: _meet(b, False), "a long, b long, tree boolean")
+        return self.scratch.keep(pairs.where("a <> b").groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
 
-    def sets(self, nodes: DataFrame, label: str) -> DataFrame:
-        """(node, own) of the nodes, read from the first text of each; by node where all its rows have null ids."""
+    def read(self, nodes: DataFrame, label: str, extra: str = "") -> DataFrame:
+        """(node, own[, extra]) of the nodes, read from the first text of each; by node where all its rows have null ids.
+
+        A node may come several times where ids are shared.
+        """
         rule, clashes = self.rule, self.clashes
-        wanted = nodes.join(self.classes, "node").select(F.col("first").alias("doc_id"), "node")
+        more = [extra] if extra else []
+        wanted = nodes.join(self.classes, "node").select(F.col("first").alias("doc_id"), "node", *more)
         wanted = self.scratch.keep(wanted, f"{label}-wanted")
-        texts = self.docs.join(bounded_broadcast(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "node")
+        texts = self.docs.join(bounded_broadcast(wanted.drop(*more), BROADCAST_ROWS), "doc_id").select("doc_id", "text", "node")
         sets = texts.mapInArrow(lambda b: _wanted_sets(b, rule, clashes), "node long, own array<long>")
-        unnamed = wanted.where("doc_id is null").select("node")
+        if extra:
+            sets = sets.join(bounded_broadcast(wanted.select("node", extra), BROADCAST_ROWS), "node")
+        unnamed = wanted.where("doc_id is null").drop("doc_id")
         if unnamed.limit(1).count():
             texts = self.docs.where("doc_id is null").withColumn("node", F.lit(None).cast("long"))
             found = texts.mapInArrow(lambda b: _wanted_sets(b, rule, clashes), "node long, own array<long>")
-            sets = sets.union(found.join(bounded_broadcast(unnamed, BROADCAST_ROWS), "node", "left_semi"))
-        return self.scratch.keep(sets.groupBy("node").agg(F.first("own").alias("own")), f"{label}-sets")
+            sets = sets.unionByName(found.join(bounded_broadcast(unnamed, BROADCAST_ROWS), "node"))
+        return sets
+
+    def sets(self, nodes: DataFrame, label: str) -> DataFrame:
+        """(node, own) of the nodes, each once."""
+        sets = self.read(nodes, label).groupBy("node").agg(F.first("own").alias("own"))
+        return self.scratch.keep(sets, f"{label}-sets")
+
+    def large(self, members: DataFrame) -> DataFrame:
+        """(wide) of the groups that aren't held in one task: fewer than one to SMALL_GROUP nodes, or of very long texts."""
+        sizes = members.join(self.classes.select("node", "n"), "node").groupBy("wide")
+        sizes = sizes.agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+        return sizes.where(f"nodes > {SMALL_GROUP} or shingles > {SMALL_SHINGLES}").select("wide")
+
+    def inside(self, rows: DataFrame, label: str) -> DataFrame:
+        """(a, b): a forest over the links within small groups (wide, node, own)."""
+        rule = self.rule
+        dealt = rows.select("wide", "node", "own").repartition(shuffle_partitions(self.spark), "wide")
+        links = dealt.sortWithinPartitions("wide", "node").mapInArrow(lambda b: _inside(b, rule), "a long, b long")
+        return self.scratch.keep(links, f"{label}-inside")
 
     def verified(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-        """(a, b, linked, shared) of candidate pairs."""
+        """(a, b, tree, linked, shared) of candidate pairs; shared only for those in trees."""
         rule = self.rule
-        with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+        with_a = pairs.select("a", "b", "tree").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
         with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-        out = with_b.select("a", "b", "own_a", "own_b").mapInArrow(
-            lambda b: _verify(b, rule), "a long, b long, linked boolean, shared array<long>"
+        out = with_b.select("a", "b", "own_a", "own_b", "tree").mapInArrow(
+            lambda b: _verify(b, rule), "a long, b long, tree boolean, linked boolean, shared array<long>"
         )
         return self.scratch.keep(out, f"{label}-verified")
 
@@ -620,8 +730,8 @@ class Join:
         rule, clashes, bits = self.rule, self.clashes, self.bits
         blocks = self.docs.mapInArrow(lambda b: _deal_deep(b, rule, bits, clashes, allocation), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
-        pairs = dealt.mapInArrow(lambda b: _meet(b, True), "a long, b long")
-        return self.scratch.keep(pairs.where("a <> b").distinct(), "deep")
+        pairs = dealt.mapInArrow(lambda b: _meet(b, True), "a long, b long, tree boolean")
+        return self.scratch.keep(pairs.where("a <> b").select("a", "b").distinct(), "deep")
 
     def groups(self, done: DataFrame, parts: DataFrame) -> DataFrame | None:
         """(node, part, wide): nodes of the components, or parts, that ties join to groups of several; None if none."""
@@ -633,7 +743,7 @@ class Join:
             named = named.withColumn("a", F.coalesce("part_a", "a")).withColumn("b", F.coalesce("part_b", "b"))
             return named.where("a <> b").drop("part_a", "part_b")
 
-        open_ = self.scratch.keep(between(done.where("not linked").select("a", "b", "shared")), "open")
+        open_ = self.scratch.keep(between(done.where("tree and not linked").select("a", "b", "shared")), "open")
         if not open_.limit(1).count():
             return None
         allocation = self.allocation(open_)
@@ -709,26 +819,54 @@ class Join:
         )
         seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        return direct.select("a", "b"), self.scratch.keep(pairs.join(seen, ["a", "b"], "left_anti"), "further")
+        pairs = pairs.join(seen, ["a", "b"], "left_anti").withColumn("tree", F.lit(False))
+        return direct.select("a", "b"), self.scratch.keep(pairs, "further")
 
-    def run(self) -> DataFrame:
+    def links(self) -> DataFrame:
+        """(a, b): links enough to tell all components.
+
+        Candidates that hang together are a group. Small groups are compared whole, each in a task; of large
+        ones the candidates are verified, and what trees leave open makes narrower groups of their own.
+        """
         pairs = self.candidates()
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "first")
+        wide = components(pairs, self.scratch, "tied").select("node", F.col("component").alias("wide"))
+        members = wide.union(wide.select("wide", "wide").distinct())
+        large = self.scratch.keep(self.large(members), "large")
+        few = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+        small = self.read(members.join(few, "wide", "left_anti"), "small", "wide")
+        links = self.inside(small, "small")
+        self.scratch.drop("small-wanted")
+        inner = members.join(few, "wide", "left_semi")
+        pairs = self.scratch.keep(pairs.join(inner.select(F.col("node").alias("b")), "b", "left_semi"), "pairs")
+        self.scratch.drop("candidates")
+        if not large.limit(1).count():
+            return links
+        sets = self.sets(inner.select("node"), "first")
         done = self.verified(pairs, sets, "first")
+        found = links.union(done.where("linked").select("a", "b"))
         parts = components(done.where("linked").select("a", "b"), self.scratch, "parts")
         members = self.groups(done, parts)
-        if members is not None:
-            nodes = members.select("node").join(sets, "node", "left_anti")
-            if nodes.limit(1).count():  # those that met by one deletion alone
-                sets = sets.union(self.sets(nodes, "more"))
-            direct, further = self.further(members, sets, done)
-            more = self.verified(further, sets, "second").where("linked").select("a", "b")
-            ties = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = components(ties.union(direct).union(more), self.scratch, "all")
+        if members is None:
+            return found
+        nodes = members.select("node").join(sets, "node", "left_anti")
+        if nodes.limit(1).count():  # those that met by one deletion alone
+            sets = sets.union(self.sets(nodes, "more"))
+        large = self.scratch.keep(self.large(members), "still-large")
+        few = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+        found = found.union(self.inside(members.join(few, "wide", "left_anti").join(sets, "node"), "open"))
+        if not large.limit(1).count():
+            return found
+        direct, further = self.further(members.join(few, "wide", "left_semi"), sets, done)
+        return found.union(direct).union(self.verified(further, sets, "second").where("linked").select("a", "b"))
+
+    def run(self) -> DataFrame:
+        parts = components(self.links(), self.scratch, "all")
         named = self.classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
         named = named.join(firsts, "component").select("node", "first", "component", "component_id")
         self.named = named = self.scratch.keep(named, "named")
+        for name in self.scratch.kept - {"profile", "named"}:
+            self.scratch.drop(name)
         named = named.select("node", "component_id")
         return self.profile.join(named, "node", "left").select(
             "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from larkspur.llm import chat, decontamination, nearest, ngram_join, pii, sharding, toxicity
+from larkspur.llm import chat, common, components, decontamination, nearest, ngram_join, pii, sharding, toxicity
 
 
 def texts(seed=1, groups=25):
@@ -326,3 +326,18 @@ def test_toxicity_on_the_held_out_fold(spark, sf_dir):
     scores = toxicity.toxicity_scores(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
     rows = scores.where(toxicity.held_out(scores["doc_id"])).select("toxic", "toxic_predicted").collect()
     assert sum(r[0] == r[1] for r in rows) / len(rows) >= 0.95
+
+
+def test_components(spark, tmp_path):
+    """Paths, a hub of more rows than go by a shuffle, loops, repeats, and no links at all."""
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(100, 130)] + [(7, i) for i in range(1000, 1300)] + [(5, 5), (9, 8), (8, 9)]
+    links += [(int(a), int(b)) for a, b in rng.integers(2000, 2100, (60, 2))]
+    part = {x: x for pair in links for x in pair}
+    for a, b in links:
+        old, new = max(part[a], part[b]), min(part[a], part[b])
+        part = {k: new if v == old else v for k, v in part.items()}
+    scratch = common.Scratch(spark, "test")
+    got = components.components(spark.createDataFrame(links, "a long, b long"), scratch, "x").collect()
+    assert {r[0]: r[1] for r in got} == {k: v for k, v in part.items() if k != v}
+    assert components.components(spark.createDataFrame([], "a long, b long"), scratch, "y").collect() == []
