@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.llm.common import shuffle_partitions, table
 from larkspur.llm.tokenizing import public_path
@@ -131,19 +134,19 @@ def _format(
 ) -> Iterator[pa.RecordBatch]:
     def emit(group: list[tuple[object, str, list]]) -> pa.RecordBatch:
         encodings = _tokenizer(path, template).encode_batch([g[1] for g in group], add_special_tokens=False)
-        ids, spans = [], []
+        ids, spans, ends = [], [], [0]
         for (_, _, own), e in zip(group, encodings, strict=True):
-            ids.append(e.ids)
-            spans.append(loss_mask(np.array(e.offsets, np.int64).reshape(-1, 2), own, roles))
-        ints = pa.list_(pa.int32())
+            ids += e.ids
+            ends.append(len(ids))
+            offsets = np.fromiter(itertools.chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
+            spans.append(loss_mask(offsets, own, roles).astype(np.int32))
+        span, at = np.concatenate(spans), pa.array(ends, pa.int32())
+        lists = (np.array(ids, np.int32), span[:, 1] > span[:, 0], span[:, 0], span[:, 1])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([g[0] for g in group], kind),
                 pa.array([g[1] for g in group], pa.string()),
-                pa.array(ids, ints),
-                pa.array([(s[:, 1] > s[:, 0]).tolist() for s in spans], pa.list_(pa.bool_())),
-                pa.array([s[:, 0].astype(np.int32) for s in spans], ints),
-                pa.array([s[:, 1].astype(np.int32) for s in spans], ints),
+                *(pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(x))) for x in lists),
             ],
             names=["conv_id", "formatted", "ids", "loss", "loss_start", "loss_end"],
         )
@@ -177,7 +180,7 @@ def format_chats(
     field = rows.schema["conv_id"].dataType.simpleString()
     n = shuffle_partitions(conversations.sparkSession)
     ordered = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field]
+    kind = to_arrow_type(rows.schema["conv_id"].dataType)
     return ordered.select("conv_id", "role", "text").mapInArrow(
         lambda b: _format(b, path, template, loss_roles, kind), f"conv_id {field}, {_SCHEMA}"
     )
@@ -186,16 +189,18 @@ def format_chats(
 def _digest(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
-        for formatted, loss, start, end in zip(*map(column, ("formatted", "loss", "loss_start", "loss_end")), strict=True):
+        column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+        masked, start, end = (column(n).flatten().to_numpy(zero_copy_only=False) for n in ("loss", "loss_start", "loss_end"))
+        sizes = pc.list_value_length(column("loss")).to_numpy()
+        at = 0
+        for formatted, size in zip(column("formatted").to_pylist(), sizes.tolist(), strict=True):
             turns = template.parse(formatted)
-            runs: list[list[int]] = []
-            for masked, a, b in zip(loss, start, end, strict=True):
-                if masked and runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                elif masked:
-                    runs.append([a, b])
-            text = "".join(template.unescape(formatted[a:b]) for a, b in runs)
+            own = np.flatnonzero(masked[at : at + size]) + at
+            at += size
+            a, reach = start[own], np.maximum.accumulate(end[own])  # tokens come in order, so do their parts
+            new = np.append(True, a[1:] > reach[:-1]) if len(a) else np.zeros(0, bool)
+            runs = zip(a[new].tolist(), reach[np.append(new[1:], True)].tolist() if len(a) else [], strict=True)
+            text = "".join(template.unescape(formatted[x:y]) for x, y in runs)
             whole = "".join(f"{r}\n{t}\n" for r, t in turns)
             rows.append(
                 (

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, bounded_broadcast, table
+from larkspur.llm.common import Scratch, bounded_broadcast, table, unused
+from larkspur.llm.tokenizing import release_words
 
 WINDOW = 10
 #: Training text in one suffix array.
@@ -134,6 +135,7 @@ def occurrences(tokens: np.ndarray, test: Suffixes) -> tuple[np.ndarray, np.ndar
 
 
 def _search(batches: Iterator[pa.RecordBatch], test: Suffixes | None) -> Iterator[pa.RecordBatch]:
+    release_words()
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary()).to_pylist()
         start = 0
@@ -258,9 +260,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Rows are told apart by (doc_id, text), so of two rows with one id only the one that leaks goes.
     """
     bad = leaks(docs, benchmark, window).where(F.size("hits") > 0)
-    bad = bad.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
+    bad_id, bad_text = unused(docs, "bad_id"), unused(docs, "bad_text")
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.xxhash64("text").alias(bad_text)).distinct()
     bad = bounded_broadcast(Scratch(docs.sparkSession, "leaked").keep(bad, "rows"), BROADCAST_ROWS)
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_text"))
+    same = docs["doc_id"].eqNullSafe(bad[bad_id]) & (F.xxhash64(docs["text"]) == bad[bad_text])
     return docs.join(bad, same, "left_anti")
 
 

@@ -22,6 +22,8 @@ MAX_TRAIN = 8000
 ROUNDS = 6
 #: Share of the largest inner products whose errors matter: sets how much more parallel error weighs.
 THRESHOLD = 0.2
+#: Where vectors are so short that this share wouldn't tell parallel error from the rest, it weighs so much.
+LEAST_ETA = 2.0
 #: Rows of each block whose exact scores set a query's floor; every row that may reach the floor is reranked too.
 RERANK = 512
 #: Rows scanned as one block, and queries that are in memory at a time.
@@ -84,7 +86,7 @@ def train(x: np.ndarray, seed: int = 9) -> Quantiser:
     m = -(-dims // WIDTH)
     rng = np.random.default_rng(seed)
     x = np.pad(x, ((0, 0), (0, m * WIDTH - dims))).astype(np.float64)
-    eta = max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
+    eta = max(LEAST_ETA, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     books = x[rng.integers(0, len(x), CODES)].reshape(CODES, m, WIDTH).transpose(1, 0, 2).copy()
     unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None]
     size = m * CODES * WIDTH
@@ -174,7 +176,7 @@ def search(
         rough = lut[0].take(codes[0])
         for j in range(1, len(codes)):
             rough += lut[j].take(codes[j])
-        q = queries[k].astype(np.float64)
+        q, rounded = queries[k].astype(np.float64), queries[k].astype(np.float32)
         length, floor = float(np.linalg.norm(q)), -np.inf if floors is None else float(floors[k])
         first = np.argpartition(-rough, keep - 1)[:keep]
         first = first[ids[first] != query_ids[k]]
@@ -183,7 +185,7 @@ def search(
         near = bounds.reach(rough, length, floor)
         if len(near) > keep:
             # gathering a large share of the rows costs more than multiplying all
-            product = (single @ queries[k])[near] if 8 * len(near) > len(ids) else single[near] @ queries[k]
+            product = (single @ rounded)[near] if 8 * len(near) > len(ids) else single[near] @ rounded
             near = bounds.near(product, near, length, floor)
         near = near[ids[near] != query_ids[k]]
         score = exact(rows[near], q)
@@ -249,7 +251,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
     """(query_id, rank, vec_id, score): for each query the `top` rows of largest inner product, but itself.
 
     vectors and queries are (vec_id, embedding). Nulls, zero vectors and vectors with null or non-finite
-    components take no part, nor do those whose length isn't that of most rows. Fewer rows than `top` give
+    components take no part, nor do those whose length isn't that of most rows. Of query rows with one id the
+    smallest vector is asked for. Fewer rows than `top` give
     all of them; equal scores go by vec_id; copies of a vector are candidates each. Without rows or
     queries the result is empty. Further columns are ignored.
 
@@ -265,6 +268,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == lengths["d"])
     asked = usable(queries).where(F.size("embedding") == lengths["d"])
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sample = smallest_hashes(rows, "vec_id", 9, MAX_TRAIN).select("embedding").collect()
     quantiser = train(np.array([r[0] for r in sample], np.float64))
     found = None
@@ -272,7 +276,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
     block: list[list[float]] = []
 
     def scan(found):
-        shared = spark.sparkContext.broadcast((quantiser, np.array(block_ids, np.int64), np.array(block, np.float32)))
+        shared = spark.sparkContext.broadcast((quantiser, np.array(block_ids, np.int64), np.array(block, np.float64)))
         part = rows.mapInArrow(lambda b: _scan(b, *shared.value, top), schema)
         return part if found is None else found.unionAll(part)
 

@@ -38,17 +38,19 @@ from larkspur.llm.common import (
     MIX_B,
     Scratch,
     WordHashes,
+    arrow_rows,
     bounded_broadcast,
     byte_batches,
     shuffle_partitions,
     table,
     texts_of,
+    unused,
 )
 from larkspur.llm.components import components
 from larkspur.llm.tokenizing import release_words
 
 #: Signatures gathered in a task before they are sorted and dealt out.
-FLUSH = 600_000
+FLUSH = 400_000
 #: Buckets of so many nodes have every pair as a candidate; larger ones a tree.
 SMALL_BUCKET = 8
 #: Groups of at most so many nodes and shingles are compared whole in one task, their sets held at once.
@@ -57,7 +59,7 @@ SMALL_SHINGLES = 1 << 17
 #: Ids and signatures that may be broadcast (8 bytes each); beyond it, a shuffle join does the same.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of texts whose sets are made at once, and the longest stretch of a text that is split into words at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 STRETCH = 4 << 20
 
 _32 = np.uint64(32)
@@ -547,6 +549,7 @@ def _shared(x: np.ndarray, y: np.ndarray, rule: Rule) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Exact comparison of pairs of sets; of those that aren't linked, the segments in which they meet."""
+    release_words()
     for batch in batches:
         linked, shared = [], []
         for x, y, tree in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), batch.column(4).to_pylist(), strict=True):
@@ -579,6 +582,7 @@ def _links_within(nodes: list[int], sets: list[np.ndarray], rule: Rule) -> tuple
 
 def _inside(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links within small groups; rows (wide, node, own) come sorted, a group is held at a time."""
+    release_words()
     nodes: list[int] = []
     sets: list[np.ndarray] = []
     group = None
@@ -621,6 +625,10 @@ def allocate(
     return Allocation(skipped, deep) if saved > fixed else START
 
 
+#: Rows of a record batch: texts, or pairs of sets, that a task holds at once.
+ROWS = 512
+
+
 class Join:
     """One run over a table of (doc_id, text); see ngram_join."""
 
@@ -633,7 +641,7 @@ class Join:
         profile = self.docs.mapInArrow(
             lambda b: _profile(b, rule), f"doc_id {kind}, n_shingles long, node long, other long"
         )
-        self.profile = self.scratch.keep(profile, "profile")
+        self.profile = self.kept(profile, "profile")
         sums = self.profile.agg(F.sum("n_shingles").alias("n")).first()
         self.total = sums["n"] or 0
         classes = self.profile.where("node is not null").groupBy("node").agg(
@@ -648,6 +656,11 @@ class Join:
             classes = classes.agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"))
         self.classes = self.scratch.keep(classes.select("node", "first", "n"), "classes")
 
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """The table written by tasks that hold few rows at once."""
+        with arrow_rows(self.spark, ROWS):
+            return self.scratch.keep(df, name)
+
     @property
     def bits(self) -> int:
         """Of a block's number: blocks hold about 1.5 million signatures of all texts."""
@@ -659,7 +672,7 @@ class Join:
         blocks = self.docs.mapInArrow(lambda b: _deal(b, rule, bits, clashes), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
         pairs = dealt.mapInArrow(lambda b: _meet(b, False), "a long, b long, tree boolean")
-        return self.scratch.keep(pairs.where("a <> b").groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
+        return self.kept(pairs.where("a <> b").groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
 
     def read(self, nodes: DataFrame, label: str, extra: str = "") -> DataFrame:
         """(node, own[, extra]) of the nodes, read from the first text of each; by node where all its rows have null ids.
@@ -684,7 +697,7 @@ class Join:
     def sets(self, nodes: DataFrame, label: str) -> DataFrame:
         """(node, own) of the nodes, each once."""
         sets = self.read(nodes, label).groupBy("node").agg(F.first("own").alias("own"))
-        return self.scratch.keep(sets, f"{label}-sets")
+        return self.kept(sets, f"{label}-sets")
 
     def large(self, members: DataFrame) -> DataFrame:
         """(wide) of the groups that aren't held in one task: fewer than one to SMALL_GROUP nodes, or of very long texts."""
@@ -697,7 +710,7 @@ class Join:
         rule = self.rule
         dealt = rows.select("wide", "node", "own").repartition(shuffle_partitions(self.spark), "wide")
         links = dealt.sortWithinPartitions("wide", "node").mapInArrow(lambda b: _inside(b, rule), "a long, b long")
-        return self.scratch.keep(links, f"{label}-inside")
+        return self.kept(links, f"{label}-inside")
 
     def verified(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """(a, b, tree, linked, shared) of candidate pairs; shared only for those in trees."""
@@ -707,7 +720,7 @@ class Join:
         out = with_b.select("a", "b", "own_a", "own_b", "tree").mapInArrow(
             lambda b: _verify(b, rule), "a long, b long, tree boolean, linked boolean, shared array<long>"
         )
-        return self.scratch.keep(out, f"{label}-verified")
+        return self.kept(out, f"{label}-verified")
 
     def allocation(self, open_: DataFrame) -> Allocation:
         """What the open ties of each segment cost against one-deletion neighbourhoods."""
@@ -731,7 +744,7 @@ class Join:
         blocks = self.docs.mapInArrow(lambda b: _deal_deep(b, rule, bits, clashes, allocation), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
         pairs = dealt.mapInArrow(lambda b: _meet(b, True), "a long, b long, tree boolean")
-        return self.scratch.keep(pairs.where("a <> b").select("a", "b").distinct(), "deep")
+        return self.kept(pairs.where("a <> b").select("a", "b").distinct(), "deep")
 
     def groups(self, done: DataFrame, parts: DataFrame) -> DataFrame | None:
         """(node, part, wide): nodes of the components, or parts, that ties join to groups of several; None if none."""
@@ -911,12 +924,10 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: tuple[int,
     # ids of several rows of which some stay, and null ids: each row is judged by its own text
     shared = bounded_broadcast(ids.where("stays").select("doc_id"), BROADCAST_ROWS)
     several = docs.join(shared, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
-    name = "node"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "node")
     schema, at = StructType([*docs.schema.fields, StructField(name, LongType())]), docs.columns.index("text")
     several = several.mapInArrow(lambda b: _with_nodes(b, rule, clashes, at, name), schema)
-    several = join.scratch.keep(several, "several")
+    several = join.kept(several, "several")
     whole = leads.select(F.col("node").alias(f"{name}_lead"), F.col("first").alias(f"{name}_id"))
     own = several.where(F.col(name).isNotNull()).join(
         whole, (F.col(name) == F.col(f"{name}_lead")) & F.col("doc_id").eqNullSafe(F.col(f"{name}_id"))

@@ -70,7 +70,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, files: int | Non
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """The rows of the files; with doc_ids, stripes without them are passed over by their metadata."""
-    rows = spark.read.schema("doc_id long, row long, part int, ids array<int>").orc(path)
+    rows = spark.read.orc(path)  # doc_id is of the type that was written
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
@@ -146,11 +146,12 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = read_token_orc(spark, path).select(
         F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file"), "doc_id", "row", "part", "ids"
     )
-    parts = rows.mapInArrow(_digest, "file int, doc_id long, row long, part int, n long, crc long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    parts = rows.mapInArrow(_digest, f"file int, doc_id {kind}, row long, part int, n long, crc long")
     docs = (
         parts.groupBy("file", "doc_id", "row")
         .agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
-        .mapInArrow(_join_parts, "file int, doc_id long, row long, n_tokens long, ids_crc32 long")
+        .mapInArrow(_join_parts, f"file int, doc_id {kind}, row long, n_tokens long, ids_crc32 long")
     )
     scratch = Scratch(spark, "token-index")
     docs = scratch.keep(docs, "docs")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import os
 import re
 import struct
@@ -10,6 +13,7 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Token appended to each document by the binary writer and the packer.
@@ -139,8 +143,15 @@ def word_memo(path: str) -> WordMemo:
 
 
 def release_words() -> None:
-    """Forgets remembered words: Python workers go from operator to operator, and others need the memory."""
+    """Gives back what earlier tasks of this Python worker left: remembered words, freed Arrow buffers.
+
+    Workers go from operator to operator, and an executor's memory is shared by several of them.
+    """
     word_memo.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library can, freed memory goes back to the system
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def encode_raw(path: str, texts: list[str]) -> list[bytes]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import smallest_hashes, table
+from larkspur.llm.tokenizing import release_words
 
 #: Orders of the character n-grams.
 ORDERS = (3, 4, 5)
@@ -146,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    release_words()
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for start in range(0, batch.num_rows, 256):
