@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS = 1024
+TEXT_BYTES = 8 << 20
 MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 
@@ -64,6 +66,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Record batches of at most TEXT_ROWS rows from now on, and of TEXT_BYTES where the session has no bound.
+
+    Spark puts 10,000 rows in a batch, in the JVM and again in the Python worker; with long texts that is
+    a large part of an executor's memory.
+    """
+    rows, size = (f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, TEXT_ROWS)
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, TEXT_BYTES)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """At most so many rows of a record batch in what is run inside: rows with long texts or arrays are large."""

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, bounded_broadcast, table, unused
+from larkspur.llm.common import Scratch, bounded_broadcast, table, text_batches, unused
 from larkspur.llm.tokenizing import release_words
 
 WINDOW = 10
 #: Training text in one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark text searched in one pass over the documents. A larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 #: Leaking rows whose ids may be broadcast; beyond it, a shuffle join does the same.
@@ -222,6 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     the passes before it have found, kept as a table.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, text string, n_words long, hits array<int>, items array<string>, "

@@ -43,6 +43,7 @@ from larkspur.llm.common import (
     byte_batches,
     shuffle_partitions,
     table,
+    text_batches,
     texts_of,
     unused,
 )
@@ -634,6 +635,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, rule: Rule) -> None:
         self.spark: SparkSession = docs.sparkSession
+        text_batches(self.spark)
         self.scratch = Scratch(self.spark, "ngram-join")
         self.rule = rule
         self.docs = docs.select("doc_id", "text")
@@ -663,8 +665,8 @@ class Join:
 
     @property
     def bits(self) -> int:
-        """Of a block's number: blocks hold about 1.5 million signatures of all texts."""
-        bits = max(1, (4 * shuffle_partitions(self.spark) - 1).bit_length(), int(self.total / 1_500_000).bit_length())
+        """Of a block's number: a block is of about 750,000 shingles of all texts."""
+        bits = max(1, (4 * shuffle_partitions(self.spark) - 1).bit_length(), int(self.total / 750_000).bit_length())
         return min(bits, 16)
 
     def candidates(self) -> DataFrame:

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table
+from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table, text_batches
 from larkspur.llm.tokenizing import END_ID, encode_raw, public_path
 
 CAPACITY = 1024
 BATCH_BYTES = 1 << 20
+#: Words remembered by a task: packing is often the last of several stages in the same executors.
+MEMO_BYTES = 48 << 20
 
 END = np.array([END_ID], "<u4").tobytes()
 
@@ -97,7 +99,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
     for batch in byte_batches(batches, BATCH_BYTES, 1):
         docs, piece, start, length, crc = [], [], [], [], []
         for d, own in zip(
-            batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()]), strict=True
+            batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()], MEMO_BYTES), strict=True
         ):
             raw = memoryview(own + END)
             total = len(raw) // 4
@@ -135,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     by (bucket, length), where a bucket is a hash of the document, so no length is ranked in one task.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     scratch = Scratch(spark, "packing")
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(

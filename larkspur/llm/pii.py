@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, smallest_hashes, table
+from larkspur.llm.common import Scratch, smallest_hashes, table, text_batches
 from larkspur.llm.tokenizing import release_words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -362,6 +362,7 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     kind:start:end in code points. Null and empty texts have none. Rows with equal ids are read each
     on its own; further columns are ignored; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     field = field or train(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -390,6 +391,7 @@ def _redact(batches: Iterator[pa.RecordBatch], field: Field, at: int) -> Iterato
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with the spans of personal_data replaced in `text`; all rows and columns stay, nulls too."""
+    text_batches(docs.sparkSession)
     field = field or train(docs)
     at = docs.columns.index("text")
     return docs.mapInArrow(lambda b: _redact(b, field, at), docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table
+from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table, text_batches
 from larkspur.llm.tokenizing import END_ID, encode_raw, public_path
 
 #: Ids in one ORC row. Longer documents take several rows, so that stripes and read batches stay bounded.
@@ -52,6 +52,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, files: int | Non
     the documents of a file, ties ordered by text. Null ids come first. Documents of more than ROW_IDS
     ids take several rows, numbered by `part`. Further columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     files = files or shuffle_partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -18,6 +18,10 @@ import regex
 
 #: Token appended to each document by the binary writer and the packer.
 END_ID = 2
+#: Bytes of remembered words, and what one takes beside its characters and ids.
+MEMO_BYTES = 200 << 20
+ENTRY_BYTES = 170
+LONG_WORD = 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -69,12 +73,20 @@ class _Memo(dict):
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.encode = tokenizer.encode
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word, add_special_tokens=False).ids
+        if len(word) > LONG_WORD:
+            return struct.pack(f"<{len(ids)}I", *ids)
         self[word] = raw = struct.pack(f"<{len(ids)}I", *ids)
+        self.held += ENTRY_BYTES + 2 * len(word) + len(raw)
         return raw
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class WordMemo:
     """Byte-level BPE by words: each distinct word is encoded by the library once and then remembered.
@@ -85,9 +97,6 @@ class WordMemo:
     the start), and so does every text if the tokenizer isn't plain byte-level BPE.
     """
 
-    #: Remembered words; all are forgotten beyond this number.
-    LIMIT = 1_000_000
-
     def __init__(self, path: str) -> None:
         import json
 
@@ -123,9 +132,12 @@ class WordMemo:
     def _safe(self, text: str) -> bool:
         return not any(s in text for s in self.special) and (text.isascii() or not self.odd.search(text))
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > self.LIMIT:
+    def raw(self, texts: list[str], memo_bytes: int) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        Remembered words are all forgotten beyond memo_bytes; words of more than LONG_WORD characters go unremembered.
+        """
+        if self.memo.held > memo_bytes:
             self.memo.clear()
         ids_of, words = self.memo.__getitem__, self.words.findall
         fast = [self.plain and self._safe(t) for t in texts]
@@ -154,10 +166,10 @@ def release_words() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def encode_raw(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers."""
+def encode_raw(path: str, texts: list[str], memo_bytes: int = MEMO_BYTES) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers; about memo_bytes of words are remembered in between."""
     if path.endswith(".json"):
-        return word_memo(path).raw(texts)
+        return word_memo(path).raw(texts, memo_bytes)
     return [np.array(ids, "<u4").tobytes() for ids in encode_ids(path, texts)]
 
 

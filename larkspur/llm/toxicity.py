@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import smallest_hashes, table
+from larkspur.llm.common import smallest_hashes, table, text_batches
 from larkspur.llm.tokenizing import release_words
 
 #: Orders of the character n-grams.
@@ -165,6 +165,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     Empty and null texts get the score of the model's bias. Rows are scored each on its own; other columns
     pass through, and earlier columns of these two names are replaced. An empty table stays empty.
     """
+    text_batches(docs.sparkSession)
     rows = docs.drop("toxic_score", "toxic_predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats, whatever the corpus
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
