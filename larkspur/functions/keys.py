@@ -57,11 +57,20 @@ def variant_slugs(tokens: Sequence[Column]) -> Column:
 
 
 def safe_filename(name: Column, longest: int = 128) -> Column:
-    """Base name, white space as hyphens, other unsafe characters dropped; "unnamed" if nothing is left."""
+    """Base name, white space as hyphens, other unsafe characters dropped; "unnamed" if only dots and hyphens are left."""
     base = F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
-    kept = F.regexp_replace(F.regexp_replace(F.trim(base), r"\s+", "-"), "[^A-Za-z0-9._-]", "")
-    kept = F.substring(F.regexp_replace(kept, r"^[.-]+", ""), 1, longest)
-    return F.when(kept == "", "unnamed").otherwise(kept)
+    kept = F.regexp_replace(F.regexp_replace(base, r"(?U)\s+", "-"), "[^A-Za-z0-9._-]", "")
+    kept = F.substring(kept, 1, longest)
+    return F.when(F.btrim(kept, F.lit(".-")) == "", "unnamed").otherwise(kept)
+
+
+def storage_key(namespace: str, at: Column, content: Column) -> Column:
+    """namespace/YYYY/MM/DD/id, the id made of the content's digest so that a repeated task writes the same key."""
+    return F.concat_ws("/", F.lit(namespace), F.date_format(at, "yyyy/MM/dd"), uuid5(F.sha2(content, 256)))
+
+
+def bucket_key(prefix: str, host: Column) -> Column:
+    return F.concat(F.lit(prefix), F.substring(F.sha2(host, 256), 1, 16))
 
 
 def percent_label(share: Column) -> Column:

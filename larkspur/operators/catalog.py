@@ -27,7 +27,7 @@ def conditions(
     game: str | None = None,
     language: str | None = None,
     set_code: str | None = None,
-    rarity: str | None = None,
+    variant: str | None = None,
 ) -> Column:
     """All filters that are given: literal case-blind part of the name, prefix of the number's key, equality.
 
@@ -39,7 +39,7 @@ def conditions(
     if number is not None:
         key = number.split("/", 1)[0].lstrip("0")
         found.append(F.startswith(card_number_key(F.col("card_number")), F.lit(key)) if key else F.lit(False))
-    for column, value in (("game", game), ("language", language), ("set_code", set_code), ("rarity", rarity)):
+    for column, value in (("game", game), ("language", language), ("set_code", set_code), ("variant", variant)):
         if value is not None:
             found.append(F.col(column) == value)
     return reduce(lambda a, b: a & b, found, F.lit(True))
@@ -50,7 +50,7 @@ def total_order() -> tuple[Column, ...]:
 
 
 def search(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters: str | None) -> DataFrame:
-    """A page in total order, each row with the number of all matches; empty past the end.
+    """A page in total order, each row with the number of all matches; past the end one row of nulls beside it.
 
     The count is one aggregated row beside a top-k, not a window over a single partition. Bounds are
     checked before anything is planned.
@@ -61,7 +61,9 @@ def search(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filte
         raise ValueError(f"offset must be from 0 to {MAX_OFFSET}")
     matches = rows.where(conditions(**filters))
     total = matches.agg(F.count("*").alias("total"))  # one row
-    return matches.orderBy(*total_order()).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    page = matches.orderBy(*total_order()).offset(offset).limit(limit)  # MAX_LIMIT rows at most
+    beside = total.join(F.broadcast(page), F.lit(True), "left")
+    return beside.select(*rows.columns, "total").orderBy(*total_order())
 
 
 def detail(cards: DataFrame, external_ids: DataFrame) -> DataFrame:

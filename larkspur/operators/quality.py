@@ -20,6 +20,7 @@ CONDITIONS = (
     ("insufficient_card_size", "area", 0.06, 0.15, 0.45),
 )
 SEVERITIES = ("good", "acceptable", "poor", "unusable")
+VERDICTS = ("clear", "detected", "undetermined")
 
 
 def _signed(value: Column, unusable: float, poor: float, ideal: float) -> tuple[Column, float, float, float]:
@@ -71,3 +72,36 @@ def worst_status(status: Column) -> Column:
     order = F.array(*map(F.lit, SEVERITIES))
     place = F.max(F.array_position(order, status)).cast("int")
     return F.element_at(order, F.coalesce(place, F.lit(1)))
+
+
+def stored_findings(details: Column) -> Column:
+    """(condition, verdict, severity) of a stored record's findings, read tolerantly.
+
+    Entries without a known condition and verdict are left out, an unknown severity is none, and a record
+    whose findings aren't a list has none.
+    """
+    raw = F.try_variant_get(F.try_parse_json(details), "$.findings", "array<variant>")
+    part = lambda f, name: F.try_variant_get(f, f"$.{name}", "string")
+    found = F.transform(
+        F.coalesce(raw, F.array().cast("array<variant>")),
+        lambda f: F.struct(
+            part(f, "condition").alias("condition"),
+            part(f, "verdict").alias("verdict"),
+            F.when(part(f, "severity").isin(*SEVERITIES), part(f, "severity")).alias("severity"),
+        ),
+    )
+    known = [name for name, *_ in CONDITIONS]
+    return F.filter(found, lambda f: f["condition"].isin(*known) & f["verdict"].isin(*VERDICTS))
+
+
+def threshold_maps(**stages: dict[str, float]) -> Column:
+    """One map of name to threshold, names led by their stage so that stages can't clash."""
+    pairs = [(f"{stage}.{name}", value) for stage, own in stages.items() for name, value in own.items()]
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
+def record(version: Column, detector: Column, thresholds: Column, findings: Column) -> Column:
+    """The JSON that is stored: keys without a value are left out."""
+    return F.to_json(
+        F.struct(version.alias("version"), detector.alias("detector"), thresholds.alias("thresholds"), findings.alias("findings"))
+    )

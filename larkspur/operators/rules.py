@@ -16,7 +16,7 @@ def is_language(c: Column) -> Column:
 
 def is_identifier(c: Column) -> Column:
     """Not empty, and no white space at the ends."""
-    return c.rlike(r"(?Us)^\S(.*\S)?$")
+    return c.rlike(r"(?Us)\A\S(.*\S)?\z")
 
 
 def is_version(c: Column) -> Column:
@@ -33,7 +33,49 @@ def is_grade_key(c: Column) -> Column:
 
 
 def is_storage_key(c: Column) -> Column:
-    return (F.char_length(c) <= 1024) & c.rlike("^[a-z0-9]+(/[A-Za-z0-9._-]+)+$") & ~F.contains(c, F.lit(".."))
+    """Segments joined by single slashes, each of them led by a letter or digit."""
+    segment = "[A-Za-z0-9][A-Za-z0-9._-]*"
+    return (F.char_length(c) <= 1024) & c.rlike(rf"\A{segment}(/{segment})*\z")
+
+
+def is_date(c: Column) -> Column:
+    """An ISO date that the calendar has."""
+    return c.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & c.try_cast("date").isNotNull()
+
+
+def is_count(c: Column) -> Column:
+    """A whole number that isn't negative, given as text."""
+    return c.rlike(r"\A\d+\z")
+
+
+def is_same_currency(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b) & a.rlike(r"\A[A-Z]{3}\z")
+
+
+def is_finding(verdict: Column, severity: Column, reason: Column) -> Column:
+    """Poor or unusable if detected, no severity otherwise, and a reason if undetermined."""
+    graded = F.when(verdict == "detected", F.coalesce(severity.isin("poor", "unusable"), F.lit(False))).otherwise(severity.isNull())
+    return graded & ((verdict != "undetermined") | (F.btrim(F.coalesce(reason, F.lit(""))) != ""))
+
+
+def is_complete(conditions: Column, expected: tuple[str, ...]) -> Column:
+    """An array of conditions that has each expected one exactly once."""
+    return F.array_sort(conditions) == F.array(*map(F.lit, sorted(expected)))
+
+
+def is_monotone(unusable: Column, poor: Column, ideal: Column) -> Column:
+    return ((unusable < poor) & (poor < ideal)) | ((unusable > poor) & (poor > ideal))
+
+
+def is_band(low: Column, high: Column, least: float, most: float) -> Column:
+    """Limits in order and within what they may be."""
+    return (F.lit(least) <= low) & (low < high) & (high <= F.lit(most))
+
+
+def is_whole_pixels(pixels_per_mm: Column, *millimetres: int) -> Column:
+    """Whether a card's sides come to whole numbers of pixels, one at least."""
+    sides = [pixels_per_mm * mm for mm in millimetres]
+    return F.array_min(F.array(*((s == F.floor(s)) & (s >= 1) for s in sides)))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Each state's only step forward; any of these states may also fail.
@@ -94,6 +94,18 @@ def rate_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     )
 
 
-def latest_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+ACCEPTS_IMAGES = ("created", "uploading", "uploaded")
+
+
+def gates(status: Column) -> dict[str, Column]:
+    """What an analysis in a status may be asked for."""
+    return {
+        "accepts_images": status.isin(*ACCEPTS_IMAGES),
+        "runnable": status == "uploaded",
+        "confirmable": status == "awaiting_confirmation",
+    }
+
+
+def failure(status: Column, sides: Column) -> Column:
+    """Why a failed analysis failed, from the array of its unusable sides; null for others."""
+    return F.when(status == "failed", F.when(F.size(sides) > 0, "image_quality_failure").otherwise("analysis_failed"))
