@@ -143,7 +143,7 @@ def byte_batches(
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; forgotten all at once beyond a bounded number of words."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, bounded_broadcast, table, text_batches, unused
-from larkspur.llm.tokenizing import release_words
+from larkspur.llm.tokenizing import tidy
 
 WINDOW = 10
 #: Training text in one suffix array.
@@ -134,8 +134,8 @@ def occurrences(tokens: np.ndarray, test: Suffixes) -> tuple[np.ndarray, np.ndar
     return window, place, length
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch], test: Suffixes | None) -> Iterator[pa.RecordBatch]:
-    release_words()
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary()).to_pylist()
         start = 0

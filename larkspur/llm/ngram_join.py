@@ -48,10 +48,10 @@ from larkspur.llm.common import (
     unused,
 )
 from larkspur.llm.components import components
-from larkspur.llm.tokenizing import release_words
+from larkspur.llm.tokenizing import tidy
 
 #: Signatures gathered in a task before they are sorted and dealt out.
-FLUSH = 400_000
+FLUSH = 200_000
 #: Buckets of so many nodes have every pair as a candidate; larger ones a tree.
 SMALL_BUCKET = 8
 #: Groups of at most so many nodes and shingles are compared whole in one task, their sets held at once.
@@ -323,7 +323,6 @@ def neighbourhoods(own: np.ndarray, rule: Rule, allocation: Allocation) -> tuple
 
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[pa.RecordBatch, Sets]]:
     """Runs of rows of about AT_ONCE bytes, and the sets of the texts in their second column."""
-    release_words()
     words = WordHashes()
     for part in byte_batches(batches, AT_ONCE, 1):
         yield part, shingles(texts_of(part.column(1)), rule, words)
@@ -344,6 +343,7 @@ def _different(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset
         yield node[chosen], sets.only(chosen)
 
 
+@tidy
 def _profile(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for part, sets in _sets(batches, rule):
         empty = sets.sizes == 0
@@ -444,6 +444,7 @@ def _block_rows(sig: np.ndarray, kind: np.ndarray, node: np.ndarray, a: np.ndarr
     )
 
 
+@tidy
 def _deal(batches: Iterator[pa.RecordBatch], rule: Rule, bits: int, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """Signatures in packed blocks by their first bits; large buckets are tied here already."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -466,6 +467,7 @@ def _deal(batches: Iterator[pa.RecordBatch], rule: Rule, bits: int, clashes: fro
         yield flush()
 
 
+@tidy
 def _deal_deep(
     batches: Iterator[pa.RecordBatch], rule: Rule, bits: int, clashes: frozenset[int], allocation: Allocation
 ) -> Iterator[pa.RecordBatch]:
@@ -477,6 +479,7 @@ def _deal_deep(
         yield _block_rows(*_deep_tree(np.append(sig, poor), np.append(kind, np.zeros(len(poor), np.int64)), np.append(of, of_poor)), bits)
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
     """(a, b, tree) of nodes that share a signature; rows come sorted by block, and one block is held at a time."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -508,9 +511,9 @@ def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBa
         yield done()
 
 
+@tidy
 def _with_nodes(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int], at: int, name: str) -> Iterator[pa.RecordBatch]:
     """The rows, with the node of the text in column `at`; null without shingles."""
-    release_words()
     words = WordHashes()
     for batch in byte_batches(batches, AT_ONCE, at):
         sets = shingles(texts_of(batch.column(at)), rule, words)
@@ -518,6 +521,7 @@ def _with_nodes(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozense
         yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
 
 
+@tidy
 def _wanted_sets(batches: Iterator[pa.RecordBatch], rule: Rule, clashes: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """(node, its set) of rows (doc_id, text, node) whose text is that node's, or whose node is null."""
     for part, sets in _sets(batches, rule):
@@ -548,9 +552,9 @@ def _shared(x: np.ndarray, y: np.ndarray, rule: Rule) -> np.ndarray:
     return _cell(k[at], segment[at])
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Exact comparison of pairs of sets; of those that aren't linked, the segments in which they meet."""
-    release_words()
     for batch in batches:
         linked, shared = [], []
         for x, y, tree in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), batch.column(4).to_pylist(), strict=True):
@@ -581,9 +585,9 @@ def _links_within(nodes: list[int], sets: list[np.ndarray], rule: Rule) -> tuple
     return [nodes[i] for i in moved.tolist()], [nodes[i] for i in label[moved].tolist()]
 
 
+@tidy
 def _inside(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links within small groups; rows (wide, node, own) come sorted, a group is held at a time."""
-    release_words()
     nodes: list[int] = []
     sets: list[np.ndarray] = []
     group = None

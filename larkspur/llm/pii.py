@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, smallest_hashes, table, text_batches
-from larkspur.llm.tokenizing import release_words
+from larkspur.llm.tokenizing import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of a token: none, or one of KINDS.
@@ -287,6 +287,7 @@ def render(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = []
@@ -339,8 +340,8 @@ def train(docs: DataFrame) -> Field:
     return fit(chains)
 
 
+@tidy
 def _find(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    release_words()
     for batch in batches:
         rows = [all_spans(t or "", field) for t in batch.column(1).to_pylist()]
         counts = [[sum(s[1] == k for s in base) for base, _ in rows] for k in range(len(KINDS))]
@@ -381,8 +382,8 @@ def redacted(text: str, field: Field) -> str:
     return "".join([*out, text[last:]])
 
 
+@tidy
 def _redact(batches: Iterator[pa.RecordBatch], field: Field, at: int) -> Iterator[pa.RecordBatch]:
-    release_words()
     for batch in batches:
         texts = [t if t is None else redacted(t, field) for t in batch.column(at).to_pylist()]
         columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]

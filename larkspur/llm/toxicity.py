@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import smallest_hashes, table, text_batches
-from larkspur.llm.tokenizing import release_words
+from larkspur.llm.tokenizing import tidy
 
 #: Orders of the character n-grams.
 ORDERS = (3, 4, 5)
@@ -110,6 +110,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
+@tidy
 def _fit_task(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
@@ -146,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.frombuffer(fitted[0]["weights"], "<f4"), fitted[0]["bias"])
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    release_words()
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for start in range(0, batch.num_rows, 256):
