@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import smallest_hashes, table
+from larkspur.llm.common import Scratch, shuffle_partitions, smallest_hashes, table
 
 TOP = 20
 #: Codewords of a subspace: four bits.
@@ -26,9 +27,11 @@ THRESHOLD = 0.2
 LEAST_ETA = 2.0
 #: Rows of each block whose exact scores set a query's floor; every row that may reach the floor is reranked too.
 RERANK = 512
-#: Rows scanned as one block, and queries that are in memory at a time.
+#: Rows, and components of all of them, that are held as one block.
 BLOCK_ROWS = 32_768
-QUERY_BLOCK = 4096
+BLOCK_VALUES = 4 << 20
+#: Smaller blocks than this only to let more tasks work at once are not worth it.
+LEAST_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -144,105 +147,99 @@ class Bounds:
         return places[~(single < floor - self.slack[places] * length)]
 
 
-def search(
-    ids: np.ndarray,
-    rows: np.ndarray,
-    quantiser: Quantiser,
-    query_ids: np.ndarray,
-    queries: np.ndarray,
-    top: int,
-    floors: np.ndarray | None = None,
-):
-    """(query index, id, score) of each query's best `top` rows of this block, the same as by scoring all of them.
-
-    The exact scores of the RERANK + top rows with the largest table scores give a floor that the best rows
-    reach; every row that may reach it by its table score and error bound is scored exactly. Rows below a
-    query's entry in `floors` may be left out. Of equal vectors only the top + 1 with the smallest ids can be
-    in any answer, so the others are left out before the scan.
+class Block:
+    """Rows that queries are searched in: coded once, whatever the number of queries.
+
+    Of equal vectors only the top + 1 with the smallest ids can be in any answer, so the others are left out.
     """
-    order = np.lexsort((ids, *rows.T[::-1]))
-    ids, rows = ids[order], rows[order]
-    new = np.append(True, (rows[1:] != rows[:-1]).any(1))
-    nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-    ids, rows = ids[nth <= top], rows[nth <= top]
-    packed = quantiser.packed(rows)
-    codes = np.ascontiguousarray(packed.T)
-    single, rows = rows.astype(np.float32), rows.astype(np.float64)
-    bounds = Bounds(rows, quantiser.decoded(packed, rows.shape[1]).astype(np.float64))
-    keep = min(RERANK + top, len(ids))
-    out_q, out_id, out_score = [], [], []
-    for k in range(len(queries)):
-        lut = quantiser.tables(queries[k])
-        rough = lut[0].take(codes[0])
-        for j in range(1, len(codes)):
-            rough += lut[j].take(codes[j])
-        q, rounded = queries[k].astype(np.float64), queries[k].astype(np.float32)
-        length, floor = float(np.linalg.norm(q)), -np.inf if floors is None else float(floors[k])
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, quantiser: Quantiser, top: int) -> None:
+        order = np.lexsort((ids, *rows.T[::-1]))
+        ids, rows = ids[order], rows[order]
+        new = np.append(True, (rows[1:] != rows[:-1]).any(1))
+        nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+        self.ids, rows = ids[nth <= top], rows[nth <= top]
+        self.quantiser, self.top = quantiser, top
+        packed = quantiser.packed(rows)
+        self.codes = np.ascontiguousarray(packed.T)
+        self.single, self.rows = rows.astype(np.float32), rows.astype(np.float64)
+        self.bounds = Bounds(self.rows, quantiser.decoded(packed, rows.shape[1]).astype(np.float64))
+
+    def best(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best `top` rows, the same as by scoring all of them.
+
+        The exact scores of the RERANK + top rows with the largest table scores give a floor that the best
+        rows reach; every row that may reach it by its table score and error bound is scored exactly.
+        """
+        ids, top, keep = self.ids, self.top, min(RERANK + self.top, len(self.ids))
+        lut = self.quantiser.tables(query)
+        rough = lut[0].take(self.codes[0])
+        for j in range(1, len(self.codes)):
+            rough += lut[j].take(self.codes[j])
+        q, rounded = query.astype(np.float64), query.astype(np.float32)
+        length, floor = float(np.linalg.norm(q)), -np.inf
         first = np.argpartition(-rough, keep - 1)[:keep]
-        first = first[ids[first] != query_ids[k]]
+        first = first[ids[first] != query_id]
         if len(first) >= top:
-            floor = max(floor, float(np.partition(exact(rows[first], q), -top)[-top]))
-        near = bounds.reach(rough, length, floor)
+            floor = float(np.partition(exact(self.rows[first], q), -top)[-top])
+        near = self.bounds.reach(rough, length, floor)
         if len(near) > keep:
             # gathering a large share of the rows costs more than multiplying all
-            product = (single @ rounded)[near] if 8 * len(near) > len(ids) else single[near] @ rounded
-            near = bounds.near(product, near, length, floor)
-        near = near[ids[near] != query_ids[k]]
-        score = exact(rows[near], q)
-        best = np.lexsort((ids[near], -score))[:top]
-        out_q.append(np.full(len(best), k))
-        out_id.append(ids[near][best])
-        out_score.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
+            product = (self.single @ rounded)[near] if 8 * len(near) > len(ids) else self.single[near] @ rounded
+            near = self.bounds.near(product, near, length, floor)
+        near = near[ids[near] != query_id]
+        score = exact(self.rows[near], q)
+        order = np.lexsort((ids[near], -score))[:top]
+        return ids[near][order], score[order]
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    vectors = batch.column(1)
+    vectors = batch.column(3)
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return batch.column(0).to_numpy(zero_copy_only=False), flat.reshape(batch.num_rows, -1)
-
-
-def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, query_ids, queries, top: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-    best: tuple | None = None
-
-    def merge(held, best):
-        ids, rows = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        floors = None
-        if best is not None:  # the last score of each query that has `top` rows
-            floors = np.full(len(queries), -np.inf)
-            last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == top - 1)
-            floors[best[0][last]] = best[2][last]
-        q, i, s = search(ids, rows, quantiser, query_ids, queries, top, floors)
-        if best is not None:
-            q, i, s = (np.concatenate(p) for p in zip(best, (q, i, s), strict=True))
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            nth = np.arange(len(q)) - np.searchsorted(q, q)
-            q, i, s = q[nth < top], i[nth < top], s[nth < top]
-        return q, i, s
+    return batch.column(2).to_numpy(zero_copy_only=False), flat.reshape(batch.num_rows, -1)
+
 
+def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, top: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score): of each group the best `top` rows for each of its queries.
+
+    Batches are (grp, asks, vec_id, embedding), sorted by the first two: a group's rows come first and are
+    held as one block, then its queries stream by.
+    """
+    group, held, block = None, [], None
     for batch in batches:
-        if batch.num_rows:
-            held.append(_matrix(batch))
-            count += batch.num_rows
-        if count >= BLOCK_ROWS:
-            best, held, count = merge(held, best), [], 0
-    if held:
-        best = merge(held, best)
-    if best is not None:
-        q, i, s = best
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[q]), pa.array(i.astype(np.int64)), pa.array(s)], names=["query_id", "vec_id", "score"]
-        )
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+        cuts = (np.flatnonzero(np.diff(keys)) + 1).tolist()
+        for start, end in itertools.pairwise([0, *cuts, batch.num_rows]):
+            own, asks = divmod(int(keys[start]), 2)
+            if own != group:
+                group, held, block = own, [], None
+            ids, x = _matrix(batch.slice(start, end - start))
+            if not asks:
+                held.append((ids, x))
+                continue
+            if block is None:
+                if not held:
+                    continue
+                block = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), quantiser, top)
+                held = []
+            found = [block.best(i, q) for i, q in zip(ids.tolist(), x, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(ids, [len(f[0]) for f in found])),
+                    pa.array(np.concatenate([f[0] for f in found])),
+                    pa.array(np.concatenate([f[1] for f in found])),
+                ],
+                names=["query_id", "vec_id", "score"],
+            )
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows that take part: an id, and a vector of finite components that aren't all zero."""
     v = F.col("embedding")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", "embedding").where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
         F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & whole & F.exists(v, lambda x: x != 0)
     )
 
@@ -257,38 +254,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
     queries the result is empty. Further columns are ignored.
 
     Codebooks are fitted on at most MAX_TRAIN rows; every row is coded and scanned, and every row whose table
-    score and error bound allow it to be among the best is scored exactly, so none is missed. Queries go in blocks of
-    QUERY_BLOCK against all rows; each task hands on its best `top` per query, already scored exactly.
+    score and error bound allow it to be among the best is scored exactly, so none is missed. Rows are dealt to
+    groups of at most about BLOCK_ROWS by their place in a kept table, so that neither copies nor repeated ids
+    crowd one. Each row goes to one group and is coded once; queries go to all groups, through a shuffle and
+    not the driver, and stream past the group's rows. Groups hand on their best `top` per query, scored exactly.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    scratch = Scratch(spark, "nearest")
+    rows = scratch.keep(usable(vectors).withColumn("place", F.monotonically_increasing_id()), "rows")
     lengths = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, vec_id long, score double"
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == lengths["d"])
+    sample = smallest_hashes(rows, "vec_id", 9, MAX_TRAIN).select("embedding").collect()
+    quantiser = spark.sparkContext.broadcast(train(np.array([r[0] for r in sample], np.float64)))
+    most = max(1, min(BLOCK_ROWS, BLOCK_VALUES // lengths["d"]))
+    spread = min(shuffle_partitions(spark), -(-lengths["n"] // LEAST_ROWS))
+    groups = max(-(-lengths["n"] // most), spread)
     asked = usable(queries).where(F.size("embedding") == lengths["d"])
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sample = smallest_hashes(rows, "vec_id", 9, MAX_TRAIN).select("embedding").collect()
-    quantiser = train(np.array([r[0] for r in sample], np.float64))
-    found = None
-    block_ids: list[int] = []
-    block: list[list[float]] = []
-
-    def scan(found):
-        shared = spark.sparkContext.broadcast((quantiser, np.array(block_ids, np.int64), np.array(block, np.float64)))
-        part = rows.mapInArrow(lambda b: _scan(b, *shared.value, top), schema)
-        return part if found is None else found.unionAll(part)
-
-    for r in asked.toLocalIterator():
-        block_ids.append(r["vec_id"])
-        block.append(r["embedding"])
-        if len(block) == QUERY_BLOCK:
-            found, block_ids, block = scan(found), [], []
-    if block:
-        found = scan(found)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    own = F.pmod(F.xxhash64("place"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = rows.select(own.alias("grp"), F.lit(0).alias("asks"), "vec_id", "embedding").unionByName(
+        asked.select(every.alias("grp"), F.lit(1).alias("asks"), "vec_id", "embedding")
+    )
+    dealt = dealt.repartition(max(groups, shuffle_partitions(spark)), "grp").sortWithinPartitions("grp", "asks")
+    found = dealt.mapInArrow(lambda b: _scan(b, quantiser.value, top), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
