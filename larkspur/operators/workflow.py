@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,33 +70,56 @@ def replay(requests: DataFrame, start: str = "created") -> DataFrame:
     return folded.select("analysis_id", F.col("s.status").alias("status"), F.col("s.applied").alias("applied"), "requests")
 
 
+def _fixed_windows(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.RecordBatch]:
+    """Adds opened and place to (user_id, event_id, s) sorted by user and time; only the open window is held."""
+    client, opened, place = None, None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        users = batch.column(0)
+        s = batch.column(2).to_numpy(zero_copy_only=False)
+        starts, places = np.full(n, np.nan), np.ones(n, np.int32)
+        changed = pc.invert(pc.fill_null(pc.equal(users[1:], users[:-1]), False)).to_numpy(zero_copy_only=False)
+        changed &= ~(pc.is_null(users[1:]).to_numpy(zero_copy_only=False) & pc.is_null(users[:-1]).to_numpy(zero_copy_only=False))
+        for first, end in itertools.pairwise([0, *(np.flatnonzero(changed) + 1).tolist(), n]):
+            own = (users[first].as_py(),)
+            if own != client:
+                client, opened, place = own, None, 0
+            at = first + int(np.isnan(s[first:end]).sum())  # events without a time come first
+            while at < end:
+                if opened is None or s[at] >= opened + seconds:
+                    opened, place = float(s[at]), 0
+                last = at + int(np.searchsorted(s[at:end], opened + seconds))
+                starts[at:last], places[at:last] = opened, place + 1 + np.arange(last - at)
+                place, at = place + last - at, last
+        columns = [*batch.columns, pa.array(starts, from_pandas=True), pa.array(places)]
+        yield pa.RecordBatch.from_arrays(columns, names=["user_id", "event_id", "s", "opened", "place"])
+
+
 def rate_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Each event with its place in its client's fixed window, whether it is allowed, and the wait if not.
 
     A window opens at a client's first event outside an open one and lasts `seconds`; an event at its very
-    end opens the next. Refused events count. One client's events are folded in order of time.
+    end opens the next. Refused events count. An event without a time is a first event of its own and opens
+    no window; events without a client are one client's. Sorted events stream by, however many a client has.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("s", "event_id")))
-    entry = "array<struct<event_id:bigint,s:double,opened:double,place:int>>"
-    state = F.struct(F.lit(None).cast("double").alias("opened"), F.lit(0).alias("place"), F.array().cast(entry).alias("out"))
-
-    def step(acc, e):
-        new = acc["opened"].isNull() | (e["s"] >= acc["opened"] + seconds)
-        opened = F.when(new, e["s"]).otherwise(acc["opened"])
-        place = F.when(new, 1).otherwise(acc["place"] + 1)
-        row = F.struct(e["event_id"].alias("event_id"), e["s"].alias("s"), opened.alias("opened"), place.alias("place"))
-        return F.struct(opened.alias("opened"), place.alias("place"), F.array_append(acc["out"], row).alias("out"))
-
+    spark = events.sparkSession
     seconds_of = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = events.select("user_id", "event_id", seconds_of.alias("s"))
-    folded = rows.groupBy("user_id").agg(F.aggregate(ordered, state, step)["out"].alias("out"))
-    wait = F.greatest(F.lit(1), F.ceil(F.col("r.opened") + seconds - F.col("r.s")))
-    return folded.select("user_id", F.explode("out").alias("r")).select(
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    placed = dealt.sortWithinPartitions("user_id", "s", "event_id").mapInArrow(
+        lambda b: _fixed_windows(b, seconds),
+        f"user_id {kinds['user_id']}, event_id {kinds['event_id']}, s double, opened double, place int",
+    )
+    wait = F.greatest(F.lit(1), F.ceil(F.col("opened") + seconds - F.col("s")))
+    return placed.select(
         "user_id",
-        F.col("r.event_id").alias("event_id"),
-        F.col("r.place").alias("place"),
-        (F.col("r.place") <= limit).alias("allowed"),
-        F.when(F.col("r.place") > limit, wait.cast("long")).alias("retry_after"),
+        "event_id",
+        "place",
+        (F.col("place") <= limit).alias("allowed"),
+        F.when(F.col("place") > limit, wait.cast("long")).alias("retry_after"),
     )
 
 
