@@ -652,7 +652,19 @@ def _(spark, sf_dir):
     return workflow.replay(V.requests(spark, sf_dir))
 
 
-@query("l_fixed_windows")
+@query(
+    "l_fixed_windows",
+    "",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s FROM events),
+      w(user_id, opened) AS (
+        SELECT user_id, min(s) FROM e GROUP BY user_id
+        UNION ALL
+        SELECT e.user_id, min(e.s) FROM w JOIN e ON e.user_id = w.user_id AND e.s >= w.opened + 21600 GROUP BY e.user_id),
+      o AS (SELECT e.user_id, e.event_id, e.s, w.opened FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.s >= w.opened),
+      p AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, opened ORDER BY s, event_id) AS INTEGER) AS place FROM o)
+      SELECT user_id, event_id, place, place <= 2 AS allowed,
+        CASE WHEN place > 2 THEN greatest(1, CAST(ceil(opened + 21600 - s) AS BIGINT)) END AS retry_after FROM p""",
+)
 def _(spark, sf_dir):
     return workflow.rate_windows(V.read(spark, sf_dir, "events"), 2, 6 * 3600)
 
