@@ -71,30 +71,27 @@ def fit(rows: list[tuple[str | None, int]], prior: float) -> Model:
     y = np.array([r[1] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 30.0 if len(rows) and y[0] == 1 else -30.0)
-    index = [features(r[0]).astype(np.int32) for r in rows]
-    ends = np.cumsum([0, *map(len, index)])
-    columns = np.concatenate(index)
-    del index
     size = 1 << BITS
-    cuts = np.append(np.arange(0, len(rows), BLOCK), len(rows)).tolist()
-    blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
     pos, neg = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
-    for a, b in blocks:
-        label = np.repeat(y[a:b], np.diff(ends[a : b + 1]))
-        pos += np.bincount(columns[ends[a] : ends[b]], label, minlength=size)
-        neg += np.bincount(columns[ends[a] : ends[b]], 1 - label, minlength=size)
+    blocks = []  # first and last row, their n-grams one row after the other, and where each row's begin and end
+    for a in range(0, len(rows), BLOCK):
+        index = [features(r[0]).astype(np.int32) for r in rows[a : a + BLOCK]]
+        blocks.append((a, a + len(index), own := np.concatenate(index), ends := np.cumsum([0, *map(len, index)])))
+        label = np.repeat(y[a : a + len(index)], np.diff(ends))
+        pos += np.bincount(own, label, minlength=size)
+        neg += np.bincount(own, 1 - label, minlength=size)
+    del index
     ratio = np.log((pos / (y.sum() + 2 * SMOOTHING)) / (neg / ((1 - y).sum() + 2 * SMOOTHING)))
     w, b0 = np.full(size, 0.1), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     row_weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for t in range(1, EPOCHS + 1):  # full-batch Adam: the same result however the rows are dealt to tasks
         g, g_bias, scaled = np.zeros(size), 0.0, w * ratio
-        for a, b in blocks:  # so that only a block's n-grams have numbers beside their places
-            own, lengths = columns[ends[a] : ends[b]], np.diff(ends[a : b + 1])
+        for a, b, own, ends in blocks:  # so that only a block's n-grams have numbers beside their places
             sums = np.append(0.0, np.cumsum(scaled[own]))
-            z = sums[ends[a + 1 : b + 1] - ends[a]] - sums[ends[a:b] - ends[a]]
+            z = sums[ends[1:]] - sums[ends[:-1]]
             g_row = (1 / (1 + np.exp(-np.clip(z + b0, -60, 60))) - y[a:b]) * row_weight[a:b]
-            g += np.bincount(own, np.repeat(g_row, lengths), minlength=size)
+            g += np.bincount(own, np.repeat(g_row, np.diff(ends)), minlength=size)
             g_bias += g_row.sum()
         g = np.append(g * ratio + L2 * w, g_bias)
         m = 0.9 * m + 0.1 * g

@@ -350,3 +350,37 @@ def test_components(spark, tmp_path):
     got = components.components(spark.createDataFrame(links, "a long, b long"), scratch, "x").collect()
     assert {r[0]: r[1] for r in got} == {k: v for k, v in part.items() if k != v}
     assert components.components(spark.createDataFrame([], "a long, b long"), scratch, "y").collect() == []
+
+
+def test_toxicity_fit_against_a_dense_matrix():
+    """Rows of several blocks, empty and null texts and repeats among them."""
+    words = ["Ab", "cde", "fgh ij", "Zürich", "kkkk", ""]
+    texts = [None, "", *(" ".join(words[(i * k) % 6] for k in range(1, 2 + i % 9)) for i in range(600))]
+    rows = [(t, int(i % 3 == 0)) for i, t in enumerate(texts)]
+
+    def grams(text):
+        codes = [ord(c.lower() if "A" <= c <= "Z" else c) for c in f" {text or ''} "]
+        found = set()
+        for n in (3, 4, 5):
+            for at in range(len(codes) - n + 1):
+                h = n
+                for c in codes[at : at + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+                h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) % 2**64
+                found.add(h >> (64 - toxicity.BITS))
+        return found
+
+    own = [grams(t) for t, _ in rows]
+    names = sorted(set().union(*own))
+    x, y = np.array([[f in o for f in names] for o in own], float), np.array([r[1] for r in rows], float)
+    ratio = np.log((1 + y @ x) / (y.sum() + 2)) - np.log((1 + (1 - y) @ x) / ((1 - y).sum() + 2))
+    x, share = x * ratio, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    theta, m, v = np.append(np.full(len(names), 0.1), 0.0), 0.0, 0.0
+    for t in range(1, toxicity.EPOCHS + 1):
+        error = (1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1]))) - y) * share
+        g = np.append(error @ x + toxicity.L2 * theta[:-1], error.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta = theta - 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    z = x @ theta[:-1] + theta[-1] + np.log(0.2 / 0.8)
+    model = toxicity.fit(rows, 0.2)
+    assert np.allclose([model.score(t) for t, _ in rows], 1 / (1 + np.exp(-z)), atol=1e-4)
