@@ -77,10 +77,13 @@ def detection_confidence(rectangularity: Column, aspect: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * rectangularity + 0.5 * (1 - off)))
 
 
-def warp_multiple() -> Column:
-    """How many times the artefact's long side the shape is, rounded half to even, from 1 to 4."""
-    longest = F.greatest(*(side(i) for i in range(4)))
-    return F.greatest(F.lit(1), F.least(F.lit(4), F.bround(longest / 1056.0, 0).cast("int")))
+def warp_multiple(height: float = 1056.0, most: int = 4) -> Column:
+    """How many times the artefact's long side the shape's longer long edge is, rounded half to even, from 1 to `most`.
+
+    Long edges are the second and fourth after the quarter turn, which need not hold the longest side.
+    """
+    long_edge = F.when(short_edge_first(), F.greatest(side(0), side(2))).otherwise(F.greatest(side(1), side(3)))
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.bround(long_edge / height, 0).cast("int")))
 
 
 def short_edge_first() -> Column:
@@ -99,3 +102,26 @@ def homography(width: float, height: float) -> list[Column]:
     rows = [x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h, one]
     scale = [width, height, 1.0] * 3
     return [r / s for r, s in zip(rows, scale, strict=True)]
+
+
+def quarter_turned() -> list[Column]:
+    """x1, y1 ... x4, y4 from the next corner on where the first edge is a long one, so that it is a short one."""
+    return [F.when(short_edge_first(), F.col(c[(i + 1) % 4])).otherwise(F.col(c[i])) for i in range(4) for c in (X, Y)]
+
+
+def inverse(m: list[Column]) -> list[Column]:
+    """The inverse of nine row-major entries, the last of which comes to 1."""
+    a, b, c, d, e, f, g, h, i = m
+    adjugate = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+    return [x / adjugate[8] for x in adjugate]
+
+
+def shrunk(m: list[Column], multiple: Column) -> list[Column]:
+    """A transform followed by a division of both coordinates."""
+    return [x / multiple if k < 6 else x for k, x in enumerate(m)]
+
+
+def transformed(m: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """Where a transform leads a point."""
+    d = m[6] * x + m[7] * y + m[8]
+    return (m[0] * x + m[1] * y + m[2]) / d, (m[3] * x + m[4] * y + m[5]) / d

@@ -450,7 +450,8 @@ MARGIN = f"greatest(0, least({NEAR})) / least(frame_width, frame_height)"
     f"""SELECT vec_id, {' AND '.join(f'{_cross(i)} > 0' for i in range(1, 5))} AS valid, round({AREA}, 6) AS area,
       round({AREA} / (frame_width * frame_height), 9) AS fraction, round({_side(1)}, 6) AS top, round({RATIO}, 9) AS ratio,
       round({MARGIN}, 9) AS margin, round((x1 + x2 + x3 + x4) / 4, 6) AS cx, {_side(1)} + {_side(3)} > {_side(2)} + {_side(4)} AS turn,
-      greatest(1, least(4, CAST(round_even(greatest({_side(1)}, {_side(2)}, {_side(3)}, {_side(4)}) / 1056.0, 0) AS INT))) AS multiple
+      greatest(1, least(4, CAST(round_even(CASE WHEN {_side(1)} + {_side(3)} > {_side(2)} + {_side(4)} THEN greatest({_side(1)}, {_side(3)})
+        ELSE greatest({_side(2)}, {_side(4)}) END / 1056.0, 0) AS INT))) AS multiple
       FROM quads_v""",
 )
 def _(spark, sf_dir):
