@@ -240,6 +240,8 @@ def shapes(tiles: DataFrame, tolerance: float = TOLERANCE, least: float = LEAST_
             at, found = [], []
             for i, (width, height, parts) in enumerate(rows_of(batch, "width", "height", "parts")):
                 for loop in loops(parts):
+                    if (len(loop) / 4) ** 2 < least * width * height:  # no outline of so few sides encloses that much
+                        continue
                     p = points(loop, width)
                     area = twice_area(p) / 8
                     if not least * width * height <= abs(area) <= most * width * height:

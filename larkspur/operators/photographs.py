@@ -26,8 +26,7 @@ def candidates(shapes: DataFrame) -> DataFrame:
     Corners go clockwise from the top left. The outline's area by the quadrilateral's tells how rectangular it is.
     Ids number a frame's candidates by map and outline; a frame has few of them.
     """
-    corners = G.canonical_corners()
-    ordered = shapes.withColumn("corners", corners).select(
+    ordered = shapes.select("*", F.explode(F.array(G.canonical_corners())).alias("corners")).select(  # put in order once a row
         "image", "outline", "hole", "width", "height", "contour_area",
         *(F.get("corners", i)[c].alias(f"{c}{i + 1}") for i in range(4) for c in ("x", "y")),
     )

@@ -574,8 +574,8 @@ def _triple_sql(column: str, unusable: float, poor: float, ideal: float) -> tupl
     return sev, mar
 
 
-def _gate_sql() -> str:
-    parts = [(n, *_triple_sql(m, u, p, i)) for n, m, u, p, i in quality.CONDITIONS if n != "glare"]
+def _gate_sql(conditions: tuple = tuple(c for c in quality.CONDITIONS if c[0] != "glare")) -> str:
+    parts = [(n, *_triple_sql(m, u, p, i)) for n, m, u, p, i in conditions]
     columns = ", ".join(f"{sev} AS s_{n}, {mar} AS m_{n}" for n, sev, mar in parts)
     names = [n for n, _, _ in parts]
     rank = "CASE {} WHEN 'unusable' THEN 3 WHEN 'poor' THEN 2 WHEN 'good' THEN 0 ELSE 1 END"
@@ -583,7 +583,7 @@ def _gate_sql() -> str:
     detected = ", ".join(f"CASE WHEN s_{n} <> 'good' THEN '{n}=' || s_{n} END" for n in names)
     return f"""SELECT vec_id, round(least({', '.join(f'm_{n}' for n in names)}), 9) AS score,
       ['good', 'acceptable', 'poor', 'unusable'][1 + {worst}] AS status, concat_ws(',', {detected}) AS detected
-      FROM (SELECT vec_id, {columns} FROM (SELECT m.vec_id, blur, brightness, exposure, CAST(500 + m.vec_id * 37 % 2000 AS DOUBLE) AS short_edge,
+      FROM (SELECT vec_id, {columns} FROM (SELECT *, CAST(500 + m.vec_id * 37 % 2000 AS DOUBLE) AS short_edge,
         perspective, margin, area, candidates, sleeve FROM m JOIN b USING (vec_id) LEFT JOIN (SELECT vec_id, {RATIO} AS perspective,
         {MARGIN} AS margin, {AREA} / (frame_width * frame_height) AS area, CAST(1 + vec_id % 2 AS DOUBLE) AS candidates, 1.0::DOUBLE AS sleeve
         FROM quads_v WHERE vec_id % 5 <> 0) q USING (vec_id)))"""
@@ -684,7 +684,7 @@ def _(spark, sf_dir):
     return rows.select("id", "status", step.alias("next"))
 
 
-from larkspur.plans import more  # noqa: E402, F401 - registers further queries
+from larkspur.plans import more, pictures  # noqa: E402, F401 - register further queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,48 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", pixel).alias("px"))
 
 
+#: Embeddings that make up a photograph, a row of pixels each.
+PHOTO_ROWS = 64
+
+
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, width, height, y, px): grey photographs whose rows of pixels are the rasters of consecutive vectors."""
+    byte = F.unhex(F.array_join(F.transform("px", lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    lines = rasters(spark, sf_dir).select(
+        F.floor(F.col("vec_id") / PHOTO_ROWS).cast("long").alias("image"), (F.col("vec_id") % PHOTO_ROWS).cast("int").alias("y"), byte.alias("px")
+    )
+    sizes = lines.groupBy("image").agg(F.max(F.octet_length("px")).alias("width"), (F.max("y") + 1).alias("height"))
+    return lines.join(sizes, "image").select("image", "width", "height", "y", "px")
+
+
+def card_photos(spark: SparkSession, sf_dir: str, size: int = 125) -> DataFrame:
+    """(image, width, height, y, px): a bright card on a dark surface where each quadrilateral is."""
+    import numpy as np
+    import pyarrow as pa
+
+    def draw(batches):
+        x, y = np.meshgrid(np.arange(size), np.arange(size))
+        for batch in batches:
+            names, at, px = [], [], []
+            for row in batch.to_pylist():
+                corners = np.array([(row[f"x{i}"], row[f"y{i}"]) for i in range(1, 5)]) * size / 1000
+                side = np.roll(corners, -1, axis=0) - corners
+                inside = np.ones((size, size), bool)
+                for (cx, cy), (dx, dy) in zip(corners, side, strict=True):
+                    inside &= dx * (y - cy) - dy * (x - cx) >= 0
+                frame = np.where(inside, 200, 50 + (x * 7 + y * 13 + row["vec_id"]) % 11).astype(np.uint8)
+                names += [row["vec_id"]] * size
+                at += range(size)
+                px += [line.tobytes() for line in frame]
+            same = pa.array([size] * len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), same, same, pa.array(at, pa.int32()), pa.array(px, pa.binary())],
+                names=["image", "width", "height", "y", "px"],
+            )
+
+    return quads(spark, sf_dir).mapInArrow(draw, "image long, width int, height int, y int, px binary")
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
@@ -169,6 +211,9 @@ SQL = {
   200 + 400 * embedding[7]::DOUBLE AS dx, 850 + 400 * embedding[8]::DOUBLE AS dy FROM embeddings)""",
     "pixels_v": """SELECT vec_id, i, least(255, greatest(0, CAST(floor(128 + 400 * CAST(e AS DOUBLE)) AS INT))) AS px
   FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)""",
+    "photos_v": f"""SELECT image, y, x, px, max(x) OVER (PARTITION BY image) + 1 AS width, max(y) OVER (PARTITION BY image) + 1 AS height FROM (
+  SELECT vec_id // {PHOTO_ROWS} AS image, vec_id % {PHOTO_ROWS} AS y, i AS x, least(255, greatest(0, CAST(floor(128 + 400 * CAST(e AS DOUBLE)) AS INT))) AS px
+  FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))""",
     "images_v": """SELECT doc_id AS id, doc_id // 2 AS analysis_id, CASE WHEN doc_id % 2 = 0 THEN 'front' ELSE 'back' END AS side,
   text AS body, n_chars FROM documents""",
 }
