@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import geometry as G
 from larkspur.operators import detection, maps, outlines, photographs, quality, raster, regions, resample, tiles
-from larkspur.plans import more, registry
+from larkspur.plans import registry
 from larkspur.plans.registry import query
 from larkspur.sources import views as V
 
@@ -193,9 +193,8 @@ def _(spark, sf_dir):
 # -- SQL for queries that had none
 
 _GLARE = _largest("(SELECT vec_id, i // 8 AS y, i % 8 AS x, px FROM pixels_v)", "vec_id", f"px >= {raster.GLARE_LEVEL}")
-registry._QUERIES["r_glare"] = (
-    registry._QUERIES["r_glare"][0],
-    _recursive("pixels_v", _GLARE, "SELECT vec_id, coalesce(max(largest), 0) / count(*) AS glare FROM pixels_v LEFT JOIN b ON k = vec_id GROUP BY 1"),
+registry.LATER_SQL["r_glare"] = _recursive(
+    "pixels_v", _GLARE, "SELECT vec_id, coalesce(max(largest), 0) / count(*) AS glare FROM pixels_v LEFT JOIN b ON k = vec_id GROUP BY 1"
 )
 
 
@@ -208,11 +207,9 @@ def _gate_with_glare() -> str:
     return f"{full[:at]}, {measured}, {_GLARE}, {glare}{select}".replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-registry._QUERIES["k_quality_gate"] = (registry._QUERIES["k_quality_gate"][0], _gate_with_glare())
+registry.LATER_SQL["k_quality_gate"] = _gate_with_glare()
 
-registry._QUERIES["g_candidate_groups"] = (
-    registry._QUERIES["g_candidate_groups"][0],
-    f"""WITH c AS (SELECT vec_id // 6 AS frame, vec_id AS id, 20000 + 40000 * embedding[1]::DOUBLE AS area, round(100 + 60 * embedding[2]::DOUBLE) AS cx,
+registry.LATER_SQL["g_candidate_groups"] = f"""WITH c AS (SELECT vec_id // 6 AS frame, vec_id AS id, 20000 + 40000 * embedding[1]::DOUBLE AS area, round(100 + 60 * embedding[2]::DOUBLE) AS cx,
         round(100 + 60 * embedding[3]::DOUBLE) AS cy FROM embeddings),
       g AS (SELECT frame, list_reduce([[struct_pack(id := -1::BIGINT, area := 0::DOUBLE, cx := 0::DOUBLE, cy := 0::DOUBLE, grp := 0::BIGINT)]] || list([struct_pack(id := id, area := area, cx := cx, cy := cy, grp := 0::BIGINT)] ORDER BY area DESC, id),
         lambda acc, m: acc || [struct_pack(id := m[1].id, area := m[1].area, cx := m[1].cx, cy := m[1].cy, grp := coalesce(
@@ -222,6 +219,4 @@ registry._QUERIES["g_candidate_groups"] = (
       SELECT frame, arg_max(id, area) FILTER (grp = 1) AS id, CAST(max(grp) AS INTEGER) AS candidates,
         CASE WHEN min(area) FILTER (grp = 1) > 0 AND (sqrt(max(area) FILTER (grp = 1)) - sqrt(min(area) FILTER (grp = 1))) / 2 >= {detection.SLEEVE_MARGIN}
           AND max(area) FILTER (grp = 1) / min(area) FILTER (grp = 1) <= {detection.SLEEVE_RATIO}
-          THEN max(area) FILTER (grp = 1) / min(area) FILTER (grp = 1) ELSE 1.0 END AS sleeve FROM m WHERE grp > 0 GROUP BY 1""",
-)
-assert more  # registers before these
+          THEN max(area) FILTER (grp = 1) / min(area) FILTER (grp = 1) ELSE 1.0 END AS sleeve FROM m WHERE grp > 0 GROUP BY 1"""

@@ -15,6 +15,8 @@ from larkspur.sources.views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
+#: SQL of queries that are registered without it.
+LATER_SQL: dict[str, str] = {}
 
 NS = K.NAMESPACE.hex
 #: card_number_key in SQL.
@@ -697,4 +699,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+    return {name: sql or LATER_SQL[name] for name, (_, sql) in _QUERIES.items() if sql or name in LATER_SQL}

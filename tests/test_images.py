@@ -96,33 +96,6 @@ def test_candidate_groups(spark, sf_dir):
     assert any(v[1] < len(frames[k]) for k, v in got.items())
 
 
-def records(spark, sf_dir):
-    sets = V.sets(spark, sf_dir).select("game", "language", "set_code", "name", F.lit(None).cast("string").alias("release_date"))
-    cards = V.cards(spark, sf_dir).join(V.sets(spark, sf_dir).select("set_code", "game", "language"), "set_code")
-    ids = F.array(F.struct(F.lit("feed").alias("provider"), F.col("id").cast("string").alias("external_id")))
-    return sets, cards.withColumn("external_ids", F.when(F.col("id") % 2 == 0, ids).otherwise(F.slice(ids, 1, 0)))
-
-
-def test_snapshots_come_back_whole(spark, sf_dir, tmp_path):
-    sets, cards = records(spark, sf_dir)
-    snapshot.write_snapshot(f"{tmp_path}/a", "v1", sets, cards)
-    got_sets, got_cards, manifest = snapshot.read_snapshot(spark, f"{tmp_path}/a")
-    assert sorted(map(tuple, got_sets.collect()), key=repr) == sorted(map(tuple, sets.select(got_sets.columns).collect()), key=repr)
-    assert got_cards.exceptAll(cards.select(got_cards.columns)).count() == 0 and got_cards.count() == cards.count()
-    told = manifest.first()
-    assert told["external_id_count"] == snapshot.card_external_ids(got_cards).count() > 0
-    snapshot.write_snapshot(f"{tmp_path}/b", "v1", sets.repartition(3), cards.repartition(5))
-    assert snapshot.read_snapshot(spark, f"{tmp_path}/b")[2].first() == told
-
-
-def test_changed_snapshots_are_refused(spark, sf_dir, tmp_path):
-    sets, cards = records(spark, sf_dir)
-    snapshot.write_snapshot(f"{tmp_path}/a", "v1", sets, cards)
-    spark.createDataFrame([("{}",)], "value string").write.mode("append").text(f"{tmp_path}/a/cards")
-    with pytest.raises(ValueError, match="manifest"):
-        snapshot.read_snapshot(spark, f"{tmp_path}/a")
-
-
 def test_records_are_read_tolerantly(spark):
     rows = ["not json", None, "[]", '{"findings": {}}', '{"findings": [null, 3, {"condition": 4, "verdict": "clear"}, {"condition": "blur", "verdict": "clear"}]}']
     frame = spark.createDataFrame([(r,) for r in rows], "r string").select(quality.stored_findings(F.col("r")).alias("f"))
