@@ -12,6 +12,12 @@ LANGUAGES = {"en": "English", "ja": "Japanese"}
 IMAGE_TYPES = ("image/jpeg", "image/png")
 MAX_OFFSET = 1_000_000
 MAX_UPLOAD = 15 * 1024 * 1024
+#: White space and line ends, as a browser trims them.
+BLANK = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A{BLANK}|{BLANK}\z", "")
 
 
 def or_not_recorded(value: Column, what: str) -> Column:
@@ -32,13 +38,13 @@ def clamped_offset(raw: Column) -> Column:
 
 def language_filter(raw: Column) -> Column:
     """A code of two letters in lower case; anything else is no filter."""
-    code = F.lower(F.btrim(F.coalesce(raw, F.lit(""))))
+    code = F.lower(trimmed(F.coalesce(raw, F.lit(""))))
     return F.when(code.rlike(r"\A[a-z]{2}\z"), code).otherwise("")
 
 
 def link_params(offset: Column, **filters: Column) -> Column:
-    """name=value of the filters that aren't blank, and the offset off the first page, joined by &."""
-    pairs = [F.when(F.btrim(v) != "", F.concat(F.lit(f"{k}="), F.btrim(v))) for k, v in filters.items()]
+    """name=value of the filters that aren't blank, values encoded as forms are, and the offset off the first page, joined by &."""
+    pairs = [F.when(trimmed(v) != "", F.concat(F.lit(f"{k}="), F.url_encode(trimmed(v)))) for k, v in filters.items()]
     last = F.when(offset > 0, F.concat(F.lit("offset="), F.least(offset, F.lit(MAX_OFFSET)).cast("string")))
     return F.array_join(F.array_compact(F.array(*pairs, last)), "&")
 

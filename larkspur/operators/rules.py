@@ -15,8 +15,8 @@ def is_language(c: Column) -> Column:
 
 
 def is_identifier(c: Column) -> Column:
-    """Not empty, and no white space at the ends."""
-    return c.rlike(r"(?Us)\A\S(.*\S)?\z")
+    """Not empty, and no white space at the ends, the information separators U+001C to U+001F among it."""
+    return c.rlike(r"(?Us)\A[^\s\x1c-\x1f](.*[^\s\x1c-\x1f])?\z")
 
 
 def is_version(c: Column) -> Column:
@@ -27,9 +27,18 @@ def is_unit(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & c.between(0, 1)
 
 
+#: Halves from 0 to 10, told by their digits: a cast would round what isn't one.
+_GRADE = r"\A0*(10|[0-9])(?:\.([05])0*)?(_or_(?:lower|higher))?\z"
+
+
 def is_grade_key(c: Column) -> Column:
-    value = F.regexp_extract(c, r"^(\d+(?:\.\d+)?)(?:_or_(?:lower|higher))?$", 1).try_cast("decimal(4,1)")
-    return value.isNotNull() & value.between(0, 10) & (value % F.lit("0.5").cast("decimal(2,1)") == 0)
+    return canonical_grade(c).isNotNull()
+
+
+def canonical_grade(c: Column) -> Column:
+    """A grade key in its one spelling, 9.0 as 9 and 9.50 as 9.5; null if it isn't one."""
+    whole, half, bound = (F.regexp_extract(c, _GRADE, i) for i in (1, 2, 3))
+    return F.when(c.rlike(_GRADE) & ~((whole == "10") & (half == "5")), F.concat(whole, F.when(half == "5", ".5").otherwise(""), bound))
 
 
 def is_storage_key(c: Column) -> Column:
@@ -39,8 +48,8 @@ def is_storage_key(c: Column) -> Column:
 
 
 def is_date(c: Column) -> Column:
-    """An ISO date that the calendar has."""
-    return c.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & c.try_cast("date").isNotNull()
+    """An ISO date that the calendar has, from the year 1 on."""
+    return c.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & ~F.startswith(c, F.lit("0000")) & c.try_cast("date").isNotNull()
 
 
 def is_count(c: Column) -> Column:
@@ -53,9 +62,9 @@ def is_same_currency(a: Column, b: Column) -> Column:
 
 
 def is_finding(verdict: Column, severity: Column, reason: Column) -> Column:
-    """Poor or unusable if detected, no severity otherwise, and a reason if undetermined."""
+    """Poor or unusable if detected, no severity otherwise, and a reason if undetermined: white space is none."""
     graded = F.when(verdict == "detected", F.coalesce(severity.isin("poor", "unusable"), F.lit(False))).otherwise(severity.isNull())
-    return graded & ((verdict != "undetermined") | (F.btrim(F.coalesce(reason, F.lit(""))) != ""))
+    return graded & ((verdict != "undetermined") | F.coalesce(reason.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False)))
 
 
 def is_complete(conditions: Column, expected: tuple[str, ...]) -> Column:
@@ -73,9 +82,9 @@ def is_band(low: Column, high: Column, least: float, most: float) -> Column:
 
 
 def is_whole_pixels(pixels_per_mm: Column, *millimetres: int) -> Column:
-    """Whether a card's sides come to whole numbers of pixels, one at least."""
+    """Whether a card's sides come to whole numbers of pixels, to a billionth, one at least."""
     sides = [pixels_per_mm * mm for mm in millimetres]
-    return F.array_min(F.array(*((s == F.floor(s)) & (s >= 1) for s in sides)))
+    return F.array_min(F.array(*((F.abs(s - F.bround(s)) <= 1e-9) & (F.bround(s) >= 1) for s in sides)))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import keys as K
 from larkspur.operators import rules
+from larkspur.sources import files
 from larkspur.sources.shared import Shared
 
 ROWS_PER_FILE = 100_000
@@ -50,11 +51,11 @@ def records_digest(spark: SparkSession, path: str) -> str:
     """`sha256:` and the digest of the digests of all files of records, in their order: files are read in parallel."""
     digests = []
     for kind in ("sets", "cards"):
-        if not _exists(spark, f"{path}/{kind}"):
+        if not files.exists(spark, f"{path}/{kind}"):
             continue
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/{kind}")
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/{kind}")
         number = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long")
-        digests.append(files.select(F.lit(len(digests)).alias("kind"), number.alias("file"), F.sha2("content", 256).alias("digest")))
+        digests.append(found.select(F.lit(len(digests)).alias("kind"), number.alias("file"), F.sha2("content", 256).alias("digest")))
     if not digests:
         return "sha256:" + _empty_digest(spark)
     every = digests[0] if len(digests) == 1 else digests[0].unionByName(digests[1])
@@ -69,10 +70,10 @@ def _empty_digest(spark: SparkSession) -> str:
 def array_digest(spark: SparkSession, directory: str) -> str:
     """`sha256:` and the digest of the bytes of sets.json and then cards.json, as they lie in an exchanged folder."""
     names = ("sets.json", "cards.json")
-    files = spark.read.format("binaryFile").load([f"{directory}/{n}" for n in names])
+    both = spark.read.format("binaryFile").load([f"{directory}/{n}" for n in names])
     order = F.when(F.endswith("path", F.lit(names[0])), 0).otherwise(1)
     content = F.array_sort(F.collect_list(F.struct(order.alias("order"), "content")))  # two files
-    row = files.agg(F.sha2(F.concat(F.get(content, F.lit(0))["content"], F.get(content, F.lit(1))["content"]), 256)).first()
+    row = both.agg(F.sha2(F.concat(F.get(content, F.lit(0))["content"], F.get(content, F.lit(1))["content"]), 256)).first()
     return f"sha256:{row[0]}"
 
 
@@ -121,59 +122,13 @@ def _object(name: str) -> Column:
 # -- versions
 
 
-def _files(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _files(spark, path)
-    return fs.exists(target)
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    target, fs = _files(spark, path)
-    out = fs.create(target, False)
-    out.write(text.encode())
-    out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    target, fs = _files(spark, path)
-    stream = fs.open(target)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _rename_new(spark: SparkSession, source: str, target: str) -> bool:
-    """Renames where target isn't there yet; False if it is."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), spark._jsc.hadoopConfiguration())
-    try:
-        files.rename(path(source), path(target), options)
-    except Exception as error:  # noqa: BLE001 - the gateway wraps Java's
-        if "FileAlreadyExistsException" in str(error):
-            return False
-        raise
-    return True
-
-
 def manifests(spark: SparkSession, path: str) -> list[int]:
     """Ordinals of all published versions, in order."""
-    target, fs = _files(spark, f"{path}/manifests")
-    if not fs.exists(target):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(target)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+    return files.ordinals(spark, path)
 
 
 def _manifest(spark: SparkSession, path: str, ordinal: int) -> dict:
-    return json.loads(_read_text(spark, f"{path}/manifests/{ordinal:010d}.json"))
+    return json.loads(files.read_text(spark, files.manifest(path, ordinal)))
 
 
 def write_snapshot(
@@ -199,18 +154,18 @@ def write_snapshot(
         "set_count": sets.count(), "card_count": card_count, "external_id_count": id_count, "metadata": {**(metadata or {}), DIGEST: digest},
     }
     temporary = f"{path}/manifests/.{stage}"
-    _write_text(spark, temporary, json.dumps({**manifest, "stage": stage}, ensure_ascii=False, indent=2) + "\n")
+    files.write_text(spark, temporary, json.dumps({**manifest, "stage": stage}, ensure_ascii=False, indent=2) + "\n")
     while True:
         there = manifests(spark, path)
         for ordinal in there:
             old = _manifest(spark, path, ordinal)
             if old["version"] == version:
-                for target, fs in (_files(spark, temporary), _files(spark, folder)):
-                    fs.delete(target, True)
+                files.delete(spark, temporary)
+                files.delete(spark, folder)
                 if old["metadata"].get(DIGEST) != digest:
                     raise ValueError(f"{version} is published with other records; publish a new version")
                 return {k: v for k, v in old.items() if k != "stage"}
-        if _rename_new(spark, temporary, f"{path}/manifests/{(there or [0])[-1] + 1:010d}.json"):
+        if files.rename_new(spark, temporary, files.manifest(path, (there or [0])[-1] + 1)):
             return manifest
 
 
@@ -255,7 +210,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
     A file of an array is parsed in one task, as arrays must be; files of lines are as large as their writer made them.
     """
-    if not _exists(spark, path):
+    if not files.exists(spark, path):
         raise ValueError(f"{path} isn't there")
     whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.col("_metadata.file_path")

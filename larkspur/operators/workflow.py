@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,20 +55,116 @@ def apply_requests(analyses: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def replay(requests: DataFrame, start: str = "created") -> DataFrame:
-    """Each analysis' requests in order of time, folded from the start status; illegal ones change nothing."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "target")))
-    state = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"))
-
-    def step(acc, r):
-        ok = legal(acc["status"], r["target"])
-        return F.struct(
-            F.when(ok, r["target"]).otherwise(acc["status"]).alias("status"),
-            F.when(ok, acc["applied"] + 1).otherwise(acc["applied"]).alias("applied"),
+def predecessors(target: Column) -> Column:
+    """The statuses from which a status may be reached, in order; none for the one that analyses start with."""
+    step = F.create_map(*(F.lit(x) for pair in FORWARD.items() for x in reversed(pair)))
+    failing = F.array(*map(F.lit, sorted(FORWARD)))
+    return F.when(target == "failed", failing).otherwise(F.array_compact(F.array(F.try_element_at(step, target))))
+
+
+def successors(status: Column) -> Column:
+    """The statuses that may follow a status, in order."""
+    step = F.create_map(*(F.lit(x) for pair in FORWARD.items() for x in pair))
+    return F.when(status.isin(*FORWARD), F.array_sort(F.array(F.try_element_at(step, status), F.lit("failed")))).otherwise(F.array().cast("array<string>"))
+
+
+STATUSES = (*FORWARD, "completed", "failed")
+
+
+def _moves() -> np.ndarray:
+    """By target and status: the status after a request for the target. The last row is a target that isn't a status."""
+    moves = np.tile(np.arange(len(STATUSES)), (len(STATUSES) + 1, 1))
+    for source, target in FORWARD.items():
+        moves[STATUSES.index(target), STATUSES.index(source)] = STATUSES.index(target)
+        moves[STATUSES.index("failed"), STATUSES.index(source)] = STATUSES.index("failed")
+    return moves
+
+
+def _composed(batches: Iterator[pa.RecordBatch], last: int) -> Iterator[pa.RecordBatch]:
+    """For each analysis' requests in a row, sorted: what they make of every status, and how many of them apply."""
+    part = TaskContext.get().partitionId()
+    moves, n = _moves(), len(STATUSES)
+    names = {s: i for i, s in enumerate(STATUSES)}
+    key, to, applied, count = None, np.arange(n), np.zeros(n, np.int64), 0
+
+    def row(kind: pa.DataType) -> pa.RecordBatch:
+        lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (to, applied)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], kind), pa.array([part], pa.int32()), *lists, pa.array([count], pa.int64())],
+            names=["analysis_id", "part", "to", "applied", "requests"],
         )
 
-    folded = requests.groupBy("analysis_id").agg(F.aggregate(ordered, state, step).alias("s"), F.count("*").alias("requests"))
-    return folded.select("analysis_id", F.col("s.status").alias("status"), F.col("s.applied").alias("applied"), "requests")
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for own, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key != (own,):
+                if key is not None:
+                    yield row(kind)
+                key, to, applied, count = (own,), np.arange(n), np.zeros(n, np.int64), 0
+            after = moves[names.get(target, last)][to]
+            applied = applied + (after != to)
+            to, count = after, count + 1
+    if key is not None:
+        yield row(kind)
+
+
+def compositions(requests: DataFrame) -> DataFrame:
+    """(analysis_id, part, to, applied, requests): an analysis' requests as functions of its status, one for each run of them.
+
+    `to` has the status after the run for each status before it, `applied` how many requests were legal. Functions
+    can be composed in any grouping, so requests are dealt in ranges of (analysis, time): one analysis with a third
+    of all requests is many tasks' work, and each of them gives one row of it. `part` tells the runs' order.
+    """
+    spark = requests.sparkSession
+    kind = requests.schema["analysis_id"].dataType.simpleString()
+    order = ["analysis_id", "ts", "event_id", "target"]
+    dealt = requests.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    last = len(STATUSES)
+    return dealt.select("analysis_id", "target").mapInArrow(
+        lambda b: _composed(b, last), f"analysis_id {kind}, part int, to array<long>, applied array<long>, requests long"
+    )
+
+
+def replay(requests: DataFrame, start: str = "created") -> DataFrame:
+    """Each analysis' requests in order of time, folded from the start status; illegal ones change nothing.
+
+    Runs are composed where they lie; an analysis' few runs - at most one a task - are then taken in turn. A target
+    that isn't a status changes nothing; requests without an analysis are one's, and those without a time come first.
+    """
+    runs = F.array_sort(F.collect_list(F.struct("part", "to", "applied", "requests")))
+    at = F.struct(F.lit(STATUSES.index(start)).cast("long").alias("at"), F.lit(0).cast("long").alias("applied"))
+
+    def step(acc: Column, r: Column) -> Column:
+        here = acc["at"].cast("int")
+        return F.struct(F.get(r["to"], here).alias("at"), (acc["applied"] + F.get(r["applied"], here)).alias("applied"))
+
+    folded = compositions(requests).groupBy("analysis_id").agg(F.aggregate(runs, at, step).alias("s"), F.sum("requests").alias("requests"))
+    status = F.get(F.array(*map(F.lit, STATUSES)), F.col("s.at").cast("int"))
+    return folded.select("analysis_id", status.alias("status"), F.col("s.applied").cast("int").alias("applied"), "requests")
+
+
+def run(analyses: DataFrame, images: DataFrame, versions: DataFrame, application_version: str, as_of: Column) -> DataFrame:
+    """Every analysis after its run: (id, status, claimed, application_version, card_database_version, verdict, completed_at).
+
+    A run claims an analysis that may be identified and no other, records the application's version and that of the
+    newest catalogue (null if none is published), and takes the worst status of the analysis' images (good without any).
+    Unusable images end it as failed, at as_of; else it awaits confirmation. Others stay as they are, with no record.
+    analyses: (id, status); images: (analysis_id, status); versions: (version, ordinal).
+    """
+    severity = F.array_position(F.array(*(F.lit(s) for s in ("good", "acceptable", "poor", "unusable"))), F.col("status"))
+    worst = images.groupBy("analysis_id").agg(F.max(severity).alias("worst"))
+    current = versions.agg(F.max_by("version", "ordinal").alias("card_database_version"))  # one row
+    claimed = F.coalesce(F.array_contains(predecessors(F.lit("identifying")), F.col("status")), F.lit(False))
+    own = analyses.select("id", F.col("status").alias("was"), claimed.alias("claimed"))
+    joined = own.join(worst, F.col("id") == F.col("analysis_id"), "left").join(F.broadcast(current), F.lit(True), "left")
+    verdict = F.get(F.array(*(F.lit(s) for s in ("good", "acceptable", "poor", "unusable"))), F.coalesce("worst", F.lit(1)).cast("int") - 1)
+    status = F.when(~F.col("claimed"), F.col("was")).when(verdict == "unusable", "failed").otherwise("awaiting_confirmation")
+    only = lambda c: F.when(F.col("claimed"), c)
+    return joined.select(
+        "id", status.alias("status"), "claimed", only(F.lit(application_version)).alias("application_version"),
+        only(F.col("card_database_version")).alias("card_database_version"), only(verdict).alias("verdict"),
+        F.when(F.col("claimed") & (verdict == "unusable"), as_of).alias("completed_at"),
+    )
 
 
 def _fixed_windows(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.RecordBatch]:

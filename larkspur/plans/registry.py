@@ -620,15 +620,20 @@ _EDGES = " UNION ALL ".join(
 )
 
 
-@query("s_transitions", "", f"SELECT f AS from_status, t AS to_status FROM ({_EDGES})")
+@query(
+    "s_transitions", "analyses_v", f"SELECT id, status, t AS to_status FROM analyses_v JOIN ({_EDGES}) ON f = status"
+)
 def _(spark, sf_dir):
-    return workflow.transitions(spark)
+    return V.analyses(spark, sf_dir).select("id", "status", F.explode(workflow.successors(F.col("status"))).alias("to_status"))
 
 
-@query("s_predecessors", "", f"SELECT t AS to_status, string_agg(f, ',' ORDER BY f) AS predecessors FROM ({_EDGES}) GROUP BY 1")
+@query(
+    "s_predecessors",
+    "requests_v",
+    f"""SELECT event_id, target, coalesce(string_agg(f, ',' ORDER BY f), '') AS predecessors FROM requests_v LEFT JOIN ({_EDGES}) ON t = target GROUP BY 1, 2""",
+)
 def _(spark, sf_dir):
-    grouped = workflow.transitions(spark).groupBy("to_status").agg(F.array_sort(F.collect_set("from_status")).alias("p"))
-    return grouped.select("to_status", F.array_join("p", ",").alias("predecessors"))
+    return V.requests(spark, sf_dir).select("event_id", "target", F.array_join(workflow.predecessors(F.col("target")), ",").alias("predecessors"))
 
 
 @query(
@@ -686,7 +691,7 @@ def _(spark, sf_dir):
     return rows.select("id", "status", step.alias("next"))
 
 
-from larkspur.plans import more, pictures  # noqa: E402, F401 - register further queries
+from larkspur.plans import more, pictures, tables  # noqa: E402, F401 - register further queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
