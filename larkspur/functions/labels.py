@@ -61,3 +61,37 @@ def upload_rejection(kind: Column, size: Column) -> Column:
     """Why a file isn't sent: its type, then too large, then empty; null if it is."""
     known = F.coalesce(kind.isin(*IMAGE_TYPES), F.lit(False))
     return F.when(~known, "not an image").when(size > MAX_UPLOAD, "too large").when(size == 0, "empty")
+
+
+def release_date_label(released: Column) -> Column:
+    """The date as the set prints it."""
+    return or_not_recorded(released.cast("string"), "release date")
+
+
+def metadata_label(value: Column) -> Column:
+    """A metadata value (a variant) as text: strings and numbers plainly, structures as JSON, a dash for nothing."""
+    kind = F.schema_of_variant(value)
+    plain = F.try_variant_get(value, "$", "string")
+    shown = F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), F.to_json(value)).otherwise(plain)
+    return F.when(value.isNull() | F.is_variant_null(value), "—").otherwise(shown)
+
+
+def confidence(value: Column) -> Column:
+    """A share from 0 to 1; null for anything else, which must not be shown as one."""
+    return F.when(value.isNotNull() & ~F.isnan(value) & value.between(0, 1), value)
+
+
+def certainty(kind: Column, value: Column) -> Column:
+    """(state, label): measured if an identification came with a confidence, else unknown - which isn't none."""
+    own = confidence(value)
+    measured = (kind == "identified") & own.isNotNull()
+    return F.struct(
+        F.when(measured, "measured").otherwise("unknown").alias("state"), F.when(measured, percent_label(own)).otherwise("Not measured").alias("label")
+    )
+
+
+def read_retry_after(header: Column) -> Column:
+    """The whole seconds that a Retry-After header begins with; null for none, less than none, or a date."""
+    digits = F.regexp_extract(trimmed(F.coalesce(header, F.lit(""))), r"\A[+]?(\d+)", 1)
+    zero = trimmed(F.coalesce(header, F.lit(""))).rlike(r"\A-0+(\D|\z)")
+    return F.when(digits != "", digits.try_cast("double")).when(zero, 0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.keys import slug
+from larkspur.functions.keys import card_key, set_key, slug, uuid5
 
 # Flags of a payload and the printings they stand for, in this order; the size that isn't named.
 FLAGS = (("normal", "normal"), ("holo", "holo"), ("reverse", "reverse"), ("firstEdition", "1st-edition"), ("wPromo", "w-promo"))
@@ -63,6 +63,57 @@ def card_rows(payloads: DataFrame) -> DataFrame:
     return rows.withColumn("variant_id", F.get("detailed", F.col("place"))["variantId"]).drop("detailed", "variants")
 
 
+# What a set's and a card's metadata are called in a payload.
+SET_METADATA = (("upstream_id", "id"), ("serie", "serie"), ("card_count", "cardCount"))
+CARD_METADATA = (
+    ("upstream_id", "id"), ("category", "category"), ("illustrator", "illustrator"), ("dex_id", "dexId"), ("regulation_mark", "regulationMark"),
+)
+
+
+def _metadata(payloads: DataFrame, names: tuple[tuple[str, str], ...]) -> Column:
+    """A map of what the payload has; structured values as JSON, absent ones left out."""
+
+    def text(name: str) -> Column:
+        kind = payloads.schema[name].dataType.typeName()
+        return F.to_json(name) if kind in ("struct", "array", "map") else F.col(name).cast("string")
+
+    there = {c.lower() for c in payloads.columns}
+    pairs = [x for label, name in names if name.lower() in there for x in (F.lit(label), text(name))]
+    return without_nulls(F.create_map(*pairs))
+
+
+def set_records(payloads: DataFrame, game: str) -> DataFrame:
+    """(id, game, language, set_code, name, release_date, metadata) of sets (id, language, abbreviation, name, releaseDate, serie, cardCount).
+
+    The code is the printed abbreviation where there is one; an empty or absent date is none.
+    """
+    code = set_code(F.col("abbreviation"), F.col("id"))
+    rows = payloads.select(
+        F.lit(game).alias("game"), "language", code.alias("set_code"), "name",
+        _truthy(F.col("releaseDate")).try_cast("date").alias("release_date"), _metadata(payloads, SET_METADATA).alias("metadata"),
+    )
+    return rows.select(uuid5(set_key(F.col("game"), F.col("language"), F.col("set_code"))).alias("id"), "*")
+
+
+def card_records(payloads: DataFrame, game: str, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(cards, external ids) of payloads that name their language: whole records, one for each printing.
+
+    Cards are (id, set_id, game, language, set_code, card_number, name, rarity, variant, metadata), external ids (card_id,
+    provider, external_id, metadata). All printings of a payload share its external id, whose metadata tell which was meant.
+    """
+    keep = payloads.withColumn("metadata", _metadata(payloads, CARD_METADATA))
+    printed = card_rows(keep).join(
+        keep.select(F.col("id").alias("external_id"), "language", "rarity", "metadata"), "external_id"
+    ).withColumn("game", F.lit(game))
+    names = [F.col(c) for c in ("game", "language", "set_code")]
+    own = printed.withColumns({"set_id": uuid5(set_key(*names)), "card_id": uuid5(card_key(*names, F.col("card_number"), F.col("variant")))})
+    cards = own.select(
+        F.col("card_id").alias("id"), "set_id", "game", "language", "set_code", "card_number", "name", "rarity", "variant", "metadata"
+    )
+    meant = without_nulls(F.create_map(F.lit("variant_id"), F.col("variant_id")))
+    return cards, own.select("card_id", F.lit(provider).alias("provider"), "external_id", meant.alias("metadata"))
+
+
 def colliding_codes(sets: DataFrame) -> DataFrame:
     """(game, language, set_code, ids) of codes that several upstream sets come to."""
     found = sets.groupBy("game", "language", "set_code").agg(F.array_sort(F.collect_set("upstream_id")).alias("ids"))

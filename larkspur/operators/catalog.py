@@ -77,6 +77,30 @@ def detail(cards: DataFrame, external_ids: DataFrame) -> DataFrame:
     )
 
 
+def with_set_details(cards: DataFrame, sets: DataFrame) -> DataFrame:
+    """Cards with all of their set, under names that don't clash with their own: set_id, set_name, release_date, set_metadata.
+
+    cards have set_id, sets (id, game, language, set_code, name, release_date, metadata). One shuffle or a checked broadcast.
+    """
+    named = sets.select(
+        F.col("id").alias("set_id"), "game", "language", "set_code", F.col("name").alias("set_name"), "release_date", F.col("metadata").alias("set_metadata")
+    )
+    small = named.limit(SETS_ROWS + 1).count() <= SETS_ROWS
+    own = cards.drop("game", "language", "set_code")
+    return own.join(F.broadcast(named) if small else named, "set_id")
+
+
+def card_detail(cards: DataFrame, sets: DataFrame, external_ids: DataFrame) -> DataFrame:
+    """Each card with its set and its external ids in order; an empty array without any.
+
+    External ids are dealt by card once: repeated ones go in the grouping that lists them.
+    """
+    own = external_ids.groupBy("card_id").agg(F.array_sort(F.collect_set(F.struct("provider", "external_id"))).alias("external_ids"))
+    empty = F.array().cast("array<struct<provider:string,external_id:string>>")
+    whole = with_set_details(cards, sets)
+    return whole.join(own, whole["id"] == own["card_id"], "left").select(*whole.columns, F.coalesce("external_ids", empty).alias("external_ids"))
+
+
 def merge(target: DataFrame, source: DataFrame, keys: list[str], updates: list[str]) -> DataFrame:
     """Rows of both by key; where both have one, only `updates` are taken from the source, nulls included."""
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 # Magic bytes, the segments and chunks that hold metadata, the limits.
 JPEG, PNG = b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n"
 JPEG_METADATA = (0xE1, 0xED, 0xFE)  # APP1 (EXIF, XMP), APP13 (IPTC), COM
-PNG_METADATA = (b"eXIf", b"tEXt", b"iTXt", b"zTXt", b"tIME")
+#: Chunks that change what is shown, and no others: what isn't known may be personal.
+PNG_KEPT = (b"IHDR", b"PLTE", b"IDAT", b"IEND", b"tRNS", b"gAMA", b"cHRM", b"sRGB", b"iCCP", b"sBIT", b"pHYs", b"bKGD")
+#: Samples of a pixel by colour type.
+PNG_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 MAX_BYTES, MAX_PIXELS = 15 * 1024 * 1024, 50_000_000
 
 _FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
@@ -31,7 +34,7 @@ def jpeg_segments(data: bytes) -> Iterator[tuple[int, bytes]]:
         if marker == 0xDA:
             yield marker, data[at:]
             return
-        alone = marker == 0x01 or 0xD0 <= marker <= 0xD7
+        alone = marker == 0x01 or 0xD0 <= marker <= 0xD9
         end = at + 2 if alone else at + 2 + struct.unpack_from(">H", data, at + 2)[0]
         if end > len(data) or (not alone and end < at + 4):
             raise ValueError("a segment runs past the end")
@@ -55,6 +58,33 @@ def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     raise ValueError("no end")
 
 
+def check_png_pixels(parts: list[tuple[bytes, bytes]]) -> None:
+    """Inflates the pixels, some at a time, and counts them: an error if they aren't all there or can't be read."""
+    width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[0][1][8:21])
+    if colour not in PNG_SAMPLES or depth not in (1, 2, 4, 8, 16) or interlace > 1:
+        raise ValueError("an unknown kind of pixels")
+    bits = PNG_SAMPLES[colour] * depth
+    if interlace:
+        starts, steps = ((0, 0), (0, 4), (4, 0), (0, 2), (2, 0), (0, 1), (1, 0)), ((8, 8), (8, 8), (8, 4), (4, 4), (4, 2), (2, 2), (2, 1))
+        sizes = [(-(-(height - y) // dy), -(-(width - x) // dx)) for (y, x), (dy, dx) in zip(starts, steps, strict=True)]
+    else:
+        sizes = [(height, width)]
+    want = sum(h * (1 + -(-w * bits // 8)) for h, w in sizes if h > 0 and w > 0)
+    reader, found = zlib.decompressobj(), 0
+    try:
+        for kind, chunk in parts:
+            rest = chunk[8:-4] if kind == b"IDAT" else b""
+            while rest and not reader.eof:
+                found += len(reader.decompress(rest, 1 << 20))
+                rest = reader.unconsumed_tail
+                if found > want:
+                    break
+    except zlib.error as error:
+        raise ValueError("pixels can't be read") from error
+    if found < want:
+        raise ValueError("pixels are missing")
+
+
 def inspect(data: bytes | None) -> tuple[str | None, int | None, int | None, str | None, bytes | None]:
     """(format, width, height, problem, clean bytes): the pixels' data is copied as it is, the size read from the header."""
     if not data:
@@ -75,7 +105,9 @@ def inspect(data: bytes | None) -> tuple[str | None, int | None, int | None, str
             if parts[0][0] != b"IHDR":
                 raise ValueError("no header")
             width, height = struct.unpack_from(">II", parts[0][1], 8)
-            clean = PNG + b"".join(c for k, c in parts if k not in PNG_METADATA)
+            clean = PNG + b"".join(c for k, c in parts if k in PNG_KEPT)
+            if 0 < width * height <= MAX_PIXELS:
+                check_png_pixels(parts)
     except (ValueError, StopIteration, struct.error, IndexError):
         return kind, None, None, "undecodable", None
     if not width or not height:

@@ -67,6 +67,57 @@ def assess(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Measurements that need a located card, and why they lack one where no detector said.
+GEOMETRIC = ("perspective", "margin", "candidates", "sleeve", "area")
+NO_GEOMETRY = "the card has not been located in the photograph"
+
+# What a client says of a condition that was detected.
+FAULTS = {
+    "blur": "It is out of focus.",
+    "low_resolution": "It is too small for the detail this needs.",
+    "glare": "A reflection is covering part of the card.",
+    "poor_exposure": "The light is too flat to make anything out.",
+    "excessive_darkness": "It is too dark to read.",
+    "excessive_brightness": "It is washed out by the light.",
+    "severe_perspective_distortion": "The card is at too much of an angle.",
+    "card_partly_outside_frame": "Part of the card is outside the picture.",
+    "multiple_cards": "There seems to be more than one card in the picture.",
+    "sleeve_obstruction": "A sleeve is covering the card.",
+    "insufficient_card_size": "The card is too small in the frame.",
+}
+
+
+def detailed_findings(reason: Column) -> Column:
+    """(condition, verdict, severity, measurement, reason) of each condition in order, from a row's measurements.
+
+    A decided one carries what was measured; an undetermined one the reason, which is the detector's where it gave one.
+    """
+    why = F.when(F.btrim(F.coalesce(reason, F.lit(""))) != "", F.btrim(reason)).otherwise(NO_GEOMETRY)
+    found = []
+    for name, m, u, p, i in CONDITIONS:
+        value = F.col(m).cast("double")
+        grade = severity(value, u, p, i)
+        found.append(
+            F.struct(
+                F.lit(name).alias("condition"),
+                F.when(grade.isNull(), "undetermined").when(grade == "good", "clear").otherwise("detected").alias("verdict"),
+                F.when(grade != "good", grade).alias("severity"), value.alias("measurement"), F.when(grade.isNull(), why).alias("reason"),
+            )
+        )
+    return F.array(*found)
+
+
+def faults(findings: Column) -> Column:
+    """Sentences about what was detected, in order; what couldn't be told is no fault."""
+    said = F.create_map(*(F.lit(x) for pair in FAULTS.items() for x in pair))
+    return F.transform(F.filter(findings, lambda f: f["verdict"] == "detected"), lambda f: F.try_element_at(said, f["condition"]))
+
+
+def is_straightened(located: Column, status: Column) -> Column:
+    """A photograph is straightened if its card was found and it isn't unusable."""
+    return F.coalesce(located & (status != "unusable"), F.lit(False))
+
+
 def worst_status(status: Column) -> Column:
     """An aggregate: the worst status of a group, good without any."""
     order = F.array(*map(F.lit, SEVERITIES))

@@ -95,3 +95,129 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def orphans(rows: DataFrame, parents: DataFrame, on: str) -> DataFrame:
     return rows.join(parents.select(on).distinct(), on, "left_anti")
+
+
+def _absent_or(c: Column, rule: Column) -> Column:
+    return c.isNull() | rule
+
+
+def version_checks() -> dict[str, Column]:
+    """What a stored version of the catalogue must hold."""
+    counts = [F.col(c) >= 0 for c in ("set_count", "card_count", "external_id_count")]
+    return {"counts_are_not_negative": counts[0] & counts[1] & counts[2]}
+
+
+def session_checks(statuses: tuple[str, ...] = ("active", "expired")) -> dict[str, Column]:
+    return {
+        "status_is_a_known_session_state": F.col("status").isin(*statuses),
+        "expires_after_it_was_created": F.col("expires_at") > F.col("created_at"),
+    }
+
+
+def analysis_checks(statuses: tuple[str, ...], terminal: tuple[str, ...]) -> dict[str, Column]:
+    return {
+        "status_is_a_known_analysis_state": F.col("status").isin(*statuses),
+        "completed_at_accompanies_a_terminal_status": _absent_or(F.col("completed_at"), F.col("status").isin(*terminal)),
+    }
+
+
+#: Fixed values.
+SIDES = ("front", "back", "angled_front", "angled_back", "surface_front", "surface_back")
+
+
+def image_checks(qualities: tuple[str, ...]) -> dict[str, Column]:
+    return {
+        "side_is_a_known_side": F.col("side").isin(*SIDES),
+        "quality_status_is_a_known_status": _absent_or(F.col("quality_status"), F.col("quality_status").isin(*qualities)),
+        "dimensions_are_positive": _absent_or(F.col("width"), F.col("width") > 0) & _absent_or(F.col("height"), F.col("height") > 0),
+        "quality_score_is_a_unit_interval": _absent_or(F.col("quality_score"), F.col("quality_score").between(0, 1)),
+        "sha256_is_lowercase_hex": F.col("sha256").rlike(r"\A[0-9a-f]{64}\z"),
+    }
+
+
+def detection_threshold_checks() -> dict[str, Column]:
+    """What thresholds of the detector must hold; bands are ordered pairs of positive numbers."""
+    c = F.col
+    band = lambda low, high: (low > 0) & (low < high)
+    return {
+        "work_long_edge": c("work_long_edge") > 0,
+        "min_rectangularity": (c("min_rectangularity") > 0) & (c("min_rectangularity") <= 1),
+        "approx_epsilon": (c("approx_epsilon") > 0) & (c("approx_epsilon") < 1),
+        "sleeve_min_margin": c("sleeve_min_margin") > 0,
+        "area fraction": band(c("min_area_fraction"), c("max_area_fraction")),
+        "aspect": band(c("min_aspect"), c("max_aspect")),
+        "sleeve ratio": band(F.lit(1.0), c("sleeve_max_ratio")),
+    }
+
+
+def is_frame_geometry(corners: Column) -> Column:
+    """Four corners (x, y), all of them finite, convex and clockwise."""
+    finite = F.forall(corners, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
+    at = lambda i: F.get(corners, F.lit(i % 4))
+
+    def turns(i: int) -> Column:
+        a, b, c = at(i), at(i + 1), at(i + 2)
+        return (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"]) > 0
+
+    return (F.size(corners) == 4) & finite & turns(0) & turns(1) & turns(2) & turns(3)
+
+
+# -- distributions
+
+
+def distribution_terms(probabilities: Column) -> Column:
+    """The terms of a map of grade keys to probabilities, in order: canonical keys, heads and tails beside their grade."""
+    terms = F.transform(F.map_entries(probabilities), lambda e: F.struct(canonical_grade(e["key"]).alias("grade"), e["value"].alias("p")))
+
+    def placed(t: Column) -> Column:
+        value = F.regexp_extract(t["grade"], r"\A([0-9.]+)", 1).cast("decimal(3,1)")
+        bound = F.when(F.endswith(t["grade"], F.lit("_or_lower")), -1).when(F.endswith(t["grade"], F.lit("_or_higher")), 1).otherwise(0)
+        return F.struct(value.alias("value"), bound.alias("bound"), t["grade"].alias("grade"), t["p"].alias("p"))
+
+    ordered = F.array_sort(F.transform(terms, placed))
+    return F.transform(ordered, lambda t: F.struct(t["grade"].alias("grade"), t["p"].alias("p")))
+
+
+def distribution_checks(probabilities: Column) -> dict[str, Column]:
+    """Not empty; keys are grades, each once however it is spelt; probabilities from 0 to 1 that come to 1, to a millionth."""
+    p = F.map_values(probabilities)
+    keys = F.transform(F.map_keys(probabilities), canonical_grade)
+    known = F.filter(keys, lambda k: k.isNotNull())
+    total = F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v)
+    return {
+        "empty": F.size(probabilities) > 0,
+        "grade": F.forall(keys, lambda k: k.isNotNull()),
+        "twice": F.size(F.array_distinct(known)) == F.size(known),
+        "probability": F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & v.between(0, 1)),
+        "total": F.abs(total - 1) <= 1e-6,
+    }
+
+
+# -- money: an amount to the cent and a currency
+
+
+def money(amount: Column, currency: Column) -> Column:
+    return F.struct(F.round(amount.cast("decimal(30,10)"), 2).cast("decimal(18,2)").alias("amount"), currency.alias("currency"))
+
+
+def _of_one_currency(a: Column, b: Column, value: Column) -> Column:
+    return F.when(is_same_currency(a["currency"], b["currency"]), value)
+
+
+def money_sum(a: Column, b: Column) -> Column:
+    """Null where currencies differ."""
+    return _of_one_currency(a, b, money(a["amount"] + b["amount"], a["currency"]))
+
+
+def money_negated(a: Column) -> Column:
+    return money(-a["amount"], a["currency"])
+
+
+def money_scaled(a: Column, factor: Column) -> Column:
+    """By an exact rate, to the cent with halves upwards."""
+    return money(a["amount"].cast("decimal(20,2)") * factor.cast("decimal(10,6)"), a["currency"])
+
+
+def money_less(a: Column, b: Column) -> Column:
+    """Null where currencies differ: amounts of two currencies have no order."""
+    return _of_one_currency(a, b, a["amount"] < b["amount"])

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.keys import uuid5
+
 # Each state's only step forward; any of these states may also fail.
 FORWARD = {
     "created": "uploading",
@@ -235,3 +237,53 @@ def gates(status: Column) -> dict[str, Column]:
 def failure(status: Column, sides: Column) -> Column:
     """Why a failed analysis failed, from the array of its unusable sides; null for others."""
     return F.when(status == "failed", F.when(F.size(sides) > 0, "image_quality_failure").otherwise("analysis_failed"))
+
+
+TTL_SECONDS = 604_800
+
+
+def open_sessions(tokens: DataFrame, as_of: Column, application_version: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """(id, token, status, created_at, expires_at, application_version): a new session for each token, times in seconds.
+
+    Ids come from the token and the time, so that a task that is run again opens the same session.
+    """
+    name = F.concat_ws("/", F.lit("session"), "token", as_of.cast("string"))
+    return tokens.select(
+        uuid5(name).alias("id"), "token", F.lit("active").alias("status"), as_of.cast("long").alias("created_at"),
+        (as_of.cast("long") + ttl_seconds).alias("expires_at"), F.lit(application_version).alias("application_version"),
+    )
+
+
+def open_analyses(sessions: DataFrame, as_of: Column) -> DataFrame:
+    """(id, session_id, status, created_at, completed_at, card_id): a new analysis for each of sessions (id)."""
+    return sessions.select(
+        uuid5(F.concat_ws("/", F.lit("analysis"), F.col("id").cast("string"), as_of.cast("string"))).alias("id"), F.col("id").alias("session_id"),
+        F.lit("created").alias("status"), as_of.cast("long").alias("created_at"), F.lit(None).cast("long").alias("completed_at"), F.lit(None).cast("string").alias("card_id"),
+    )
+
+
+def resolve_sessions(sessions: DataFrame, presented: DataFrame, as_of: Column) -> DataFrame:
+    """presented (token) with the id of its session: only an active one that expires later than as_of is one.
+
+    Whether there is no such token or a session that is over can't be told apart. A null token is none.
+    """
+    live = sessions.where((F.col("status") == "active") & (F.col("expires_at") > as_of)).select("token", F.col("id").alias("session_id"))
+    return presented.join(live, "token", "left")
+
+
+def side_keys(images: DataFrame) -> DataFrame:
+    """(analysis_id, keys): a map from side to key of each analysis' images (analysis_id, side, key); sides are unique and few."""
+    return images.groupBy("analysis_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("side", "key")))).alias("keys"))
+
+
+def image_verdicts(images: DataFrame) -> DataFrame:
+    """(analysis_id, verdicts): (side, quality_status, quality_score) of all images of an analysis, in order of side."""
+    return images.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("side", "quality_status", "quality_score"))).alias("verdicts"))
+
+
+def reproducibility(analyses: DataFrame, images: DataFrame) -> DataFrame:
+    """analyses (id, six versions) with image_sha256: a map from side to digest, empty without images."""
+    own = images.groupBy("analysis_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("side", "sha256")))).alias("image_sha256"))
+    empty = F.create_map().cast("map<string,string>")
+    joined = analyses.join(own, F.col("id") == F.col("analysis_id"), "left")
+    return joined.select(*analyses.columns, F.coalesce("image_sha256", empty).alias("image_sha256"))

@@ -691,7 +691,9 @@ def _(spark, sf_dir):
     return rows.select("id", "status", step.alias("next"))
 
 
-from larkspur.plans import more, pictures, tables  # noqa: E402, F401 - register further queries
+def _load() -> None:
+    """Registers the queries of the other modules, which need this one first."""
+    from larkspur.plans import details, more, pictures, tables  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -700,8 +702,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return {name: fn for name, (fn, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {name: sql or LATER_SQL[name] for name, (_, sql) in _QUERIES.items() if sql or name in LATER_SQL}
