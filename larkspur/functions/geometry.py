@@ -54,6 +54,20 @@ def border_margin_fraction() -> Column:
     return F.greatest(F.lit(0.0), near) / F.least("frame_width", "frame_height")
 
 
+def rectangle_area() -> Column:
+    """Of the smallest rectangle around the corners, however it is turned: one of its sides lies on a line through two of them."""
+    areas = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            (ax, ay), (bx, by) = _p(i), _p(j)
+            dx, dy = bx - ax, by - ay
+            along = [x * dx + y * dy for x, y in map(_p, range(4))]
+            across = [y * dx - x * dy for x, y in map(_p, range(4))]
+            extent = (F.greatest(*along) - F.least(*along)) * (F.greatest(*across) - F.least(*across))
+            areas.append(extent / F.nullif(dx * dx + dy * dy, F.lit(0.0)))
+    return F.least(*areas)
+
+
 def centre() -> tuple[Column, Column]:
     return tuple(sum((F.col(c) for c in cs[1:]), F.col(cs[0])) / 4 for cs in (X, Y))
 

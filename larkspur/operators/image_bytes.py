@@ -6,9 +6,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larkspur.operators.tiles import GREY
+
 # Magic bytes, the segments and chunks that hold metadata, the limits.
 JPEG, PNG = b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n"
 JPEG_METADATA = (0xE1, 0xED, 0xFE)  # APP1 (EXIF, XMP), APP13 (IPTC), COM
@@ -154,3 +157,65 @@ def _encoded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 def encode_png(rasters: DataFrame, width: int = 8) -> DataFrame:
     """(id, body): rasters (vec_id, px) as PNG files."""
     return rasters.select("vec_id", "px").mapInArrow(lambda b: _encoded(b, width), "id long, body binary")
+
+
+def _unfiltered(raw: bytes, height: int, stride: int, step: int) -> Iterator[bytes]:
+    """Rows of a PNG's bytes: each was told by its difference from what is left of it, above it, or both."""
+    above = np.zeros(stride, np.uint8)
+    for y in range(height):
+        at = y * (stride + 1)
+        kind, row = raw[at], np.frombuffer(raw, np.uint8, stride, at + 1)
+        if kind == 1:
+            row = np.add.accumulate(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            row = row + above
+        elif kind in (3, 4):
+            own, up = row.tolist(), above.tolist()
+            for i in range(stride):
+                left, corner = (own[i - step], up[i - step]) if i >= step else (0, 0)
+                if kind == 3:
+                    guess = (left + up[i]) // 2
+                else:
+                    p = left + up[i] - corner
+                    guess = min((abs(p - left), 0, left), (abs(p - up[i]), 1, up[i]), (abs(p - corner), 2, corner))[2]
+                own[i] = (own[i] + guess) & 255
+            row = np.array(own, np.uint8)
+        elif kind:
+            raise ValueError("an unknown filter")
+        above = row
+        yield row.tobytes()
+
+
+def _png_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, sizes, ys, px = [], [], [], []
+        for i, body in enumerate(batch.column(1).to_pylist()):
+            if inspect(body)[3] is not None or not body.startswith(PNG):
+                continue
+            parts = list(png_chunks(body))
+            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[0][1][8:21])
+            if depth != 8 or colour not in (0, 2, 4, 6) or interlace:
+                continue
+            samples = PNG_SAMPLES[colour]
+            raw = zlib.decompress(b"".join(c[8:-4] for k, c in parts if k == b"IDAT"))
+            for y, row in enumerate(_unfiltered(raw, height, width * samples, samples)):
+                p = np.frombuffer(row, np.uint8).reshape(width, samples)
+                grey = p[:, 0] if samples < 3 else ((p[:, :3].astype(np.int32) @ GREY + (1 << 13)) >> 14).astype(np.uint8)
+                at.append(i)
+                sizes.append((width, height))
+                ys.append(y)
+                px.append(np.ascontiguousarray(grey).tobytes())
+        w, h = zip(*sizes, strict=True) if sizes else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int32())), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(ys, pa.int32()), pa.array(px, pa.binary())],
+            names=["image", "width", "height", "y", "px"],
+        )
+
+
+def png_rows(images: DataFrame) -> DataFrame:
+    """(image, width, height, y, px): grey rows of pixels of PNG files (id, body) with eight bits a sample.
+
+    Transparency is passed over. Files that aren't such, or can't be read, have no rows: check_images tells which.
+    """
+    kind = images.schema["id"].dataType.simpleString()
+    return images.select("id", "body").mapInArrow(_png_rows, f"image {kind}, width int, height int, y int, px binary")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geometry as G
-from larkspur.operators import detection, maps, outlines, regions, resample
+from larkspur.operators import detection, maps, outlines, quality, regions, resample
+from larkspur.operators import tiles as tiles_
 from larkspur.operators.tiles import SIDE
 from larkspur.sources.shared import Shared
 
@@ -118,3 +121,74 @@ def glare(tiles: DataFrame, level: int = 250, long_edge: int = WORK_EDGE, side:
     """(image, fraction): the largest blown-out region of the working copy, by its pixels."""
     small = Shared(tiles.sparkSession, "glare").keep(resample.working_copy(tiles, long_edge, side), "copy")
     return regions.region_fraction(small, level, side)
+
+
+def _bends(w: tiles_.Window) -> dict:
+    """How many pixels a tile has, the sum of their Laplacians and that of the squares: whole numbers."""
+    p = w.around(w.pixels, 1, "reflect").astype(np.int64)
+    bend = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+    return {"n": bend.size, "total": int(bend.sum()), "squares": int((bend * bend).sum())}
+
+
+def blur(tiles: DataFrame, side: int = SIDE) -> DataFrame:
+    """(image, blur): the variance of the four-neighbour Laplacian, the border mirrored without its pixel.
+
+    Tiles give whole sums, so the variance doesn't depend on how they were dealt.
+    """
+    sums = tiles_.stencil(
+        tiles, 1, _bends, dict.fromkeys(("n", "total", "squares"), pa.int64()), "n long, total long, squares long", side
+    )
+    whole = sums.groupBy("image").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    mean = F.col("total") / F.col("n")
+    return whole.select("image", (F.col("squares") / F.col("n") - mean * mean).alias("blur"))
+
+
+def tones(counts: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(image, brightness, exposure) of (image, level, n): the mean, and the distance of two percentiles, straight in between."""
+    upto = Window.partitionBy("image").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("image")
+    sums = counts.select("image", "level", "n", F.sum("n").over(upto).alias("c"), F.sum("n").over(every).alias("all"))
+
+    def percentile(q: float):
+        at = q * (F.col("all") - 1)
+        level = lambda k: F.min(F.when(F.col("c") > k, F.col("level")))
+        share = F.max(at - F.floor(at))
+        return level(F.floor(at)) + (level(F.ceil(at)) - level(F.floor(at))) * share
+
+    return sums.groupBy("image").agg(
+        (F.sum(F.col("n") * F.col("level")) / F.sum("n")).alias("brightness"), (percentile(high) - percentile(low)).alias("exposure")
+    )
+
+
+def measured(tiles: DataFrame, level: int = 250, long_edge: int = WORK_EDGE, side: int = SIDE) -> DataFrame:
+    """(image, short_edge, blur, brightness, exposure, glare): what the gate measures of each photograph.
+
+    The short edge is the original's; all else is of the working copy, so that a picture means the same in any size.
+    """
+    small = Shared(tiles.sparkSession, "measured").keep(resample.working_copy(tiles, long_edge, side), "copy")
+    edges = tiles.groupBy("image").agg(F.max(F.least("width", "height")).cast("double").alias("short_edge"))
+    found = edges.join(blur(small, side), "image").join(tones(tiles_.histogram(small)), "image")
+    return found.join(regions.region_fraction(small, level, side).withColumnRenamed("fraction", "glare"), "image")
+
+
+def prepared(tiles: DataFrame, long_edge: int = WORK_EDGE, side: int = SIDE) -> DataFrame:
+    """Each photograph located, measured and judged: (image, status, score, findings, located, straightened, x1 ... y4).
+
+    Conditions that need a located card are undetermined without one, for the detector's reason; a photograph is
+    straightened if it is located and not unusable.
+    """
+    shared = Shared(tiles.sparkSession, "prepared")
+    where = shared.keep(located(tiles, long_edge, side).withColumnRenamed("status", "found"), "where")
+    geometric = where.select(
+        "image", "found", "reason", *G.X, *G.Y,
+        G.opposite_side_ratio().alias("perspective"), G.border_margin_fraction().alias("margin"), F.col("candidates").cast("double").alias("candidates"),
+        F.col("enclosing_ratio").alias("sleeve"), G.area_fraction().alias("area"),
+    )
+    there = F.col("found") == "located"
+    geometric = geometric.withColumns({c: F.when(there, F.col(c)) for c in quality.GEOMETRIC})
+    rows = geometric.join(measured(tiles, 250, long_edge, side), "image")
+    judged = quality.assess(rows)
+    return judged.select(
+        "image", "status", "score", quality.detailed_findings(F.col("reason")).alias("findings"), there.alias("located"),
+        quality.is_straightened(there, F.col("status")).alias("straightened"), *G.X, *G.Y,
+    )

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 SIDE = 128
 TILE = ["image", "width", "height", "ty", "tx"]
+#: Weights of red, green and blue.
+GREY = np.array([4899, 9617, 1868], np.int32)
 PLACE = "width int, height int, ty int, tx int"
 
 
@@ -48,6 +50,20 @@ def taken(batch: pa.RecordBatch, at: list[int], **columns: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([key, *columns.values()], names=["image", *columns])
 
 
+def grey_rows(rows: DataFrame) -> DataFrame:
+    """Rows of grey pixels of rows of red, green and blue ones, three bytes a pixel: weights in 1 / 2 ** 14, rounded."""
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for (raw,) in rows_of(batch, "px"):
+                p = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+                out.append(((p @ GREY + (1 << 13)) >> 14).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["image", "width", "height", "y", "px"])
+
+    return rows.select("image", "width", "height", "y", "px").mapInArrow(mixed, f"image {image_type(rows)}, width int, height int, y int, px binary")
+
+
 def _slices(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, ty, tx, y, px = [], [], [], [], []

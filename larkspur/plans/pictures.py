@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import geometry as G
-from larkspur.operators import detection, maps, outlines, photographs, quality, raster, regions, resample, tiles
+from larkspur.operators import detection, image_bytes, maps, outlines, photographs, quality, raster, regions, resample, tiles
 from larkspur.plans import registry
 from larkspur.plans.registry import query
 from larkspur.sources import views as V
@@ -132,6 +132,56 @@ def _(spark, sf_dir):
     return found.select("image", "status", "reason", "frame_width", "frame_height", "candidates", *rounded)
 
 
+_BENDS = """lap AS (SELECT image, coalesce(lag(px) OVER v, lead(px) OVER v, px) + coalesce(lead(px) OVER v, lag(px) OVER v, px) + coalesce(lag(px) OVER h, lead(px) OVER h, px)
+    + coalesce(lead(px) OVER h, lag(px) OVER h, px) - 4 * px AS v FROM photos_v WINDOW v AS (PARTITION BY image, x ORDER BY y), h AS (PARTITION BY image, y ORDER BY x))"""
+
+
+@query(
+    "r_photo_measures",
+    "",
+    _recursive(
+        "photos_v",
+        _largest("photos_v", "image", f"px >= {LEVEL}") + ", " + _BENDS,
+        """SELECT image, any_value(least(width, height))::DOUBLE AS short_edge, any_value(blur) AS blur, round(avg(px), 9) AS brightness,
+          round(quantile_cont(px, 0.95) - quantile_cont(px, 0.05), 9) AS exposure, round(coalesce(any_value(largest), 0) / count(*), 12) AS glare
+          FROM photos_v JOIN (SELECT image, round(var_pop(v), 6) AS blur FROM lap GROUP BY 1) USING (image) LEFT JOIN b ON k = image GROUP BY 1""",
+    ),
+)
+def _(spark, sf_dir):
+    found = photographs.measured(_photos(spark, sf_dir), LEVEL, side=SIDE)
+    places = {"blur": 6, "brightness": 9, "exposure": 9, "glare": 12}
+    return found.select("image", "short_edge", *(F.round(c, n).alias(c) for c, n in places.items()))
+
+
+@query("r_png_pixels", "pixels_v", "SELECT vec_id AS image, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, px FROM pixels_v")
+def _(spark, sf_dir):
+    files = image_bytes.encode_png(V.rasters(spark, sf_dir))
+    return tiles.to_rows(tiles.from_rows(image_bytes.png_rows(files), 4), 4)
+
+
+@query(
+    "r_photo_grey",
+    "photos_v",
+    """SELECT a.image, CAST(a.y AS INT) AS y, CAST(a.x AS INT) AS x, CAST((4899 * a.px + 9617 * b.px + 1868 * c.px + 8192) // 16384 AS INT) AS px FROM photos_v a
+      JOIN photos_v b ON b.image = a.image AND b.y = a.y AND b.x = (a.x + 1) % 64 JOIN photos_v c ON c.image = a.image AND c.y = a.y AND c.x = (a.x + 2) % 64""",
+)
+def _(spark, sf_dir):
+    """Colour rows whose green and blue are those of the next two pixels, made grey."""
+    at = lambda i, k: F.substring("px", (i + k) % 64 + 1, F.lit(1))
+    places = F.sequence(F.lit(0), F.lit(63))
+    mixed = F.unhex(F.array_join(F.transform(places, lambda i: F.concat(*(F.hex(at(i, k)) for k in range(3)))), ""))
+    rows = V.photos(spark, sf_dir).withColumn("px", mixed)
+    return tiles.to_rows(tiles.from_rows(tiles.grey_rows(rows), SIDE), SIDE)
+
+
+@query("k_photo_verdicts")
+def _(spark, sf_dir):
+    """Photographs of cards located, measured and judged end to end; tests hold it to scenes whose faults are known."""
+    found = photographs.prepared(tiles.from_rows(V.card_photos(spark, sf_dir), 48), side=48)
+    detected = F.transform(F.filter("findings", lambda f: f["verdict"] == "detected"), lambda f: F.concat(f["condition"], F.lit("="), f["severity"]))
+    return found.select("image", "status", F.round("score", 6).alias("score"), "located", "straightened", F.array_join(detected, ",").alias("detected"))
+
+
 # -- transforms
 
 _TURN = "{0} + {2} > {1} + {3}".format(*(registry._side(i) for i in range(1, 5)))

@@ -499,20 +499,31 @@ def _(spark, sf_dir):
     return V.quads(spark, sf_dir).select("vec_id", *(F.round(h[i], 9 if i > 5 else 6).alias(f"h{i}") for i in (0, 1, 2, 6, 7)))
 
 
+def _rectangle_sql() -> str:
+    """The smallest of the rectangles along each line through two corners."""
+    areas = []
+    for i in range(1, 5):
+        for j in range(i + 1, 5):
+            dx, dy = f"(x{j} - x{i})", f"(y{j} - y{i})"
+            along = ", ".join(f"x{k} * {dx} + y{k} * {dy}" for k in range(1, 5))
+            across = ", ".join(f"y{k} * {dx} - x{k} * {dy}" for k in range(1, 5))
+            areas.append(f"(greatest({along}) - least({along})) * (greatest({across}) - least({across})) / ({dx} * {dx} + {dy} * {dy})")
+    return "least(" + ", ".join(areas) + ")"
+
+
 @query(
     "g_detection_confidence",
     "quads_v",
     f"""SELECT vec_id, round(greatest(0, least(1, 0.5 * r + 0.5 * (1 - least(1, abs(a - 63.0::DOUBLE / 88.0) / 0.25)))), 9) AS confidence,
       f BETWEEN 0.02 AND 0.92 AND r >= 0.80 AND a BETWEEN 0.45 AND 0.97 AS candidate FROM (SELECT vec_id, {AREA} / (frame_width * frame_height) AS f,
-      {AREA} / ((greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4)) * (greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4))) AS r,
+      {AREA} / ({_rectangle_sql()}) AS r,
       least({_side(1)}, {_side(2)}) / greatest({_side(1)}, {_side(2)}) AS a FROM quads_v)""",
 )
 def _(spark, sf_dir):
-    box = (F.greatest(*G.X) - F.least(*G.X)) * (F.greatest(*G.Y) - F.least(*G.Y))
     rows = V.quads(spark, sf_dir).select(
         "vec_id",
         G.area_fraction().alias("f"),
-        (G.area() / box).alias("r"),
+        (G.area() / G.rectangle_area()).alias("r"),
         (F.least(G.side(0), G.side(1)) / F.greatest(G.side(0), G.side(1))).alias("a"),
     )
     fits = F.col("f").between(0.02, 0.92) & (F.col("r") >= 0.80) & F.col("a").between(0.45, 0.97)

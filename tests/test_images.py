@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.operators import detection, image_bytes, quality, snapshot
@@ -100,3 +101,66 @@ def test_records_are_read_tolerantly(spark):
     rows = ["not json", None, "[]", '{"findings": {}}', '{"findings": [null, 3, {"condition": 4, "verdict": "clear"}, {"condition": "blur", "verdict": "clear"}]}']
     frame = spark.createDataFrame([(r,) for r in rows], "r string").select(quality.stored_findings(F.col("r")).alias("f"))
     assert [[tuple(x) for x in r["f"]] for r in frame.collect()] == [[], [], [], [], [("blur", "clear", None)]]
+
+
+# -- pixels of PNG files
+
+
+def filtered_png(px, kind):
+    """An encoder that filters every row in one way, or each in another."""
+    h, w, n = px.shape
+    raw, above = b"", np.zeros((w, n), int)
+    for y in range(h):
+        row = px[y].astype(int)
+        left = np.vstack([np.zeros((1, n), int), row[:-1]])
+        corner = np.vstack([np.zeros((1, n), int), above[:-1]])
+        k = y % 5 if kind == "all" else kind
+        if k == 4:
+            p = left + above - corner
+            far = [abs(p - left), abs(p - above), abs(p - corner)]
+            guess = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], above, corner))
+        else:
+            guess = {0: 0 * row, 1: left, 2: above, 3: (left + above) // 2}[k]
+        raw += bytes([k]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        above = row
+    header = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    body = zlib.compress(raw)
+    return image_bytes.PNG + chunk(b"IHDR", header) + chunk(b"IDAT", body[:9]) + chunk(b"IDAT", body[9:]) + chunk(b"IEND", b"")
+
+
+def test_png_files_become_rows(spark):
+    rng = np.random.default_rng(7)
+    images, files = {}, []
+    for n in (1, 2, 3, 4):
+        for kind in (0, 1, 2, 3, 4, "all"):
+            px = rng.integers(0, 256, (11, 7, n)).astype(np.uint8)
+            images[f"{n}-{kind}"] = px
+            files.append((f"{n}-{kind}", bytearray(filtered_png(px, kind))))
+    files += [("none", None), ("text", bytearray(b"text")), ("short", files[0][1][:60])]
+    got = {}
+    for r in image_bytes.png_rows(spark.createDataFrame(files, "id string, body binary")).collect():
+        assert (r["width"], r["height"]) == (7, 11)
+        got.setdefault(r["image"], {})[r["y"]] = list(bytes(r["px"]))
+    assert set(got) == set(images)
+    for name, px in images.items():
+        grey = px[:, :, 0] if px.shape[2] < 3 else (px[:, :, :3].astype(int) @ [4899, 9617, 1868] + 8192) // 16384
+        assert [got[name][y] for y in range(11)] == grey.tolist(), name
+
+
+def test_damaged_pixels_are_found(spark):
+    px = np.random.default_rng(8).integers(0, 256, (30, 20, 1)).astype(np.uint8)
+    good = filtered_png(px, 0)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    start = good[: 8 + 25]
+    files = {
+        "good": good,
+        "few": start + chunk(b"IDAT", zlib.compress(b"\0" * 100)) + chunk(b"IEND", b""),
+        "noise": start + chunk(b"IDAT", b"\x78\x9c" + b"\xff" * 50) + chunk(b"IEND", b""),
+        "no pixels": start + chunk(b"IEND", b""),
+        "unknown chunk": start + chunk(b"loCa", b"52.5 13.4") + good[8 + 25 :],
+    }
+    frame = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "id string, body binary")
+    found = {r["id"]: (r["problem"], r["clean"]) for r in image_bytes.check_images(frame).collect()}
+    assert {k: p for k, (p, _) in found.items()} == {"good": None, "few": "undecodable", "noise": "undecodable", "no pixels": "undecodable", "unknown chunk": None}
+    assert bytes(found["unknown chunk"][1]) == good

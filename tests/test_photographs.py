@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 from test_maps import scene
-from test_tiles import SIDE, noise, table, whole
+from test_tiles import SIDE, flood, noise, table, whole
 
 from larkspur.functions import geometry as G
 from larkspur.operators import photographs
@@ -155,3 +155,42 @@ def test_nothing_is_enhanced(spark):
     px[:70] = 140
     got = whole(photographs.straightened(table(spark, {"a": px}), spark.createDataFrame([("a", *QUAD)], SHAPE), TARGET, 4, SIDE))["a"]
     assert got.min() == 97 and got.max() == 140  # no ringing, no stretched contrast
+
+
+# -- measuring and judging
+
+
+def measures(px):
+    p = np.pad(px.astype(float), 1, mode="reflect")
+    bend = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+    low, high = np.percentile(px, [5, 95])
+    label = flood(px >= 250)
+    return float(min(px.shape)), bend.var(), px.mean(), high - low, max(np.bincount(label.ravel())[1:], default=0) / px.size
+
+
+def test_measures_are_those_of_whole_images(spark):
+    images = {"noise": noise(21, 61, 47), "even": np.full((20, 33), 255, np.uint8), "line": noise(22, 1, 40), "two": noise(23, 2, 2), "card": scene(5, 50, 70, (10, 10, 40, 50))}
+    for r in photographs.measured(table(spark, images), side=SIDE).collect():
+        got = [r[c] for c in ("short_edge", "blur", "brightness", "exposure", "glare")]
+        assert np.allclose(got, measures(images[r["image"]]), rtol=1e-9, atol=1e-9), r["image"]
+
+
+def test_large_photographs_are_measured_as_their_copies(spark):
+    px = np.kron(noise(24, 40, 30), np.ones((4, 4), np.uint8))
+    (r,) = photographs.measured(table(spark, {"a": px}), long_edge=40, side=SIDE).collect()
+    want = measures(noise(24, 40, 30))
+    assert r["short_edge"] == 120 and np.allclose([r["blur"], r["brightness"], r["exposure"]], want[1:4])
+
+
+def test_photographs_are_prepared(spark):
+    dark = (SCENES["upright"] // 12).astype(np.uint8)
+    images = {"upright": SCENES["upright"], "empty": SCENES["empty"], "two": SCENES["two"], "dark": dark}
+    found = {r["image"]: r for r in photographs.prepared(table(spark, images, 48), 320, 48).collect()}
+    findings = {k: {f["condition"]: f for f in r["findings"]} for k, r in found.items()}
+    assert all(len(f) == 11 for f in findings.values())
+    assert findings["empty"]["multiple_cards"]["verdict"] == "undetermined"
+    assert findings["empty"]["multiple_cards"]["reason"] == photographs.NOTHING_FOUND
+    assert not found["empty"]["located"] and not found["empty"]["straightened"]
+    assert findings["two"]["multiple_cards"]["severity"] == "unusable" and findings["two"]["multiple_cards"]["measurement"] == 2.0
+    assert findings["dark"]["excessive_darkness"]["severity"] == "unusable" and found["dark"]["status"] == "unusable"
+    assert findings["upright"]["multiple_cards"]["verdict"] == "clear" and findings["upright"]["low_resolution"]["severity"] == "unusable"
