@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.operators.tiles import GREY
 
@@ -148,6 +149,27 @@ def check_images(images: DataFrame) -> DataFrame:
     return images.select("id", "body").mapInArrow(_checked, schema)
 
 
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """(id, body, length) of all files below a path: what is longer than MAX_BYTES isn't read, and has no body.
+
+    Lengths come from the file system's listing, so a file that is too large costs nothing but its name. Files of
+    no bytes aren't among them: Spark's sources pass over those.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = found.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("id"), F.col("content").alias("body"), "length")
+    large = found.where(F.col("length") > MAX_BYTES).select(F.col("path").alias("id"), F.lit(None).cast("binary").alias("body"), "length")
+    return read.unionByName(large)
+
+
+def checked_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """check_images of all files below a path, with the digest of the clean bytes, which are what is stored."""
+    files = uploads(spark, path)
+    small = check_images(files.where(F.col("length") <= MAX_BYTES)).withColumn("sha256", F.sha2("clean", 256))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name not in ("id", "problem")]
+    large = files.where(F.col("length") > MAX_BYTES).select("id", F.lit("too large").alias("problem"), *none)
+    return small.unionByName(large)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bodies = [png(width, len(p) // width, bytes(p)) for p in batch.column(1).to_pylist()]

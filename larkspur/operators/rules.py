@@ -165,14 +165,28 @@ def is_frame_geometry(corners: Column) -> Column:
 # -- distributions
 
 
+def grade_order(key: Column) -> Column:
+    """What grade keys are sorted by: their value, and a tail before the grade itself, a head after it."""
+    bound = F.when(F.endswith(key, F.lit("_or_lower")), -1).when(F.endswith(key, F.lit("_or_higher")), 1).otherwise(0)
+    return F.struct(F.regexp_extract(key, r"\A([0-9]+(?:\.[0-9]+)?)", 1).try_cast("decimal(3,1)").alias("value"), bound.alias("bound"))
+
+
+def likely_grade(key: Column, p: Column) -> Column:
+    """An aggregate: the key of the largest probability, of equal ones the highest grade."""
+    return F.max_by(key, F.struct(p.alias("p"), grade_order(key).alias("order")))
+
+
+def is_uncertain(p: Column) -> Column:
+    """An aggregate: whether no grade has half of all probability."""
+    return F.max(p) < 0.5
+
+
 def distribution_terms(probabilities: Column) -> Column:
     """The terms of a map of grade keys to probabilities, in order: canonical keys, heads and tails beside their grade."""
     terms = F.transform(F.map_entries(probabilities), lambda e: F.struct(canonical_grade(e["key"]).alias("grade"), e["value"].alias("p")))
 
     def placed(t: Column) -> Column:
-        value = F.regexp_extract(t["grade"], r"\A([0-9.]+)", 1).cast("decimal(3,1)")
-        bound = F.when(F.endswith(t["grade"], F.lit("_or_lower")), -1).when(F.endswith(t["grade"], F.lit("_or_higher")), 1).otherwise(0)
-        return F.struct(value.alias("value"), bound.alias("bound"), t["grade"].alias("grade"), t["p"].alias("p"))
+        return F.struct(grade_order(t["grade"]).alias("order"), t["grade"].alias("grade"), t["p"].alias("p"))
 
     ordered = F.array_sort(F.transform(terms, placed))
     return F.transform(ordered, lambda t: F.struct(t["grade"].alias("grade"), t["p"].alias("p")))

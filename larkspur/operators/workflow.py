@@ -271,6 +271,16 @@ def resolve_sessions(sessions: DataFrame, presented: DataFrame, as_of: Column) -
     return presented.join(live, "token", "left")
 
 
+def held_objects(original: Column, normalised: Column) -> Column:
+    """Keys of what is stored for an image, the original first."""
+    return F.array_compact(F.array(original, normalised))
+
+
+def superseded_objects(held: Column, new: Column) -> Column:
+    """Keys that nothing names once an image's original is `new`; all of them if it is null."""
+    return F.filter(held, lambda x: ~x.eqNullSafe(new))
+
+
 def side_keys(images: DataFrame) -> DataFrame:
     """(analysis_id, keys): a map from side to key of each analysis' images (analysis_id, side, key); sides are unique and few."""
     return images.groupBy("analysis_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("side", "key")))).alias("keys"))

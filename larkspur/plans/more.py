@@ -326,13 +326,11 @@ def _(spark, sf_dir):
     rows = V.distribution_terms(spark, sf_dir).where("grade_key = '7_or_lower'")
     terms = F.array(F.struct(F.col("grade_key").alias("k"), F.col("p").alias("p")), *(F.struct(F.lit(k).alias("k"), F.lit(0.25).alias("p")) for k in ("7", "7_or_higher")))
     rows = rows.select("id", F.inline(terms))
-    bound = F.when(F.col("k").endswith("_or_lower"), -1).when(F.col("k").endswith("_or_higher"), 1).otherwise(0)
-    order = F.struct(F.split_part(F.col("k"), F.lit("_"), F.lit(1)).cast("decimal(3,1)").alias("v"), bound.alias("b"))
-    listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), "k")))
+    listed = F.array_sort(F.collect_list(F.struct(rules.grade_order(F.col("k")).alias("o"), "k")))
     folded = rows.groupBy("id").agg(
         F.array_join(F.transform(listed, lambda x: x["k"]), "<").alias("grades"),
-        F.max_by("k", F.struct("p", order)).alias("likely"),
-        (F.max("p") < 0.5).alias("uncertain"),
+        rules.likely_grade(F.col("k"), F.col("p")).alias("likely"),
+        rules.is_uncertain(F.col("p")).alias("uncertain"),
     )
     return folded
 
@@ -349,8 +347,8 @@ def _(spark, sf_dir):
     key = F.col("id").cast("string")
     original, normalised = F.concat(F.lit("o/"), key), F.when(F.col("id") % 3 == 0, F.concat(F.lit("n/"), key))
     new = F.when(F.col("id") % 2 != 0, original)
-    held = F.array_compact(F.array(original, normalised))
-    gone = F.filter(held, lambda x: ~x.eqNullSafe(new))
+    held = workflow.held_objects(original, normalised)
+    gone = workflow.superseded_objects(held, new)
     return V.images(spark, sf_dir).select("id", F.array_join(held, ",").alias("objects"), F.array_join(gone, ",").alias("superseded"))
 
 

@@ -164,3 +164,17 @@ def test_damaged_pixels_are_found(spark):
     found = {r["id"]: (r["problem"], r["clean"]) for r in image_bytes.check_images(frame).collect()}
     assert {k: p for k, (p, _) in found.items()} == {"good": None, "few": "undecodable", "noise": "undecodable", "no pixels": "undecodable", "unknown chunk": None}
     assert bytes(found["unknown chunk"][1]) == good
+
+
+def test_large_uploads_are_not_read(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(image_bytes, "MAX_BYTES", 400)
+    good = filtered_png(np.zeros((4, 4, 1), np.uint8), 0)
+    for name, body in (("a.png", good), ("b.png", good + b"x" * 600), ("c.txt", b"text")):
+        (tmp_path / name).write_bytes(body)
+    found = {r["id"].rsplit("/", 1)[1]: r for r in image_bytes.checked_uploads(spark, str(tmp_path)).collect()}
+    assert {k: r["problem"] for k, r in found.items()} == {"a.png": None, "b.png": "too large", "c.txt": "not an image"}
+    assert found["a.png"]["sha256"] == hashlib.sha256(good).hexdigest() and found["c.txt"]["sha256"] is None
+    large = image_bytes.uploads(spark, str(tmp_path)).where("body is null and length > 400")
+    assert large.count() == 1
