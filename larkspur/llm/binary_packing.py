@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, bounded_broadcast, byte_batches, table, text_batches
-from larkspur.llm.tokenizing import encode_raw, public_path, tidy
+from larkspur.llm.tokenizing import encode_raw, public_path
 
 CAPACITY = 1024
 END_ID = 0
 BATCH_BYTES = 1 << 20
-MEMO_BYTES = 96 << 20
+#: Words that a worker remembers, from task to task.
+MEMO_BYTES = 160 << 20
 #: Rows of (task, length) that are broadcast: 32 bytes each. Beyond that they are joined in a shuffle.
 BASE_ROWS = 200_000
 
@@ -26,7 +27,6 @@ def binary_lengths(n: int, capacity: int) -> list[int]:
     return [capacity] * (n // capacity) + [1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1]
 
 
-@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, start, length, ids, doc_tokens, task, place) of each piece; place counts those of a length in this task."""
     task = TaskContext.get().partitionId()
