@@ -827,9 +827,11 @@ class Join:
         often = rows.groupBy("wide", "e").agg(F.count("*").alias("n")).where("n > 1")
         order = rows.join(often, ["wide", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("order"))
         placed = diffs.drop("apart").join(order, "node")
-        placed = placed.select("*", F.posexplode("order").alias("i", "x"))
-        placed = placed.select("wide", F.col("x.e").alias("e"), "node", "part", "s", "d", "least", (F.col("d") - F.size("order") + F.col("i")).alias("at"))
-        placed = self.scratch.keep(placed.where("at <= d - least").drop("least"), "placed")
+        # Of at least `least` shared elements one is before the last `least` - 1 of the order: the rest aren't indexed.
+        first = F.slice("order", F.lit(1), F.greatest(F.lit(0), F.size("order") - F.col("least").cast("int") + 1))
+        placed = placed.select("*", F.posexplode(first).alias("i", "x"))
+        placed = placed.select("wide", F.col("x.e").alias("e"), "node", "part", "s", "d", (F.col("d") - F.size("order") + F.col("i")).alias("at"))
+        placed = self.scratch.keep(placed, "placed")
         x = placed.select("wide", "e", *(F.col(c).alias(f"{c}_a") for c in ("node", "part", "s", "d", "at")))
         y = placed.select("wide", "e", *(F.col(c).alias(f"{c}_b") for c in ("node", "part", "s", "d", "at")))
         need = f"(d_a + d_b - ((s_a + s_b) * {den - num}) div {den + num} + 1) div 2"
