@@ -552,6 +552,72 @@ def _shared(x: np.ndarray, y: np.ndarray, rule: Rule) -> np.ndarray:
     return _cell(k[at], segment[at])
 
 
+@functools.lru_cache(maxsize=4096)
+def _layout(rule: Rule, size: int) -> dict[int, tuple[int, int, int]]:
+    """Of a sketch of a set of this size: scheme -> (start, end, H)."""
+    out, at, top = {}, 0, band_of(rule, size)
+    for k in (top, top - 1):
+        m, h = scheme(rule, k) if k >= 0 else (0, 0)
+        if h:
+            out[k] = (at, at + m, h)
+            at += m
+    return out
+
+
+@tidy
+def _sketches(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(node, n, sketch) of (node, own): 16 bits for each part of the set in its schemes, 0 only for empty ones."""
+    for batch in batches:
+        owns = _arrays(batch.column(1))
+        sets = Sets(np.concatenate(owns) if owns else np.zeros(0, np.uint64), _ends(np.array([len(x) for x in owns], np.int64)))
+        pieces: list[list[bytes]] = [[] for _ in owns]
+        for chosen, k, m, _ in _schemes(sets, rule):
+            parts, ends = Parts(sets.only(chosen), k, m), _ends(m)
+            marks = np.zeros(ends[-1], np.uint16)
+            marks[ends[parts.owner] + parts.segment] = np.maximum(mix(parts.sums) >> np.uint64(48), np.uint64(1))
+            for i, x, y in zip(np.flatnonzero(chosen).tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                pieces[i].append(marks[x:y].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sets.sizes, pa.int64()), pa.array([b"".join(x) for x in pieces], pa.binary())],
+            names=["node", "n", "sketch"],
+        )
+
+
+def _apart(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, rule: Rule) -> tuple[bool, list[int]]:
+    """Whether two sketches tell that their sets aren't linked, and the segments in which the sets meet.
+
+    Parts whose 16 bits differ hold a difference at least each, so more of them than linked sets may differ in
+    settle a pair. Parts may be taken for equal that aren't (one in 65,536), never the other way round.
+    """
+    of_x, of_y, apart, cells = _layout(rule, n_x), _layout(rule, n_y), False, []
+    for k in of_x.keys() & of_y.keys():
+        (i, j, h), (u, v, _) = of_x[k], of_y[k]
+        one, two = x[i:j], y[u:v]
+        equal = one == two
+        apart |= len(equal) - int(equal.sum()) > rule.difference(n_x + n_y)
+        full_x, full_y = one != 0, two != 0
+        cells += ((k << 32) + np.flatnonzero(equal & full_x) + 1).tolist()
+        if int(full_x.sum()) <= h and int(full_y.sum()) <= h and equal.any():
+            cells.append(k << 32)
+    return apart, cells
+
+
+@tidy
+def _sift(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Pairs with sketches; those that a sketch settles have linked = false, and where they are in trees the segments."""
+    for batch in batches:
+        linked, shared = [], []
+        tree, n_a, x, n_b, y = (batch.column(i).to_pylist() for i in range(2, 7))
+        for in_tree, size, one, size_b, two in zip(tree, n_a, x, n_b, y, strict=True):
+            apart, cells = _apart(np.frombuffer(one, np.uint16), np.frombuffer(two, np.uint16), size, size_b, rule)
+            linked.append(False if apart else None)
+            shared.append(cells if apart and in_tree else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(shared, pa.list_(pa.int64()))],
+            names=["a", "b", "tree", "linked", "shared"],
+        )
+
+
 @tidy
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Exact comparison of pairs of sets; of those that aren't linked, the segments in which they meet."""
@@ -702,8 +768,10 @@ class Join:
 
     def sets(self, nodes: DataFrame, label: str) -> DataFrame:
         """(node, own) of the nodes, each once."""
-        sets = self.read(nodes, label).groupBy("node").agg(F.first("own").alias("own"))
-        return self.kept(sets, f"{label}-sets")
+        sets = self.kept(self.read(nodes, label), f"{label}-sets")
+        if sets.groupBy("node").count().where("count > 1").limit(1).count():
+            sets = self.kept(sets.groupBy("node").agg(F.first("own").alias("own")), f"{label}-single-sets")
+        return sets
 
     def large(self, members: DataFrame) -> DataFrame:
         """(wide) of the groups that aren't held in one task: fewer than one to SMALL_GROUP nodes, or of very long texts."""
@@ -718,12 +786,29 @@ class Join:
         links = dealt.sortWithinPartitions("wide", "node").mapInArrow(lambda b: _inside(b, rule), "a long, b long")
         return self.kept(links, f"{label}-inside")
 
+    def sifted(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+        """(a, b, tree, linked, shared) of candidate pairs: linked is null where sketches leave it open, else false."""
+        rule = self.rule
+        sketches = sets.select("node", "own").mapInArrow(lambda b: _sketches(b, rule), "node long, n long, sketch binary")
+        sketches = self.kept(sketches, f"{label}-sketches")
+        for end in ("b", "a"):  # heads of trees come first: what is shuffled next repeats theirs, row by row, and compresses
+            of_end = sketches.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+            pairs = pairs.join(of_end, end)
+        sifted = pairs.select("a", "b", "tree", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(
+            lambda b: _sift(b, rule), "a long, b long, tree boolean, linked boolean, shared array<long>"
+        )
+        sifted = self.scratch.keep(sifted, f"{label}-sifted")
+        self.scratch.drop(f"{label}-sketches")
+        return sifted
+
     def verified(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """(a, b, tree, linked, shared) of candidate pairs; shared only for those in trees."""
         rule = self.rule
-        with_a = pairs.select("a", "b", "tree").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-        with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-        out = with_b.select("a", "b", "own_a", "own_b", "tree").mapInArrow(
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = sets.join(bounded_broadcast(self.scratch.keep(ends, f"{label}-ends"), BROADCAST_ROWS), "node", "left_semi")
+        with_b = pairs.select("a", "b", "tree").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+        with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+        out = with_a.select("a", "b", "own_a", "own_b", "tree").mapInArrow(
             lambda b: _verify(b, rule), "a long, b long, tree boolean, linked boolean, shared array<long>"
         )
         return self.kept(out, f"{label}-verified")
@@ -783,14 +868,18 @@ class Join:
         return df.join(F.broadcast(small) if held <= BROADCAST_ROWS else small, "wide")
 
     def pivots(self, held: DataFrame) -> DataFrame:
-        """(wide, pivot, pivot_part, pivot_own): in each group the set next to what more than half of it holds."""
+        """(wide, pivot, pivot_part, pivot_own): in each group the set next to what more than half of it holds.
+
+        Any set would do, a near one leaves less to index: it is chosen by an eighth of the universe of shingles.
+        """
+        held = held.withColumn("some", F.filter("own", lambda e: e.bitwiseAND(F.lit(7)) == 0))
         totals = held.groupBy("wide").agg(F.count("*").alias("total"))
-        counts = held.select("wide", F.explode("own").alias("e")).groupBy("wide", "e").agg(F.count("*").alias("n"))
+        counts = held.select("wide", F.explode("some").alias("e")).groupBy("wide", "e").agg(F.count("*").alias("n"))
         most = counts.join(bounded_broadcast(totals, BROADCAST_ROWS), "wide").where("2 * n > total")
         most = most.groupBy("wide").agg(F.collect_list("e").alias("most"))  # less than twice the mean set
         most = totals.join(most, "wide", "left").select("wide", F.coalesce("most", F.array().cast("array<long>")).alias("most"))
         most = self.scratch.keep(most, "most")
-        apart = F.size("own") + F.size("most") - 2 * F.size(F.array_intersect("own", "most"))
+        apart = F.size("some") + F.size("most") - 2 * F.size(F.array_intersect("some", "most"))
         near = self.by_group(held, most, "most").select("wide", F.struct(apart.alias("d"), "node").alias("x"))
         near = near.groupBy("wide").agg(F.min("x").alias("x")).select(F.col("x.node").alias("node"))
         pivots = held.join(bounded_broadcast(near, BROADCAST_ROWS), "node")
@@ -806,7 +895,7 @@ class Join:
         at least; H grows by no more than the set is larger than the pivot.
         """
         num, den = self.rule.num, self.rule.den
-        held = self.scratch.keep(members.join(sets, "node"), "held")
+        held = self.scratch.keep(sets.join(bounded_broadcast(members, BROADCAST_ROWS), "node"), "held")
         both = self.by_group(held, self.pivots(held), "pivot_own").where("node <> pivot")
         apart = F.concat(F.array_except("own", "pivot_own"), F.array_except("pivot_own", "own"))
         diffs = both.select(
@@ -825,6 +914,7 @@ class Join:
         diffs = diffs.drop("near", "pivot", "pivot_part", "p")
         rows = diffs.select("wide", "node", F.explode("apart").alias("e"))
         often = rows.groupBy("wide", "e").agg(F.count("*").alias("n")).where("n > 1")
+        often = bounded_broadcast(self.scratch.keep(often, "often"), BROADCAST_ROWS)
         order = rows.join(often, ["wide", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("order"))
         placed = diffs.drop("apart").join(order, "node")
         # Of at least `least` shared elements one is before the last `least` - 1 of the order: the rest aren't indexed.
@@ -863,7 +953,9 @@ class Join:
         if not large.limit(1).count():
             return links
         sets = self.sets(inner.select("node"), "first")
-        done = self.verified(pairs, sets, "first")
+        sifted = self.sifted(pairs, sets, "first")
+        open_, settled = sifted.where("linked is null"), sifted.where("linked is not null")
+        done = settled.union(self.verified(open_, sets, "first").select(*settled.columns))
         found = links.union(done.where("linked").select("a", "b"))
         parts = components(done.where("linked").select("a", "b"), self.scratch, "parts")
         members = self.groups(done, parts)
@@ -874,7 +966,8 @@ class Join:
             sets = sets.union(self.sets(nodes, "more"))
         large = self.scratch.keep(self.large(members), "still-large")
         few = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
-        found = found.union(self.inside(members.join(few, "wide", "left_anti").join(sets, "node"), "open"))
+        narrow = bounded_broadcast(self.scratch.keep(members.join(few, "wide", "left_anti"), "narrow"), BROADCAST_ROWS)
+        found = found.union(self.inside(sets.join(narrow, "node"), "open"))
         if not large.limit(1).count():
             return found
         direct, further = self.further(members.join(few, "wide", "left_semi"), sets, done)

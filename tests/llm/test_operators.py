@@ -81,6 +81,38 @@ def family(seed, copies, length):
     return out
 
 
+@pytest.mark.parametrize(("n", "similarity"), [(3, (90, 100)), (5, (80, 100)), (1, (60, 100))])
+def test_sketches_settle_no_linked_pair(n, similarity):
+    rule, rng = ngram_join.Rule(n, *similarity), np.random.default_rng(7)
+    owns = []
+    for size in (0, 1, 2, 3, 9, 40, 41, 300, 700):
+        base = np.sort(rng.integers(0, 2**64, size, np.uint64))
+        owns.append(base)
+        for share in (0.02, 0.05, 0.1, 0.2, 0.5):
+            kept = base[rng.random(size) >= share]
+            owns.append(np.sort(np.append(kept, rng.integers(0, 2**64, size - len(kept), np.uint64))))
+            owns.append(kept)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(owns)), pa.int64()), pa.array([x.view(np.int64).tolist() for x in owns], pa.list_(pa.int64()))],
+        names=["node", "own"],
+    )
+    (found,) = ngram_join._sketches(iter([batch]), rule)
+    marks = [np.frombuffer(x, np.uint16) for x in found.column(2).to_pylist()]
+    settled = 0
+    for i, x in enumerate(owns):
+        for j, y in enumerate(owns[:i]):
+            if not len(x) or not len(y):
+                continue
+            common = len(np.intersect1d(x, y))
+            apart, cells = ngram_join._apart(marks[i], marks[j], len(x), len(y), rule)
+            assert not (apart and rule.linked(common, len(x) + len(y)))
+            assert set(ngram_join._shared(x, y, rule).tolist()) <= set(cells)
+            if len(x) == len(y) >= 300 and common < 0.55 * len(x):  # far apart, so a sketch is to tell
+                assert apart
+                settled += 1
+    assert settled
+
+
 @pytest.mark.parametrize("n, similarity", [(3, (90, 100)), (5, (80, 100)), (2, (85, 100))])
 @pytest.mark.parametrize("exchanged", [False, True])
 def test_large_groups_are_exact(spark, monkeypatch, n, similarity, exchanged):
