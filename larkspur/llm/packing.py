@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table, text_batches
-from larkspur.llm.tokenizing import END_ID, encode_raw, public_path
+from larkspur.llm.tokenizing import END_ID, encode_raw, public_path, tidy
 
 CAPACITY = 1024
 BATCH_BYTES = 1 << 20
-#: Words remembered by a task: packing is often the last of several stages in the same executors.
-MEMO_BYTES = 48 << 20
+#: Bytes of words remembered by a task that leaves its worker small.
+TIDY_MEMO_BYTES = 48 << 20
 
 END = np.array([END_ID], "<u4").tobytes()
 
@@ -95,11 +95,13 @@ def slots(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+def _pieces(
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, memo_bytes: int = TIDY_MEMO_BYTES
+) -> Iterator[pa.RecordBatch]:
     for batch in byte_batches(batches, BATCH_BYTES, 1):
         docs, piece, start, length, crc = [], [], [], [], []
         for d, own in zip(
-            batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()], MEMO_BYTES), strict=True
+            batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()], memo_bytes), strict=True
         ):
             raw = memoryview(own + END)
             total = len(raw) // 4
@@ -125,7 +127,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
         )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, small: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each row.
 
     Only documents of more than `capacity` ids are cut; the first piece takes the remainder. A null
@@ -135,13 +137,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     The planner sees only the number of pieces of each length: `capacity` numbers, however large the
     corpus. Pieces find their place by their rank among those of their length. Ranks come from counts
     by (bucket, length), where a bucket is a hash of the document, so no length is ranked in one task.
+
+    small: as one of several stages in the same executors, tasks remember fewer words and leave none behind.
     """
     spark = docs.sparkSession
     text_batches(spark)
     scratch = Scratch(spark, "packing")
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(
-        lambda b: _pieces(b, tokenizer, capacity),
+        lambda b: tidy(_pieces)(b, tokenizer, capacity, TIDY_MEMO_BYTES) if small else _pieces(b, tokenizer, capacity),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long",
     )
     buckets = 8 * shuffle_partitions(spark)

@@ -55,6 +55,7 @@ def _class(member: Callable[[str], bool]) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
 
 
+@functools.lru_cache(maxsize=1)
 def _word_pattern() -> re.Pattern[str]:
     """The byte-level pre-tokenizer's words, for the basic plane; explicit classes make it twice as fast."""
     blank = regex.compile(r"\p{White_Space}")
@@ -88,6 +89,10 @@ class _Memo(dict):
         self.held = 0
 
 
+#: tokenizer's path -> the characters of WordMemo._odd_characters, which take longer to find than to keep.
+_ODD: dict[str, str] = {}
+
+
 class WordMemo:
     """Byte-level BPE by words: each distinct word is encoded by the library once and then remembered.
 
@@ -114,9 +119,10 @@ class WordMemo:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
         )
-        odd = self._odd_characters() if self.plain else ""
+        if path not in _ODD:
+            _ODD[path] = self._odd_characters() if self.plain else ""
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.odd = re.compile(f"[{odd}\U00010000-\U0010ffff]")
+        self.odd = re.compile(f"[{_ODD[path]}\U00010000-\U0010ffff]")
         self.memo = _Memo(self.tokenizer)
 
     def _odd_characters(self) -> str:
@@ -155,11 +161,12 @@ def word_memo(path: str) -> WordMemo:
 
 
 def release_words() -> None:
-    """Gives back what earlier tasks of this Python worker left: remembered words, freed Arrow buffers.
+    """Gives back what earlier tasks of this Python worker left: remembered words, tokenizers, freed Arrow buffers.
 
     Workers go from operator to operator, and an executor's memory is shared by several of them.
     """
     word_memo.cache_clear()
+    hf_tokenizer.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # where the C library can, freed memory goes back to the system

@@ -22,8 +22,8 @@ MAX_ROWS = (4000, 2000)
 #: Texts are hashed in overlapping stretches of this many characters.
 CHUNK = 1 << 20
 FOLDS = 5
-#: Fitted rows that are held as numbers at a time.
-BLOCK = 256
+#: Fitted rows whose numbers are held at a time.
+BLOCK = 64
 EPOCHS = 40
 SMOOTHING = 1.0
 L2 = 2e-3
@@ -63,6 +63,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
+def _packed(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows' ascending n-grams in half of the memory: their low 16 bits, and by row how many have the same bits above those."""
+    bounds = np.arange((1 << max(0, BITS - 16)) + 1) << 16
+    return np.concatenate(index).astype(np.uint16), np.concatenate([np.diff(np.searchsorted(x, bounds)) for x in index])
+
+
+def _unpacked(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    high = np.tile(np.arange(1 << max(0, BITS - 16), dtype=np.int32) << 16, len(counts) >> max(0, BITS - 16))
+    return low.astype(np.int32) + np.repeat(high, counts)
+
+
 def fit(rows: list[tuple[str | None, int]], prior: float) -> Model:
     """Fits the ratios and a logistic regression on them; prior is the labelled share of class 1.
 
@@ -73,21 +84,23 @@ def fit(rows: list[tuple[str | None, int]], prior: float) -> Model:
         return Model(np.zeros(1 << BITS, np.float32), 30.0 if len(rows) and y[0] == 1 else -30.0)
     size = 1 << BITS
     pos, neg = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
-    blocks = []  # first and last row, their n-grams one row after the other, and where each row's begin and end
+    blocks = []  # first and last row, their packed n-grams one row after the other, and where each row's begin and end
     for a in range(0, len(rows), BLOCK):
-        index = [features(r[0]).astype(np.int32) for r in rows[a : a + BLOCK]]
-        blocks.append((a, a + len(index), own := np.concatenate(index), ends := np.cumsum([0, *map(len, index)])))
+        index = [features(r[0]) for r in rows[a : a + BLOCK]]
+        blocks.append((a, a + len(index), _packed(index), ends := np.cumsum([0, *map(len, index)])))
+        own = np.concatenate(index)
         label = np.repeat(y[a : a + len(index)], np.diff(ends))
         pos += np.bincount(own, label, minlength=size)
         neg += np.bincount(own, 1 - label, minlength=size)
-    del index
+    del index, own, label
     ratio = np.log((pos / (y.sum() + 2 * SMOOTHING)) / (neg / ((1 - y).sum() + 2 * SMOOTHING)))
     w, b0 = np.full(size, 0.1), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     row_weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for t in range(1, EPOCHS + 1):  # full-batch Adam: the same result however the rows are dealt to tasks
         g, g_bias, scaled = np.zeros(size), 0.0, w * ratio
-        for a, b, own, ends in blocks:  # so that only a block's n-grams have numbers beside their places
+        for a, b, packed, ends in blocks:  # so that only a block's n-grams have numbers beside their places
+            own = _unpacked(*packed)
             sums = np.append(0.0, np.cumsum(scaled[own]))
             z = sums[ends[1:]] - sums[ends[:-1]]
             g_row = (1 / (1 + np.exp(-np.clip(z + b0, -60, 60))) - y[a:b]) * row_weight[a:b]

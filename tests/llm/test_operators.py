@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -384,6 +385,22 @@ def test_components(spark, tmp_path):
     assert components.components(spark.createDataFrame([], "a long, b long"), scratch, "y").collect() == []
 
 
+
+def test_toxicity_fit_holds_two_bytes_an_n_gram(monkeypatch):
+    """Packed n-grams come back as they were, and what a fit holds stays within bounds."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(97, 123, 700))) for _ in range(2000)]
+    index = [toxicity.features(t) for t in [*texts[:5], "", None]]
+    assert (toxicity._unpacked(*toxicity._packed(index)) == np.concatenate(index)).all()
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    tracemalloc.start()
+    toxicity.fit([(t, i % 2) for i, t in enumerate(texts)], 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n_grams = sum(len(toxicity.features(t)) for t in texts)
+    assert peak < 14 * (8 << toxicity.BITS) + 2.5 * n_grams  # some rows of numbers as long as the model, and two bytes each
+
+
 def test_toxicity_fit_against_a_dense_matrix():
     """Rows of several blocks, empty and null texts and repeats among them."""
     words = ["Ab", "cde", "fgh ij", "Zürich", "kkkk", ""]

@@ -126,3 +126,15 @@ def test_words_give_the_library_s_ids():
     texts = ["a\x1cb \x85 c", "<|endoftext|> x", "  \n\n  a\u3000b", "\U0001f600 smile", "it's 1st 'lls\u200b", "\u0c5c\xa0y"]
     got = [np.frombuffer(r, "<u4").tolist() for r in tokenizing.encode_raw(BYTE, texts)]
     assert got == tokenizing.encode_ids(BYTE, texts)
+
+
+
+def test_a_small_packing_leaves_nothing_in_its_worker():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some text", None])], names=["doc_id", "text"])
+    want = [b.to_pylist() for b in packing._pieces(iter([batch]), BYTE, 8)]
+    got = [b.to_pylist() for b in tokenizing.tidy(packing._pieces)(iter([batch]), BYTE, 8)]
+    assert got == want
+    assert not tokenizing.word_memo.cache_info().currsize
+    assert not tokenizing.hf_tokenizer.cache_info().currsize
