@@ -823,7 +823,7 @@ class Join:
             if segment >= 0:
                 costs[k][segment] = 2.0 * scheme(rule, k)[1] * r["ties"]
         prices = dict.fromkeys(costs, 0.0)
-        for r in self.profile.where("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator():
+        for r in self.profile.where("n_shingles > 0").groupBy("n_shingles").count().collect():  # bounded by the longest text, too
             top = band_of(rule, r["n_shingles"])
             for k in {top, top - 1} & prices.keys():
                 prices[k] += r["count"] * (r["n_shingles"] / scheme(rule, k)[0] + 1)

@@ -385,6 +385,23 @@ def test_components(spark, tmp_path):
     assert components.components(spark.createDataFrame([], "a long, b long"), scratch, "y").collect() == []
 
 
+def test_components_contract_before_they_go_round(spark, monkeypatch):
+    """A table that one task holds takes one; of larger ones the rounds find the same."""
+    rng = np.random.default_rng(5)
+    links = [(i, i + 1) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (150, 2))]
+    table = spark.createDataFrame(links, "a long, b long").repartition(3)
+    found = []
+    for chunk, kept in ((1 << 17, {"x-0", "x-1"}), (16, None)):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        scratch = common.Scratch(spark, "test")
+        found.append(sorted(map(tuple, components.components(table, scratch, "x").collect())))
+        assert kept in (None, scratch.kept)
+    part = {x: x for pair in links for x in pair}
+    for a, b in links:
+        old, new = max(part[a], part[b]), min(part[a], part[b])
+        part = {k: new if v == old else v for k, v in part.items()}
+    assert found == [sorted((k, v) for k, v in part.items() if k != v)] * 2
+
 
 def test_toxicity_fit_holds_two_bytes_an_n_gram(monkeypatch):
     """Packed n-grams come back as they were, and what a fit holds stays within bounds."""
