@@ -69,23 +69,33 @@ def _word_pattern() -> re.Pattern[str]:
 
 
 class _Memo(dict):
-    """word -> its ids' bytes, encoded when first asked for."""
+    """word -> its ids' bytes, encoded when first asked for; words asked for before `turn` are taken over when asked for again."""
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.encode = tokenizer.encode
         self.held = 0
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word, add_special_tokens=False).ids
-        if len(word) > LONG_WORD:
-            return struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = raw = struct.pack(f"<{len(ids)}I", *ids)
+        if (raw := self.older.pop(word, None)) is None:
+            ids = self.encode(word, add_special_tokens=False).ids
+            raw = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) > LONG_WORD:
+                return raw
+        self[word] = raw
         self.held += ENTRY_BYTES + 2 * len(word) + len(raw)
         return raw
 
+    def turn(self) -> None:
+        """Forgets the words that weren't asked for since the last turn."""
+        self.older = dict(self)
+        super().clear()
+        self.held = 0
+
     def clear(self) -> None:
         super().clear()
+        self.older = {}
         self.held = 0
 
 
@@ -141,10 +151,11 @@ class WordMemo:
     def raw(self, texts: list[str], memo_bytes: int) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
-        Remembered words are all forgotten beyond memo_bytes; words of more than LONG_WORD characters go unremembered.
+        Beyond memo_bytes, words are forgotten that weren't asked for lately; words of more than LONG_WORD characters
+        go unremembered.
         """
-        if self.memo.held > memo_bytes:
-            self.memo.clear()
+        if self.memo.held > memo_bytes // 2:  # the other half is for the words before the last turn
+            self.memo.turn()
         ids_of, words = self.memo.__getitem__, self.words.findall
         fast = [self.plain and self._safe(t) for t in texts]
         whole = [t for t, f in zip(texts, fast, strict=True) if not f]

@@ -128,6 +128,22 @@ def test_words_give_the_library_s_ids():
     assert got == tokenizing.encode_ids(BYTE, texts)
 
 
+def test_words_asked_for_again_are_remembered():
+    """Beyond the memo's bytes only words go that weren't asked for lately; ids stay those of the library."""
+    memo = tokenizing.word_memo(BYTE)
+    memo.memo.clear()
+    asked, encode = [], memo.memo.encode
+    memo.memo.encode = lambda word, **kw: asked.append(word) or encode(word, **kw)
+    try:
+        texts = [f"common {i}x{i * 7919} rare{i}" for i in range(400)]
+        got = [memo.raw([t], 4000)[0] for t in texts]
+    finally:
+        memo.memo.encode = encode
+        memo.memo.clear()
+    plain = Tokenizer.from_file(BYTE)
+    assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert asked.count("common") == 1
+
 
 def test_a_small_packing_leaves_nothing_in_its_worker():
     import pyarrow as pa
