@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table, text_batches
-from larkspur.llm.tokenizing import END_ID, encode_raw, public_path, tidy
+from larkspur.llm.tokenizing import END_ID, MEMO_BYTES, encode_raw, public_path, tidy
 
 CAPACITY = 1024
 BATCH_BYTES = 1 << 20
@@ -96,7 +96,7 @@ def slots(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, memo_bytes: int = TIDY_MEMO_BYTES
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, memo_bytes: int = MEMO_BYTES
 ) -> Iterator[pa.RecordBatch]:
     for batch in byte_batches(batches, BATCH_BYTES, 1):
         docs, piece, start, length, crc = [], [], [], [], []

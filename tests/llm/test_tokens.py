@@ -154,3 +154,12 @@ def test_a_small_packing_leaves_nothing_in_its_worker():
     assert got == want
     assert not tokenizing.word_memo.cache_info().currsize
     assert not tokenizing.hf_tokenizer.cache_info().currsize
+
+
+def test_packing_alone_remembers_as_many_words_as_the_token_files(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text"])], names=["doc_id", "text"])
+    given, encode = [], packing.encode_raw
+    monkeypatch.setattr(packing, "encode_raw", lambda path, texts, memo_bytes: given.append(memo_bytes) or encode(path, texts, memo_bytes))
+    assert [len(list(packing._pieces(iter([batch]), BYTE, 8))), given] == [1, [tokenizing.MEMO_BYTES]]
