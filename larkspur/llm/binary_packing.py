@@ -14,7 +14,8 @@ from larkspur.llm.tokenizing import encode_raw, public_path
 
 CAPACITY = 1024
 END_ID = 0
-BATCH_BYTES = 1 << 20
+#: Texts encoded at once: the more, the more often a distinct word of theirs is looked up for several occurrences.
+BATCH_BYTES = 4 << 20
 #: Words that a worker remembers, from task to task.
 MEMO_BYTES = 160 << 20
 #: Rows of (task, length) that are broadcast: 32 bytes each. Beyond that they are joined in a shuffle.

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import itertools
 import os
 import re
 import struct
@@ -14,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Token appended to each document by the binary writer and the packer.
@@ -22,6 +24,10 @@ END_ID = 2
 MEMO_BYTES = 200 << 20
 ENTRY_BYTES = 170
 LONG_WORD = 64
+#: A space after white space (U+001C to U+001F are taken for that, too).
+SPACE_AFTER_SPACE = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+)
 
 
 @functools.lru_cache(maxsize=4)
@@ -73,9 +79,12 @@ class _Memo(dict):
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.encode = tokenizer.encode
+        self.encode, self.encode_all = tokenizer.encode, tokenizer.encode_batch_fast
         self.held = 0
         self.older: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def __missing__(self, word: str) -> bytes:
         if (raw := self.older.pop(word, None)) is None:
@@ -83,9 +92,33 @@ class _Memo(dict):
             raw = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) > LONG_WORD:
                 return raw
+        self._keep(word, raw)
+        return raw
+
+    def _keep(self, word: str, raw: bytes) -> None:
         self[word] = raw
         self.held += ENTRY_BYTES + 2 * len(word) + len(raw)
-        return raw
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes those of the words that consist of a space and no further white space as one text.
+
+        Each of them is a word of the pre-tokenizer in that text, too, and tokens begin with a space where one of them
+        begins and nowhere else. The library takes half the time that it takes for one after the other.
+        """
+        row = []
+        for word in words:
+            if (raw := self.older.pop(word, None)) is not None:
+                self._keep(word, raw)
+            elif 1 < len(word) <= LONG_WORD and word[0] == " " and not word[1].isspace():
+                row.append(word)
+        if not row:
+            return
+        ids = np.array(self.encode_all(["".join(row)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(row):
+            raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            for word, (i, j) in zip(row, itertools.pairwise(at), strict=True):
+                self._keep(word, raw[i:j])
 
     def turn(self) -> None:
         """Forgets the words that weren't asked for since the last turn."""
@@ -156,14 +189,41 @@ class WordMemo:
         """
         if self.memo.held > memo_bytes // 2:  # the other half is for the words before the last turn
             self.memo.turn()
-        ids_of, words = self.memo.__getitem__, self.words.findall
         fast = [self.plain and self._safe(t) for t in texts]
+        parted = iter(self._by_spaces([t for t, f in zip(texts, fast, strict=True) if f]))
         whole = [t for t, f in zip(texts, fast, strict=True) if not f]
         rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        return [
-            b"".join(map(ids_of, words(t))) if f else np.array(next(rest).ids, "<u4").tobytes()
-            for t, f in zip(texts, fast, strict=True)
-        ]
+        return [next(parted) if f else np.array(next(rest).ids, "<u4").tobytes() for f in fast]
+
+    def _by_spaces(self, texts: list[str]) -> list[bytes]:
+        """Ids of safe texts, cut before each space; of those with a space after white space, by the pre-tokenizer's words.
+
+        A word with a space begins with it or is white space alone, so a space behind anything but white space begins
+        a word, and what comes before it doesn't look beyond it. Each distinct piece of all texts is looked up once.
+        """
+        column = pa.array(texts, pa.large_string())
+        runs = pc.match_substring_regex(column, SPACE_AFTER_SPACE).to_pylist()
+        pieces = pc.split_pattern(column.filter(pa.array([not r for r in runs], pa.bool_())), " ")
+        ends = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        at = coded.indices.to_numpy().copy()
+        distinct = [" " + p for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        firsts = pieces.values.take(pa.array(ends[:-1])).to_pylist()
+        count = len(distinct) + len(firsts)
+        at[ends[:-1]] = np.arange(len(distinct), count)  # no space precedes a text's first piece
+        asked = distinct + firsts + [t for t, r in zip(texts, runs, strict=True) if r]
+        memo = self.memo
+        raw = list(map(memo.get, asked))
+        left = [i for i, own in enumerate(raw) if own is None]
+        parted = [self.words.findall(asked[i]) for i in left]
+        memo.learn({w for words in parted for w in words if w not in memo})
+        for i, words in zip(left, parted, strict=True):
+            raw[i] = memo[words[0]] if len(words) == 1 else b"".join(map(memo.__getitem__, words))
+        ids = pa.array(raw[:count], pa.large_binary()).take(pa.array(at))
+        bounds = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[ends].tolist()
+        held = memoryview(ids.buffers()[2] or b"")
+        cut, rest = (held[i:j].tobytes() for i, j in itertools.pairwise(bounds)), iter(raw[count:])
+        return [next(rest) if r else next(cut) for r in runs]
 
 
 @functools.lru_cache(maxsize=4)

@@ -145,6 +145,22 @@ def test_words_asked_for_again_are_remembered():
     assert asked.count("common") == 1
 
 
+def test_unknown_words_go_to_the_library_together():
+    """Words behind a space are encoded as one text; ids stay those of the library, wherever white space lies."""
+    texts = ["one two two's three", " lead", "tail ", "a  b", "x\n y", "u\tv w", "\u0120 \u0120x", "", " ", "t\u3000 s", "long " + "y" * 200]
+    memo = tokenizing.word_memo(BYTE)
+    memo.memo.clear()
+    asked, encode = [], memo.memo.encode
+    memo.memo.encode = lambda word, **kw: asked.append(word) or encode(word, **kw)
+    try:
+        got = [np.frombuffer(r, "<u4").tolist() for r in memo.raw(texts, 1 << 20)]
+    finally:
+        memo.memo.encode = encode
+        memo.memo.clear()
+    assert got == tokenizing.encode_ids(BYTE, texts)
+    assert not {" two", " three", " lead", " w"} & set(asked)
+
+
 def test_a_small_packing_leaves_nothing_in_its_worker():
     import pyarrow as pa
 
