@@ -16,7 +16,8 @@ from larkspur.llm.tokenizing import END_ID, encode_raw, public_path
 
 #: Ids in one ORC row. Longer documents take several rows, so that stripes and read batches stay bounded.
 ROW_IDS = 4096
-BATCH_BYTES = 1 << 20
+#: Texts encoded at once: the more, the more often a distinct word of theirs is looked up for several occurrences.
+BATCH_BYTES = 4 << 20
 END = np.array([END_ID], "<u4").tobytes()
 STRIPE_BYTES = 64 << 20
 #: Rows between two entries of the row index.
@@ -148,14 +149,18 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file"), "doc_id", "row", "part", "ids"
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(_digest, f"file int, doc_id {kind}, row long, part int, n long, crc long")
-    docs = (
-        parts.groupBy("file", "doc_id", "row")
+    scratch = Scratch(spark, "token-index")
+    parts = scratch.keep(rows.mapInArrow(_digest, f"file int, doc_id {kind}, row long, part int, n long, crc long"), "parts")
+    # a first part that isn't full is a whole document; only the others are put together
+    whole = F.expr(f"part = 0 and n < {ROW_IDS}")
+    several = (
+        parts.where(~whole)
+        .groupBy("file", "doc_id", "row")
         .agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
         .mapInArrow(_join_parts, f"file int, doc_id {kind}, row long, n_tokens long, ids_crc32 long")
     )
-    scratch = Scratch(spark, "token-index")
-    docs = scratch.keep(docs, "docs")
+    single = parts.where(whole).select("file", "doc_id", "row", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    docs = scratch.keep(single.union(several), "docs")
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))

@@ -161,6 +161,28 @@ def test_unknown_words_go_to_the_library_together():
     assert not {" two", " three", " lead", " w"} & set(asked)
 
 
+def test_only_documents_of_several_rows_are_put_together(spark, tmp_path, monkeypatch):
+    """A first row that isn't full is a whole document; full ones and those that follow are joined."""
+    join, full = token_files._join_parts, token_files.ROW_IDS
+
+    def watched(batches):
+        for batch in batches:
+            for parts in batch.column(batch.schema.get_field_index("parts")).to_pylist():
+                assert len(parts) > 1 or parts[0]["n"] == full
+            yield from join(iter([batch]))
+
+    monkeypatch.setattr(token_files, "_join_parts", watched)
+    counts = [1, full - 1, full, full + 1, 2 * full, 2 * full + 1]  # with the end id
+    docs = spark.createDataFrame([(i, "a" + " a" * (n - 2) if n > 1 else None) for i, n in enumerate(counts)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    token_files.write_token_orc(docs, path, BYTE, files=2)
+    got = sorted(tuple(r) for r in token_files.token_index(spark, path).collect())
+    ids = [[*(Tokenizer.from_file(BYTE).encode(r["text"] or "", add_special_tokens=False).ids), 2] for r in sorted(docs.collect())]
+    assert [len(x) for x in ids] == counts
+    want = [(i, sum(counts[:i]), n, zlib.crc32(np.array(ids[i], "<u4").tobytes())) for i, n in enumerate(counts)]
+    assert got == want
+
+
 def test_a_small_packing_leaves_nothing_in_its_worker():
     import pyarrow as pa
 
