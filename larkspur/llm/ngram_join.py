@@ -10,8 +10,10 @@ their non-empty parts alone. The few whose sum does not ("poor" sets) also index
 too, among themselves. Sets take part in their own band's scheme and in the one below.
 
 All segments start at v = 0. What is in a bucket is tied together by candidates that form a tree, which are
-verified exactly. Ties that aren't links, between different components, leave those components open. The
-cost of an open tie is set against that of one-deletion neighbourhoods: where these are cheaper, the
+verified exactly. Ties that aren't links, between different components, leave those components open. With D the
+most that a set x may differ in from a linked one, both have at least c = (non-empty parts of x) - D of them in
+common. If each set leaves half of c - 1 of its segments out, whichever it likes, linked sets still meet in one
+that neither has left out, so a set first cuts the open ties that it can cut that way. The cost of an open tie is set against that of one-deletion neighbourhoods: where these are cheaper, the
 costliest segments go to v = -1 and the cheapest ones of the scheme to v = 1. The components that the ties
 of the final allocation join are one group, and a group is compared with itself by differences: each set
 stands as what sets it apart from the group's pivot, a set near most of the others. Of two linked sets that
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,6 +56,8 @@ from larkspur.llm.tokenizing import tidy
 FLUSH = 200_000
 #: Buckets of so many nodes have every pair as a candidate; larger ones a tree.
 SMALL_BUCKET = 8
+#: How a candidate (a, b) was found: as one of all pairs of a bucket, tied to its head, tied to it with others tied to a.
+WHOLE, TREE, STANDS = 0, 1, 2
 #: Groups of at most so many nodes and shingles are compared whole in one task, their sets held at once.
 SMALL_GROUP = 64
 SMALL_SHINGLES = 1 << 17
@@ -126,6 +130,19 @@ def scheme(rule: Rule, k: int) -> tuple[int, int]:
     return m, h
 
 
+def spare(rule: Rule, k: int, size: int, full: int) -> int:
+    """Half of what a set of this size, with `full` parts that aren't empty, has in common with any linked one beyond a first part.
+
+    Of pairs that meet in the scheme of band k, one set at least is of that band.
+    """
+    limit = 1
+    while len(bands(rule, limit)) <= k:
+        limit *= 4
+    high = bands(rule, limit)[k][1]
+    most = rule.difference(size + (rule.reach(size) if size <= high else high))
+    return max(0, full - most - 1) // 2
+
+
 @dataclass(frozen=True)
 class Sets:
     """Several sets: the ascending hashes of each, one set after the other; set i is flat[ends[i] : ends[i + 1]]."""
@@ -390,20 +407,25 @@ def _tree(sig: np.ndarray, node: np.ndarray, stands: np.ndarray) -> tuple[np.nda
 
 
 def _met(sig: np.ndarray, node: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, tree) of whole buckets: every pair of small ones, and trees over those that are large or were tied in part before."""
+    """(a, b, tree) of whole buckets: every pair of small ones, and trees over those that are large or were tied in part before.
+
+    tree is WHOLE, TREE, or STANDS where others are tied to a.
+    """
     sig, node, stands, size = _distinct(sig, node, stands)
     if not len(sig):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     counts = np.diff(np.append(first, len(sig)))
     tree = (size > SMALL_BUCKET) | np.repeat(np.logical_or.reduceat(stands, first), counts)
     head = np.repeat(node[first], counts)
-    trees, whole = _ties([np.stack([node, head], 1)[tree & (node != head)]]), []
+    tied, whole = np.stack([node, head], 1), []
+    trees = [_ties([tied[tree & (node != head) & (stands == s)]]) for s in (False, True)]
     for d in range(1, SMALL_BUCKET):
         at = np.flatnonzero((sig[d:] == sig[:-d]) & ~tree[d:])
         whole.append(np.stack([node[at + d], node[at]], 1))
-    wholes = _ties(whole)
-    return np.append(trees[0], wholes[0]), np.append(trees[1], wholes[1]), np.arange(len(trees[0]) + len(wholes[0])) < len(trees[0])
+    found = [*trees, _ties(whole)]
+    kinds = np.repeat(np.array([TREE, STANDS, WHOLE], np.int32), [len(a) for a, _ in found])
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), kinds
 
 
 def _deep_tree(sig: np.ndarray, kind: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -493,7 +515,7 @@ def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBa
         held.clear()
         if deep:
             a, b = _deep_tree(sig, bit, node)[-2:]
-            return pairs(a, b, np.ones(len(a), bool))
+            return pairs(a, b, np.full(len(a), TREE, np.int32))
         return pairs(*_met(sig, node, bit > 0))
 
     for batch in batches:
@@ -503,7 +525,7 @@ def _meet(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBa
             block = key
             if sigs is None:
                 a = np.frombuffer(at, np.int64)
-                yield pairs(a, np.frombuffer(nodes, np.int64), np.ones(len(a), bool))
+                yield pairs(a, np.frombuffer(nodes, np.int64), np.full(len(a), TREE, np.int32))
             else:
                 at = _unplanes(at, "<u4")
                 held.append((np.cumsum(_unplanes(sigs, "<u8")), (at & 1).astype(np.int64), np.frombuffer(nodes, np.int64)[at >> 1]))
@@ -566,20 +588,32 @@ def _layout(rule: Rule, size: int) -> dict[int, tuple[int, int, int]]:
 
 @tidy
 def _sketches(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(node, n, sketch) of (node, own): 16 bits for each part of the set in its schemes, 0 only for empty ones."""
+    """(node, n, sketch, spare) of (node, own): 16 bits for each part of the set in its schemes, 0 only for empty ones.
+
+    spare: by scheme, the number of segments that the set may leave out, in the low half of a number.
+    """
     for batch in batches:
         owns = _arrays(batch.column(1))
         sets = Sets(np.concatenate(owns) if owns else np.zeros(0, np.uint64), _ends(np.array([len(x) for x in owns], np.int64)))
         pieces: list[list[bytes]] = [[] for _ in owns]
+        spares: list[list[int]] = [[] for _ in owns]
         for chosen, k, m, _ in _schemes(sets, rule):
             parts, ends = Parts(sets.only(chosen), k, m), _ends(m)
+            full = np.bincount(parts.owner, minlength=len(k))
+            for i, x, n, own in zip(np.flatnonzero(chosen).tolist(), k.tolist(), sets.sizes[chosen].tolist(), full.tolist(), strict=True):
+                spares[i].append((x << 32) + spare(rule, x, n, own))
             marks = np.zeros(ends[-1], np.uint16)
             marks[ends[parts.owner] + parts.segment] = np.maximum(mix(parts.sums) >> np.uint64(48), np.uint64(1))
             for i, x, y in zip(np.flatnonzero(chosen).tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
                 pieces[i].append(marks[x:y].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets.sizes, pa.int64()), pa.array([b"".join(x) for x in pieces], pa.binary())],
-            names=["node", "n", "sketch"],
+            [
+                batch.column(0),
+                pa.array(sets.sizes, pa.int64()),
+                pa.array([b"".join(x) for x in pieces], pa.binary()),
+                pa.array(spares, pa.list_(pa.int64())),
+            ],
+            names=["node", "n", "sketch", "spare"],
         )
 
 
@@ -634,6 +668,33 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         )
 
 
+@tidy
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open ties (a, b, shared) that are left; rows (node, tree, spare, a, b, shared) come sorted by node, those of few segments first.
+
+    A node leaves segments out as long as `spare` allows, and is tied by the others. Ties of nodes that others are
+    tied to in that bucket stay, and so do those of sets that are poor.
+    """
+    now = None
+    left: dict[int, int] = {}
+    gone: set[int] = set()
+    for batch in batches:
+        keep = []
+        for node, tree, own, shared in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5)), strict=True):
+            if node != now:
+                now, left, gone = node, {x >> 32: x & 0xFFFFFFFF for x in own}, set()
+            new = set(shared) - gone
+            need = Counter(c >> 32 for c in new)
+            cut = tree == TREE and all(c & 0xFFFFFFFF for c in new) and all(left.get(k, 0) >= n for k, n in need.items())
+            if cut:
+                gone |= new
+                for k, n in need.items():
+                    left[k] -= n
+            keep.append(not cut)
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(kept.columns[3:], names=["a", "b", "shared"])
+
+
 def _links_within(nodes: list[int], sets: list[np.ndarray], rule: Rule) -> tuple[list[int], list[int]]:
     """(a, b): a forest over the linked sets of a small group, found by comparing all of them."""
     sizes = np.array([len(x) for x in sets])
@@ -743,7 +804,7 @@ class Join:
         rule, clashes, bits = self.rule, self.clashes, self.bits
         blocks = self.docs.mapInArrow(lambda b: _deal(b, rule, bits, clashes), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
-        pairs = dealt.mapInArrow(lambda b: _meet(b, False), "a long, b long, tree boolean")
+        pairs = dealt.mapInArrow(lambda b: _meet(b, False), "a long, b long, tree int")
         return self.kept(pairs.where("a <> b").groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
 
     def read(self, nodes: DataFrame, label: str, extra: str = "") -> DataFrame:
@@ -789,17 +850,16 @@ class Join:
     def sifted(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """(a, b, tree, linked, shared) of candidate pairs: linked is null where sketches leave it open, else false."""
         rule = self.rule
-        sketches = sets.select("node", "own").mapInArrow(lambda b: _sketches(b, rule), "node long, n long, sketch binary")
+        sketches = sets.select("node", "own").mapInArrow(lambda b: _sketches(b, rule), "node long, n long, sketch binary, spare array<long>")
         sketches = self.kept(sketches, f"{label}-sketches")
         for end in ("b", "a"):  # heads of trees come first: what is shuffled next repeats theirs, row by row, and compresses
             of_end = sketches.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
             pairs = pairs.join(of_end, end)
         sifted = pairs.select("a", "b", "tree", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(
-            lambda b: _sift(b, rule), "a long, b long, tree boolean, linked boolean, shared array<long>"
+            lambda b: _sift(b, rule), "a long, b long, tree int, linked boolean, shared array<long>"
         )
-        sifted = self.scratch.keep(sifted, f"{label}-sifted")
-        self.scratch.drop(f"{label}-sketches")
-        return sifted
+        self.spare = sketches.select("node", "spare")
+        return self.scratch.keep(sifted, f"{label}-sifted")
 
     def verified(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """(a, b, tree, linked, shared) of candidate pairs; shared only for those in trees."""
@@ -809,7 +869,7 @@ class Join:
         with_b = pairs.select("a", "b", "tree").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
         with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
         out = with_a.select("a", "b", "own_a", "own_b", "tree").mapInArrow(
-            lambda b: _verify(b, rule), "a long, b long, tree boolean, linked boolean, shared array<long>"
+            lambda b: _verify(b, rule), "a long, b long, tree int, linked boolean, shared array<long>"
         )
         return self.kept(out, f"{label}-verified")
 
@@ -829,12 +889,18 @@ class Join:
                 prices[k] += r["count"] * (r["n_shingles"] / scheme(rule, k)[0] + 1)
         return allocate(costs, prices, {k: scheme(rule, k)[0] for k in costs}, float(self.total))
 
+    def cut(self, open_: DataFrame) -> DataFrame:
+        """(a, b, shared) of the open ties that sets can't cut by leaving segments out; see _cut."""
+        of_node = open_.join(self.spare, "node").select("node", "tree", "spare", "a", "b", "shared")
+        dealt = of_node.repartition(shuffle_partitions(self.spark), "node").sortWithinPartitions("node", F.size("shared"))
+        return self.scratch.keep(dealt.mapInArrow(_cut, "a long, b long, shared array<long>"), "cut")
+
     def deep_ties(self, allocation: Allocation) -> DataFrame:
         """(a, b): trees over what meets by one deletion, or as sets that the allocation makes poor."""
         rule, clashes, bits = self.rule, self.clashes, self.bits
         blocks = self.docs.mapInArrow(lambda b: _deal_deep(b, rule, bits, clashes, allocation), _BLOCK)
         dealt = blocks.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block")
-        pairs = dealt.mapInArrow(lambda b: _meet(b, True), "a long, b long, tree boolean")
+        pairs = dealt.mapInArrow(lambda b: _meet(b, True), "a long, b long, tree int")
         return self.kept(pairs.where("a <> b").select("a", "b").distinct(), "deep")
 
     def groups(self, done: DataFrame, parts: DataFrame) -> DataFrame | None:
@@ -847,13 +913,16 @@ class Join:
             named = named.withColumn("a", F.coalesce("part_a", "a")).withColumn("b", F.coalesce("part_b", "b"))
             return named.where("a <> b").drop("part_a", "part_b")
 
-        open_ = self.scratch.keep(between(done.where("tree and not linked").select("a", "b", "shared")), "open")
-        if not open_.limit(1).count():
+        open_ = between(done.where(f"tree <> {WHOLE} and not linked").select(F.col("a").alias("node"), "a", "b", "tree", "shared"))
+        open_ = self.scratch.keep(open_, "open")
+        left = self.cut(open_)
+        self.scratch.drop("first-sketches")
+        if not left.limit(1).count():
             return None
-        allocation = self.allocation(open_)
+        allocation = self.allocation(left)
         skipped = [int(c) for k, i in allocation.skipped.items() for c in _cell(np.full(len(i), k), i)]
-        ties = open_.select("a", "b")
-        if skipped:
+        ties = left.select("a", "b")
+        if skipped:  # segments left out aren't to be skipped besides, so all open ties count
             left = F.array_except("shared", F.array(*map(F.lit, skipped)))
             ties = open_.where(F.size(left) > 0).select("a", "b").union(between(self.deep_ties(allocation)))
         wide = components(ties, self.scratch, "wide").select(F.col("node").alias("part"), F.col("component").alias("wide"))
@@ -930,7 +999,7 @@ class Join:
         )
         seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        pairs = pairs.join(seen, ["a", "b"], "left_anti").withColumn("tree", F.lit(False))
+        pairs = pairs.join(seen, ["a", "b"], "left_anti").withColumn("tree", F.lit(WHOLE))
         return direct.select("a", "b"), self.scratch.keep(pairs, "further")
 
     def links(self) -> DataFrame:

@@ -129,6 +129,58 @@ def test_large_groups_are_exact(spark, monkeypatch, n, similarity, exchanged):
     assert len({r[2] for r in got}) > 5
 
 
+@pytest.mark.parametrize(("n", "similarity"), [(3, (90, 100)), (5, (80, 100)), (1, (60, 100))])
+def test_linked_sets_share_more_segments_than_both_may_leave_out(n, similarity):
+    rule, rng, linked = ngram_join.Rule(n, *similarity), np.random.default_rng(5), 0
+    for size in (2, 5, 9, 20, 41, 90, 300, 700):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            new = rng.integers(0, 2**64, rng.integers(0, 2 + size // 30), np.uint64)
+            b = np.unique(np.append(a[rng.random(size) < rng.choice([0.9, 0.97, 0.99])], new))
+            if not len(b) or not rule.linked(len(np.intersect1d(a, b)), len(a) + len(b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
+                continue
+            linked += 1
+            spares = []
+            for own in (a, b):
+                batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([own.view(np.int64).tolist()])], names=["node", "own"])
+                spares.append({x >> 32: x & 0xFFFFFFFF for x in next(ngram_join._sketches.__wrapped__(iter([batch]), rule)).column(3)[0].as_py()})
+            k = min(max(x) for x in spares)  # the scheme in which the pair is to meet
+            shared = [c for c in ngram_join._shared(a, b, rule).tolist() if c >> 32 == k]
+            assert 0 in {c & 0xFFFFFFFF for c in shared} or len(shared) > spares[0][k] + spares[1][k]
+    assert linked > 50
+
+
+def test_open_ties_are_cut_as_far_as_segments_may_be_left_out():
+    cell = lambda k, i: (k << 32) + i + 1
+    rows = [
+        (1, ngram_join.TREE, 7, [cell(3, 0)]),
+        (1, ngram_join.TREE, 8, [cell(3, 0), cell(3, 1)]),
+        (1, ngram_join.TREE, 9, [cell(3, 1), cell(3, 2), cell(3, 3)]),  # a third and a fourth segment, two may go
+        (2, ngram_join.TREE, 7, [cell(2, 5)]),  # nothing to spare in that scheme
+        (3, ngram_join.STANDS, 7, [cell(3, 0)]),
+        (4, ngram_join.TREE, 7, [3 << 32]),  # a poor set's
+    ]
+    node, tree, b, shared = zip(*rows, strict=True)
+    columns = [pa.array(node), pa.array(tree, pa.int32()), pa.array([[(3 << 32) + 2]] * len(rows)), pa.array(node), pa.array(b), pa.array(shared)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["node", "tree", "spare", "a", "b", "shared"])
+    left = [(r["a"], r["b"]) for cut in ngram_join._cut(iter([batch.slice(0, 2), batch.slice(2)])) for r in cut.to_pylist()]
+    assert left == [(1, 9), (2, 7), (3, 7), (4, 7)]
+
+
+def test_a_shared_passage_makes_no_group(spark, monkeypatch):
+    """Unlinked texts with a passage in common, which before were compared with each other as one large group."""
+    grouped, large = [], ngram_join.Join.further
+    monkeypatch.setattr(ngram_join.Join, "further", lambda join, members, *rest: grouped.append(members.count()) or large(join, members, *rest))
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [f"{' '.join(f'w{x}' for x in rng.integers(0, 10**6, 170))} {passage}" for _ in range(120)]
+    rows += [rows[i].replace(" w", " v", 1) for i in range(0, 120, 10)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.ngram_join(docs, 5, (80, 100)).collect())
+    assert got == components_by_all_pairs(rows, 5, 80, 100)
+    assert len({r[2] for r in got}) == 120 and not grouped
+
+
 @pytest.mark.parametrize("nulls", [3, 2, 1])
 def test_rows_with_null_ids_link_others(spark, nulls):
     """Every nulls-th row has a null id: with 2 and 3, bucket heads among them; with 1, there are no other rows."""
