@@ -14,8 +14,10 @@ from larkspur.llm.common import Scratch, byte_batches, shuffle_partitions, table
 from larkspur.llm.tokenizing import END_ID, MEMO_BYTES, encode_raw, public_path, tidy
 
 CAPACITY = 1024
-BATCH_BYTES = 1 << 20
-#: Bytes of words remembered by a task that leaves its worker small.
+#: Texts encoded at once: the more, the more often a distinct word of theirs is looked up for several occurrences.
+BATCH_BYTES = 4 << 20
+#: The same, and bytes of words remembered, by a task that leaves its worker small.
+TIDY_BATCH_BYTES = 1 << 20
 TIDY_MEMO_BYTES = 48 << 20
 
 END = np.array([END_ID], "<u4").tobytes()
@@ -96,9 +98,9 @@ def slots(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, memo_bytes: int = MEMO_BYTES
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, memo_bytes: int = MEMO_BYTES, batch_bytes: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    for batch in byte_batches(batches, BATCH_BYTES, 1):
+    for batch in byte_batches(batches, batch_bytes, 1):
         docs, piece, start, length, crc = [], [], [], [], []
         for d, own in zip(
             batch.column(0).to_pylist(), encode_raw(path, [t or "" for t in batch.column(1).to_pylist()], memo_bytes), strict=True
@@ -138,14 +140,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, small: bool
     corpus. Pieces find their place by their rank among those of their length. Ranks come from counts
     by (bucket, length), where a bucket is a hash of the document, so no length is ranked in one task.
 
-    small: as one of several stages in the same executors, tasks remember fewer words and leave none behind.
+    small: as one of several stages in the same executors, tasks encode less at once, remember fewer words and leave none behind.
     """
     spark = docs.sparkSession
     text_batches(spark)
     scratch = Scratch(spark, "packing")
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(
-        lambda b: tidy(_pieces)(b, tokenizer, capacity, TIDY_MEMO_BYTES) if small else _pieces(b, tokenizer, capacity),
+        lambda b: tidy(_pieces)(b, tokenizer, capacity, TIDY_MEMO_BYTES, TIDY_BATCH_BYTES) if small else _pieces(b, tokenizer, capacity),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long",
     )
     buckets = 8 * shuffle_partitions(spark)

@@ -201,3 +201,14 @@ def test_packing_alone_remembers_as_many_words_as_the_token_files(monkeypatch):
     given, encode = [], packing.encode_raw
     monkeypatch.setattr(packing, "encode_raw", lambda path, texts, memo_bytes: given.append(memo_bytes) or encode(path, texts, memo_bytes))
     assert [len(list(packing._pieces(iter([batch]), BYTE, 8))), given] == [1, [tokenizing.MEMO_BYTES]]
+
+
+def test_packing_alone_encodes_as_much_at_once_as_the_token_files(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["word " * 200_000] * 3)], names=["doc_id", "text"])
+    given = []
+    monkeypatch.setattr(packing, "encode_raw", lambda path, texts, memo_bytes: given.append(len(texts)) or [b""] * len(texts))
+    assert [len(list(packing._pieces(iter([batch]), BYTE, 8))), given] == [1, [3]]
+    given.clear()
+    assert [len(list(packing._pieces(iter([batch]), BYTE, 8, packing.TIDY_MEMO_BYTES, packing.TIDY_BATCH_BYTES))), given] == [3, [1, 1, 1]]
