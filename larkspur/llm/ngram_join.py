@@ -18,7 +18,8 @@ costliest segments go to v = -1 and the cheapest ones of the scheme to v = 1. Th
 of the final allocation join are one group, and a group is compared with itself by differences: each set
 stands as what sets it apart from the group's pivot, a set near most of the others. Of two linked sets that
 aren't both in the pivot's component, the differences d and e share at least (d + e - H) / 2 >= 1 elements,
-so an index of their rarest elements with a bound on positions finds every such pair.
+so an index of the elements that come first in any order of the group's finds every such pair. Those seldom met with
+in an eighth of its sets come first; elements behind are never listed.
 """
 
 from __future__ import annotations
@@ -61,6 +62,10 @@ WHOLE, TREE, STANDS = 0, 1, 2
 #: Groups of at most so many nodes and shingles are compared whole in one task, their sets held at once.
 SMALL_GROUP = 64
 SMALL_SHINGLES = 1 << 17
+#: Shared elements of differences that a pair must have among those indexed, if it must share as many at all.
+TOGETHER = 2
+#: Elements whose counts are told to the tasks that choose what is indexed, 16 bytes each.
+USUAL = 1 << 17
 #: Ids and signatures that may be broadcast (8 bytes each); beyond it, a shuffle join does the same.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of texts whose sets are made at once, and the longest stretch of a text that is split into words at once.
@@ -712,6 +717,35 @@ def _links_within(nodes: list[int], sets: list[np.ndarray], rule: Rule) -> tuple
     return [nodes[i] for i in moved.tolist()], [nodes[i] for i in label[moved].tolist()]
 
 
+def _element_keys(wide: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return mix(mix(wide.view(np.uint64)) + e.view(np.uint64))
+
+
+@tidy
+def _firsts(batches: Iterator[pa.RecordBatch], keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(wide, node, part, s, d, e, at) of rows (wide, node, part, s, d, least, apart), of each set the elements to be indexed.
+
+    Elements of `apart` are ordered by their counts, then as numbers; `at` is the place there. Of at least `least`
+    shared elements the first TOGETHER (or all, if there are fewer) are before the last `least` - TOGETHER.
+    """
+    for batch in batches:
+        wide, node, part, s, d, least = (batch.column(i).to_numpy() for i in range(6))
+        apart = batch.column(6)
+        ends = apart.offsets.to_numpy()
+        e, starts, sizes = apart.values.to_numpy()[ends[0] : ends[-1]], ends[:-1] - ends[0], np.diff(ends)
+        owner, often = np.repeat(np.arange(len(node)), sizes), np.zeros(len(e), np.int64)
+        if len(keys):
+            own = _element_keys(wide[owner], e)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            often = np.where(keys[at] == own, counts[at], 0)
+        order = np.lexsort((e, often, owner))  # sets stay where they are
+        at = np.arange(len(e)) - starts[owner]
+        kept = at < (d - least + np.minimum(least, TOGETHER))[owner]
+        owner = owner[kept]
+        columns = (wide[owner], node[owner], part[owner], s[owner], d[owner], e[order[kept]], at[kept])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["wide", "node", "part", "s", "d", "e", "at"])
+
+
 @tidy
 def _inside(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links within small groups; rows (wide, node, own) come sorted, a group is held at a time."""
@@ -955,11 +989,26 @@ class Join:
         pivots = pivots.select("wide", F.col("node").alias("pivot"), F.col("part").alias("pivot_part"), F.col("own").alias("pivot_own"))
         return self.scratch.keep(pivots, "pivots")
 
+    def usual(self, diffs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts), keys ascending: elements that several of an eighth of the sets have among their differences.
+
+        They bear on the order of the index alone, that is on cost; of more than USUAL the most frequent ones are told.
+        """
+        some = diffs.where(F.col("node").bitwiseAND(F.lit(7)) == 0).select("wide", F.explode("apart").alias("e"))
+        counts = some.groupBy("wide", "e").agg(F.count("*").alias("n")).where("n > 1")
+        found = counts.orderBy(F.desc("n"), "wide", "e").limit(USUAL).toArrow()
+        wide, e, n = (found.column(i).to_numpy() for i in range(3))
+        keys = _element_keys(wide, e)
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
     def further(self, members: DataFrame, sets: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(a, b) of links with the pivots, and of every other pair of parts still apart that may be linked.
 
         With H the most that two sets of these sizes may differ in and d, e what they differ from the pivot
         in, linked sets share at least (d + e - H) / 2 of that. Sets with d <= H are linked with the pivot.
+        In any order that is the same for all sets of a group, the first j of so many shared elements are before
+        the last (d + e - H) / 2 - j of either set, so the others are neither listed nor counted.
         A set of the pivot's part meets sets that aren't, so their e exceeds what the pivot allows by one
         at least; H grows by no more than the set is larger than the pivot.
         """
@@ -980,25 +1029,24 @@ class Join:
         most = F.expr(f"((s + s * {den} div {num}) * {den - num}) div {den + num}")
         central = F.expr("if(near, (d + 2 - greatest(0, s - p)) div 2, 1)")
         diffs = diffs.withColumn("least", F.greatest(F.lit(1), F.col("d") - most, central))
-        diffs = diffs.drop("near", "pivot", "pivot_part", "p")
-        rows = diffs.select("wide", "node", F.explode("apart").alias("e"))
-        often = rows.groupBy("wide", "e").agg(F.count("*").alias("n")).where("n > 1")
-        often = bounded_broadcast(self.scratch.keep(often, "often"), BROADCAST_ROWS)
-        order = rows.join(often, ["wide", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("order"))
-        placed = diffs.drop("apart").join(order, "node")
-        # Of at least `least` shared elements one is before the last `least` - 1 of the order: the rest aren't indexed.
-        first = F.slice("order", F.lit(1), F.greatest(F.lit(0), F.size("order") - F.col("least").cast("int") + 1))
-        placed = placed.select("*", F.posexplode(first).alias("i", "x"))
-        placed = placed.select("wide", F.col("x.e").alias("e"), "node", "part", "s", "d", (F.col("d") - F.size("order") + F.col("i")).alias("at"))
-        placed = self.scratch.keep(placed, "placed")
+        diffs = diffs.select("wide", "node", "part", "s", "d", "least", "apart")
+        usual = self.usual(diffs)
+        firsts = diffs.mapInArrow(
+            lambda b: _firsts(b, *usual), "wide long, node long, part long, s long, d long, e long, at long"
+        )
+        firsts = self.kept(firsts, "firsts")
+        between = firsts.groupBy("wide", "e").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+        between = bounded_broadcast(self.scratch.keep(between.select("wide", "e"), "between"), BROADCAST_ROWS)
+        placed = self.scratch.keep(firsts.join(between, ["wide", "e"]), "placed")
         x = placed.select("wide", "e", *(F.col(c).alias(f"{c}_a") for c in ("node", "part", "s", "d", "at")))
         y = placed.select("wide", "e", *(F.col(c).alias(f"{c}_b") for c in ("node", "part", "s", "d", "at")))
-        need = f"(d_a + d_b - ((s_a + s_b) * {den - num}) div {den + num} + 1) div 2"
-        met = x.join(y, ["wide", "e"]).where(
-            f"part_a <> part_b and node_a < node_b and least(d_a - at_a, d_b - at_b) >= greatest(1, {need})"
-        )
+        need = F.expr(f"greatest(1, (d_a + d_b - ((s_a + s_b) * {den - num}) div {den + num} + 1) div 2)")
+        met = x.join(y, ["wide", "e"]).where("part_a <> part_b and node_a < node_b").withColumn("need", need)
+        # the first TOGETHER shared elements have `need` shared ones from them on, less those before them
+        met = met.where(f"least(d_a - at_a, d_b - at_b) > need - {TOGETHER}")
+        met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n"), F.max("need").alias("need"))
+        pairs = met.where(f"n >= least({TOGETHER}, need)").select("a", "b")
         seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         pairs = pairs.join(seen, ["a", "b"], "left_anti").withColumn("tree", F.lit(WHOLE))
         return direct.select("a", "b"), self.scratch.keep(pairs, "further")
 

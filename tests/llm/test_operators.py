@@ -129,6 +129,64 @@ def test_large_groups_are_exact(spark, monkeypatch, n, similarity, exchanged):
     assert len({r[2] for r in got}) > 5
 
 
+def test_of_large_groups_only_first_differences_are_listed(spark, monkeypatch):
+    rng, passage = np.random.default_rng(8), [f"p{i}" for i in range(60)]
+    rows = [" ".join(passage + [f"o{x}" for x in rng.integers(0, 10**6, 40)]) for _ in range(120)]
+    rows += [f"{r} end" for r in rows[:20]] + [r.replace("p30", "q") for r in rows[20:40]]
+    keep, seen = common.Scratch.keep, {}
+
+    def counted(scratch, df, name, **more):
+        out = keep(scratch, df, name, **more)
+        if name in ("diffs", "firsts", "further"):
+            seen[name] = out.selectExpr("sum(d)").first()[0] if name == "diffs" else out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    monkeypatch.setattr(ngram_join.Join, "cut", lambda self, open_: open_.select("a", "b", "shared"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.ngram_join(docs, 5, (80, 100)).collect())
+    assert got == components_by_all_pairs(rows, 5, 80, 100)
+    assert seen["diffs"] > 5000 and 0 < seen["firsts"] < 0.5 * seen["diffs"]
+    assert seen["further"] < 200  # of 9,730 pairs
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_linked_sets_have_first_differences_in_common(counted):
+    rule, rng = ngram_join.Rule(5, 80, 100), np.random.default_rng(9)
+    pivot, passage = rng.integers(0, 2**62, 90), rng.integers(0, 2**62, 60)
+    sets = []
+    for _ in range(60):
+        own = np.append(passage, rng.integers(0, 2**62, 80))
+        sets += [own, np.append(own[rng.random(140) < rng.uniform(0.8, 1)], rng.integers(0, 2**62, 9))]
+    apart = [np.setxor1d(x, pivot) for x in sets]
+    d = [len(x) for x in apart]
+    most = [(n + n * 100 // 80) * 20 // 180 for n in map(len, sets)]
+    least = [max(1, x - y) for x, y in zip(d, most, strict=True)]
+    e, n = np.unique(np.concatenate(apart), return_counts=True)
+    keys = ngram_join._element_keys(np.zeros(len(e), np.int64), e)
+    order = np.argsort(keys)
+    usual = (keys[order], n[order]) if counted else (keys[:0], n[:0])
+    columns = [[0] * len(d), range(len(d)), range(len(d)), map(len, sets), d, least]
+    batch = pa.RecordBatch.from_arrays(
+        [*(pa.array(list(c), pa.int64()) for c in columns), pa.array(apart, pa.list_(pa.int64()))],
+        names=["wide", "node", "part", "s", "d", "least", "apart"],
+    )
+    (found,) = ngram_join._firsts(iter([batch.slice(0, 50)]), *usual)
+    (rest,) = ngram_join._firsts(iter([batch.slice(50)]), *usual)
+    rows = found.to_pylist() + rest.to_pylist()
+    assert len(rows) < 0.5 * sum(d)
+    first = [{r["e"]: r["at"] for r in rows if r["node"] == i} for i in range(len(d))]
+    linked = 0
+    for i, j in combinations(range(len(d)), 2):
+        total = len(sets[i]) + len(sets[j])
+        if rule.linked(len(np.intersect1d(sets[i], sets[j])), total):
+            need = max(1, (d[i] + d[j] - rule.difference(total) + 1) // 2)
+            both = [c for c in first[i].keys() & first[j].keys() if min(d[i] - first[i][c], d[j] - first[j][c]) > need - ngram_join.TOGETHER]
+            assert len(both) >= min(need, ngram_join.TOGETHER)
+            linked += 1
+    assert linked > 20
+
+
 @pytest.mark.parametrize(("n", "similarity"), [(3, (90, 100)), (5, (80, 100)), (1, (60, 100))])
 def test_linked_sets_share_more_segments_than_both_may_leave_out(n, similarity):
     rule, rng, linked = ngram_join.Rule(n, *similarity), np.random.default_rng(5), 0
