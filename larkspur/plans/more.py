@@ -179,7 +179,7 @@ def _(spark, sf_dir):
     """SELECT p_partkey, o AS offset_, lang, concat_ws('&', CASE WHEN trim(t) <> '' THEN 'text=' || replace(url_encode(trim(t)), '%20', '+') END, CASE WHEN lang <> '' THEN 'language=' || lang END,
       CASE WHEN o > 0 THEN 'offset=' || o END) AS link, t <> '' OR lang <> '' AS filtered FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ' ' || p_name || ' ' ELSE '' END AS t,
       CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' ELSE '' END AS lang,
-      CAST(CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN p_partkey WHEN 2 THEN 1000000 ELSE 0 END AS BIGINT) AS o FROM part)""",
+      CAST(CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN least(p_partkey, 1000000) WHEN 2 THEN 1000000 ELSE 0 END AS BIGINT) AS o FROM part)""",
 )
 def _(spark, sf_dir):
     key, size = F.col("p_partkey"), F.col("p_size")
