@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import regions
 from larkspur.operators.tiles import SIDE, TILE, filtered, histogram, image_type, rows_of, span, taken, tile_schema
 from larkspur.operators.tiles import Window as Surroundings
+from larkspur.sources.batches import mapped
 from larkspur.sources.shared import Shared
 
 # Edge thresholds by the median, cells and clip limit of the equalisation.
@@ -99,7 +100,7 @@ def cell_size(h: int, w: int) -> tuple[int, int]:
 
 def _cell_counts(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, cells, levels_, ns, sizes = [], [], [], [], []
+        at, keys_, ns, sizes = [], [], [], []
         for i, (w, h, ty, tx, raw) in enumerate(rows_of(batch, "width", "height", "ty", "tx", "pixels")):
             (top, bottom), (left, right) = span(ty, h, side), span(tx, w, side)
             px = np.frombuffer(raw, np.uint8).reshape(bottom - top, right - left).astype(np.int64)
@@ -111,29 +112,30 @@ def _cell_counts(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.Re
             keys = cell * 256 + px[ys[y] - top][:, xs[x] - left]
             n = np.bincount(keys.ravel(), minlength=CELLS * CELLS * 256)
             met = np.flatnonzero(n)
-            at += [i] * len(met)
-            cells += (met // 256).tolist()
-            levels_ += (met % 256).tolist()
-            ns += n[met].tolist()
-            sizes += [ch * cw] * len(met)
-        ints = {"cell": cells, "level": levels_, "n": ns, "of": sizes}
-        yield taken(batch, at, **{k: pa.array(v, pa.int64()) for k, v in ints.items()})
+            at.append(np.full(len(met), i))
+            keys_.append(met)
+            ns.append(n[met])
+            sizes.append(np.full(len(met), ch * cw))
+        at, key, n, of = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, keys_, ns, sizes))
+        yield taken(batch, at, cell=pa.array(key // 256), level=pa.array(key % 256), n=pa.array(n), of=pa.array(of))
 
 
 def _curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each cell of an image the level that each level becomes: clipped counts summed up."""
     for batch in batches:
         out = []
-        for counts, of in rows_of(batch, "counts", "of"):
+        counts, sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("counts", "of"))
+        cell, level, many = (c.to_numpy() for c in counts.flatten().flatten())
+        ends = np.cumsum(counts.value_lengths().to_numpy())
+        for first, end, of in zip([0, *ends[:-1]], ends, sizes.to_pylist(), strict=True):
             n = np.zeros((CELLS * CELLS, 256), np.int64)
-            for c in counts:
-                n[c["cell"], c["level"]] = c["n"]
+            n[cell[first:end], level[first:end]] = many[first:end]
             limit = max(1, int(CLIP * of / 256))
             spare = np.maximum(0, n - limit).sum(1)
             n = np.minimum(n, limit) + (spare // 256)[:, None]
-            for cell, rest in enumerate((spare % 256).tolist()):
+            for k, rest in enumerate((spare % 256).tolist()):
                 if rest:
-                    n[cell, (np.arange(rest) * max(256 // rest, 1))] += 1
+                    n[k, (np.arange(rest) * max(256 // rest, 1))] += 1
             out.append(np.clip(np.rint(np.cumsum(n, axis=1) * (255 / of)), 0, 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["image", "curves"])
 
@@ -162,13 +164,11 @@ def equalised(tiles: DataFrame, side: int = SIDE) -> DataFrame:
     Counts by (cell, level) are summed up before an image's curves - 64 of 256 bytes - are made in one task.
     """
     kind = image_type(tiles)
-    counts = tiles.select(*TILE, "pixels").mapInArrow(lambda b: _cell_counts(b, side), f"image {kind}, cell long, level long, n long, of long")
+    counts = mapped(tiles.select(*TILE, "pixels"), lambda b: _cell_counts(b, side), f"image {kind}, cell long, level long, n long, of long")
     summed = counts.groupBy("image", "cell", "level").agg(F.sum("n").alias("n"), F.max("of").alias("of"))
     whole = summed.groupBy("image").agg(F.collect_list(F.struct("cell", "level", "n")).alias("counts"), F.max("of").alias("of"))
-    curves = whole.mapInArrow(_curves, f"image {kind}, curves binary")
-    return tiles.join(curves, "image").select(*TILE, "pixels", "curves").mapInArrow(
-        lambda b: _equalise(b, side), tile_schema(tiles, "pixels binary")
-    )
+    curves = mapped(whole, _curves, f"image {kind}, curves binary")
+    return mapped(tiles.join(curves, "image").select(*TILE, "pixels", "curves"), lambda b: _equalise(b, side), tile_schema(tiles, "pixels binary"))
 
 
 # -- the maps
@@ -197,7 +197,7 @@ def painted(labels: DataFrame, chosen: DataFrame, side: int = SIDE) -> DataFrame
     across = F.greatest(F.lit(1), F.floor(F.col("width") / side))
     numbered = labels.withColumn("tile", F.col("ty") * across + F.col("tx"))
     both = numbered.join(by_tile, ["image", "tile"], "left").select(*TILE, "labels", "local")
-    return both.mapInArrow(paint, tile_schema(labels, "pixels binary"))
+    return mapped(both, paint, tile_schema(labels, "pixels binary"))
 
 
 def edges(shaded: DataFrame, longest: int, side: int = SIDE) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.tiles import SIDE, Window, image_type, rows_of, stencil, taken
+from larkspur.sources.batches import mapped
 
 # Outlines are straightened to this part of their length, and kept if their area is in this band of the frame.
 TOLERANCE = 0.02
@@ -255,4 +256,4 @@ def shapes(tiles: DataFrame, tolerance: float = TOLERANCE, least: float = LEAST_
 
     ddl = f"image {kind}, outline long, hole boolean, width int, height int, contour_area double, " + ", ".join(f"{c} double" for c in corners)
     grouped = tile_chains(tiles, side).groupBy("image", "width", "height").agg(F.collect_list(F.struct("sides", "lengths", "following")).alias("parts"))
-    return grouped.mapInArrow(close, ddl)
+    return mapped(grouped, close, ddl)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.tiles import SIDE, TILE, count, image_type, rows_of, span, taken, tile_schema
+from larkspur.sources.batches import mapped
 from larkspur.sources.shared import Shared
 
 #: A region's number is its tile's times this plus its own in the tile.
@@ -92,7 +93,7 @@ def label_tiles(tiles: DataFrame, mask: Callable[[np.ndarray], np.ndarray], side
     """TILE columns, labels (32-bit integers), and of the regions of each tile: sizes, whether a pixel of at least
     `seeds` is in them, bounding boxes (top, left, bottom, right in a row) and the numbers along the four borders."""
     lists = "sizes array<long>, seeded array<boolean>, boxes array<long>, up array<long>, down array<long>, before array<long>, after array<long>"
-    return tiles.select(*TILE, "pixels").mapInArrow(lambda b: _label(b, mask, side, seeds), tile_schema(tiles, f"labels binary, {lists}"))
+    return mapped(tiles.select(*TILE, "pixels"), lambda b: _label(b, mask, side, seeds), tile_schema(tiles, f"labels binary, {lists}"))
 
 
 def seams(labels: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def region_roots(links: DataFrame, largest: int, fan: int = FAN) -> DataFrame:
         pairs = here.where("a <> b").groupBy("image", block("ay").alias("gy"), block("ax").alias("gx")).agg(
             F.collect_set(F.struct("a", "b")).alias("pairs")
         )
-        new = pairs.select("image", "pairs").mapInArrow(_group_roots, f"image {kind}, node long, root long")
+        new = mapped(pairs.select("image", "pairs"), _group_roots, f"image {kind}, node long, root long")
         if known is None:
             known = new
         else:  # what was known ends where the new roots do

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.tiles import SIDE, TILE, count, image_type, rows_of, span, taken, tile_schema
+from larkspur.sources.batches import mapped
 
 #: Fractions of a pixel in a bilinear weight.
 FRACTIONS = 32
@@ -88,11 +89,11 @@ def shrunk(tiles: DataFrame, width: Column, height: Column, side: int = SIDE) ->
     """
     sized = tiles.select(*TILE, "pixels", width.cast("int").alias("ow"), height.cast("int").alias("oh"))
     same = (F.col("ow") == F.col("width")) & (F.col("oh") == F.col("height"))
-    shares = sized.where(~same).mapInArrow(
-        lambda b: _shares(b, side), tile_schema(tiles, "sw int, sh int, y int, x int, rows int, cols int, sums binary")
+    shares = mapped(
+        sized.where(~same), lambda b: _shares(b, side), tile_schema(tiles, "sw int, sh int, y int, x int, rows int, cols int, sums binary")
     )
     grouped = shares.groupBy(*TILE, "sw", "sh").agg(F.collect_list(F.struct("y", "x", "rows", "cols", "sums")).alias("shares"))
-    made = grouped.mapInArrow(lambda b: _averaged(b, side), tile_schema(tiles, "pixels binary"))
+    made = mapped(grouped, lambda b: _averaged(b, side), tile_schema(tiles, "pixels binary"))
     return sized.where(same).select(*TILE, "pixels").unionByName(made)
 
 
@@ -191,10 +192,11 @@ def warped(tiles: DataFrame, maps: DataFrame, side: int = SIDE) -> DataFrame:
     """
     kind = image_type(tiles)
     dims = tiles.where("ty = 0 and tx = 0").select("image", "width", "height")
-    asked = maps.join(dims, "image").select("image", "width", "height", "ow", "oh", "matrix").mapInArrow(
-        lambda b: _wanted(b, side), f"image {kind}, ty int, tx int, oy int, ox int, ow int, oh int, matrix array<double>"
-    )
+    asked = mapped(
+        maps.join(dims, "image").select("image", "width", "height", "ow", "oh", "matrix"),
+        lambda b: _wanted(b, side), f"image {kind}, ty int, tx int, oy int, ox int, ow int, oh int, matrix array<double>",
+    )
     met = asked.join(tiles, ["image", "ty", "tx"]).select("image", "width", "height", "ty", "tx", "pixels", "ow", "oh", "oy", "ox", "matrix")
-    sums = met.mapInArrow(lambda b: _gathered(b, side), tile_schema(tiles, "sums binary"))
+    sums = mapped(met, lambda b: _gathered(b, side), tile_schema(tiles, "sums binary"))
     grouped = sums.groupBy(*TILE).agg(F.collect_list("sums").alias("sums"))
-    return grouped.mapInArrow(_weighed, tile_schema(tiles, "pixels binary"))
+    return mapped(grouped, _weighed, tile_schema(tiles, "pixels binary"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.sources.batches import mapped
+
 SIDE = 128
 TILE = ["image", "width", "height", "ty", "tx"]
 #: Weights of red, green and blue.
@@ -61,7 +63,7 @@ def grey_rows(rows: DataFrame) -> DataFrame:
                 out.append(((p @ GREY + (1 << 13)) >> 14).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["image", "width", "height", "y", "px"])
 
-    return rows.select("image", "width", "height", "y", "px").mapInArrow(mixed, f"image {image_type(rows)}, width int, height int, y int, px binary")
+    return mapped(rows.select("image", "width", "height", "y", "px"), mixed, f"image {image_type(rows)}, width int, height int, y int, px binary")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
@@ -96,11 +98,9 @@ def _assembled(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.Reco
 
 def from_rows(rows: DataFrame, side: int = SIDE) -> DataFrame:
     """The tile table of (image, width, height, y, px): a row of pixels each. Rows that are missing are black."""
-    cut = rows.select("image", "width", "height", "y", "px").mapInArrow(
-        lambda b: _slices(b, side), tile_schema(rows, "y int, px binary")
-    )
+    cut = mapped(rows.select("image", "width", "height", "y", "px"), lambda b: _slices(b, side), tile_schema(rows, "y int, px binary"))
     grouped = cut.groupBy(*TILE).agg(F.collect_list(F.struct("y", "px")).alias("lines"))  # at most 2 * side - 1 of them
-    return grouped.mapInArrow(lambda b: _assembled(b, side), tile_schema(rows, "pixels binary"))
+    return mapped(grouped, lambda b: _assembled(b, side), tile_schema(rows, "pixels binary"))
 
 
 def to_rows(tiles: DataFrame, side: int = SIDE) -> DataFrame:
@@ -196,11 +196,11 @@ def stencil(
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new], names=[*TILE, *columns])
 
     kept = "".join(f", {c} {tiles.schema[c].dataType.simpleString()}" for c in carry)
-    sent = tiles.select(*TILE, "pixels", *carry).mapInArrow(
-        lambda b: _strips(b, halo, side, carry), tile_schema(tiles, f"dy int, dx int, px binary{kept}")
+    sent = mapped(
+        tiles.select(*TILE, "pixels", *carry), lambda b: _strips(b, halo, side, carry), tile_schema(tiles, f"dy int, dx int, px binary{kept}")
     )
     grouped = sent.groupBy(*TILE, *carry).agg(F.collect_list(F.struct("dy", "dx", "px")).alias("strips"))
-    return grouped.mapInArrow(run, tile_schema(tiles, ddl))
+    return mapped(grouped, run, tile_schema(tiles, ddl))
 
 
 def filtered(
@@ -225,5 +225,5 @@ def histogram(tiles: DataFrame) -> DataFrame:
                 ns += n[met].tolist()
             yield taken(batch, at, level=pa.array(levels, pa.int32()), n=pa.array(ns, pa.int64()))
 
-    counts = tiles.select("image", "pixels").mapInArrow(counted, f"image {image_type(tiles)}, level int, n long")
+    counts = mapped(tiles.select("image", "pixels"), counted, f"image {image_type(tiles)}, level int, n long")
     return counts.groupBy("image", "level").agg(F.sum("n").alias("n"))

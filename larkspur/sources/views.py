@@ -141,27 +141,27 @@ def card_photos(spark: SparkSession, sf_dir: str, size: int = 125) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    from larkspur.sources.batches import mapped
+
+    y, x = np.mgrid[:size, :size]
+
     def draw(batches):
-        x, y = np.meshgrid(np.arange(size), np.arange(size))
         for batch in batches:
-            names, at, px = [], [], []
-            for row in batch.to_pylist():
-                corners = np.array([(row[f"x{i}"], row[f"y{i}"]) for i in range(1, 5)]) * size / 1000
-                side = np.roll(corners, -1, axis=0) - corners
-                inside = np.ones((size, size), bool)
-                for (cx, cy), (dx, dy) in zip(corners, side, strict=True):
-                    inside &= dx * (y - cy) - dy * (x - cx) >= 0
-                frame = np.where(inside, 200, 50 + (x * 7 + y * 13 + row["vec_id"]) % 11).astype(np.uint8)
-                names += [row["vec_id"]] * size
-                at += range(size)
-                px += [line.tobytes() for line in frame]
-            same = pa.array([size] * len(at), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), same, same, pa.array(at, pa.int32()), pa.array(px, pa.binary())],
-                names=["image", "width", "height", "y", "px"],
-            )
-
-    return quads(spark, sf_dir).mapInArrow(draw, "image long, width int, height int, y int, px binary")
+            ids, corners = batch.column(0).to_numpy(), np.stack([batch.column(c).to_numpy() for c in places], 1).reshape(-1, 4, 2) * size / 1000
+            side = np.roll(corners, -1, axis=1) - corners
+            inside = np.ones((len(ids), size, size), bool)
+            for k in range(4):
+                cx, cy, dx, dy = (c[:, None, None] for c in (*corners[:, k].T, *side[:, k].T))
+                inside &= dx * (y - cy) - dy * (x - cx) >= 0
+            px = np.where(inside, 200, 50 + (x * 7 + y * 13 + ids[:, None, None]) % 11).astype(np.uint8)
+            n = len(ids) * size
+            same, at = pa.array(np.full(n, size, np.int32)), pa.array(np.tile(np.arange(size, dtype=np.int32), len(ids)))
+            lines = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(px)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), same, same, at, lines], names=["image", "width", "height", "y", "px"])
+
+    places = [f"{c}{i}" for i in range(1, 5) for c in "xy"]
+    corners = quads(spark, sf_dir).select(F.col("vec_id").cast("long").alias("vec_id"), *places)
+    return mapped(corners, draw, "image long, width int, height int, y int, px binary", most=16 * 72)  # 16 photographs at once
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
