@@ -126,8 +126,9 @@ def _curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         counts, sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("counts", "of"))
         cell, level, many = (c.to_numpy() for c in counts.flatten().flatten())
-        ends = np.cumsum(counts.value_lengths().to_numpy())
-        for first, end, of in zip([0, *ends[:-1]], ends, sizes.to_pylist(), strict=True):
+        pairs = counts.value_lengths().to_numpy()
+        ends = np.cumsum(pairs)
+        for first, end, of in zip(ends - pairs, ends, sizes.to_pylist(), strict=True):
             n = np.zeros((CELLS * CELLS, 256), np.int64)
             n[cell[first:end], level[first:end]] = many[first:end]
             limit = max(1, int(CLIP * of / 256))

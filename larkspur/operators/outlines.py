@@ -28,19 +28,18 @@ def _sides(w: Window) -> tuple[np.ndarray, np.ndarray]:
     at a corner belong together.
     """
     height, width = w.frame
-    p = np.pad(w.around(w.pixels > 0, 1, "constant"), 0)
+    p = w.around(w.pixels > 0, 1, "constant")
     at = lambda dy, dx: p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx]
-    set_ = at(0, 0)
-    y, x = np.mgrid[w.top : w.top + w.shape[0], w.left : w.left + w.shape[1]]
-    number = lambda y, x, d: (y * width + x) * 4 + d
+    set_, flat, across = at(0, 0), p.ravel(), p.shape[1]
     own, following = [], []
     for d, ((ay, ax), (oy, ox)) in enumerate(zip(ALONG, OUTSIDE, strict=True)):
-        side = set_ & ~at(oy, ox)
-        left, ahead = at(ay + oy, ax + ox)[side], at(ay, ax)[side]
-        ys, xs = y[side], x[side]
-        turn_left = number(ys + ay + oy, xs + ax + ox, (d + 3) % 4)
-        straight, turn_right = number(ys + ay, xs + ax, d), number(ys, xs, (d + 1) % 4)
-        own.append(number(ys, xs, d))
+        y, x = np.nonzero(set_ & ~at(oy, ox))
+        place = (y + 1) * across + x + 1
+        left, ahead = flat[place + (ay + oy) * across + ax + ox], flat[place + ay * across + ax]
+        pixel = ((y + w.top) * width + x + w.left) * 4
+        turn_left = pixel + ((ay + oy) * width + ax + ox) * 4 + (d + 3) % 4
+        straight, turn_right = pixel + (ay * width + ax) * 4 + d, pixel + (d + 1) % 4
+        own.append(pixel + d)
         following.append(np.where(left, turn_left, np.where(ahead, straight, turn_right)))
     return np.concatenate(own), np.concatenate(following)
 

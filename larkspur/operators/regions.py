@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.tiles import SIDE, TILE, count, image_type, rows_of, span, taken, tile_schema
-from larkspur.sources.batches import mapped
+from larkspur.sources.batches import lists, mapped
 from larkspur.sources.shared import Shared
 
 #: A region's number is its tile's times this plus its own in the tile.
@@ -63,30 +63,44 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _label(batches: Iterator[pa.RecordBatch], mask: Callable[[np.ndarray], np.ndarray], side: int, seeds: int) -> Iterator[pa.RecordBatch]:
-    ints = pa.list_(pa.int64())
+    """Tiles of a batch are labelled together: one below the other with an empty row between, so that no region has two."""
     for batch in batches:
-        out = {c: [] for c in ("labels", "sizes", "seeded", "boxes", "up", "down", "before", "after")}
-        for w, h, ty, tx, raw in rows_of(batch, "width", "height", "ty", "tx", "pixels"):
-            (top, bottom), (left, right) = span(ty, h, side), span(tx, w, side)
-            px = np.frombuffer(raw, np.uint8).reshape(bottom - top, right - left)
-            labels, sizes = labelled(mask(px))
-            n = len(sizes)
-            y, x = np.nonzero(labels)
-            own = labels[y, x] - 1
-            box = np.tile(np.array([1 << 40, 1 << 40, -1, -1]), (n, 1))
-            for k, (v, pick) in enumerate(((y + top, np.minimum), (x + left, np.minimum), (y + top, np.maximum), (x + left, np.maximum))):
-                pick.at(box[:, k], own, v)
-            base = (ty * count(w, side) + tx) * NODE
-            edge = lambda line: np.where(line > 0, line + base, -1).tolist()  # noqa: E731, B023
-            out["labels"].append(labels.astype("<i4").tobytes())
-            out["sizes"].append(sizes.tolist())
-            out["seeded"].append((np.bincount(own[px[y, x] >= seeds], minlength=n) > 0).tolist())
-            out["boxes"].append(box.ravel().tolist())
-            for name, line in (("up", labels[0]), ("down", labels[-1]), ("before", labels[:, 0]), ("after", labels[:, -1])):
-                out[name].append(edge(line) if line.size else [])
-        kinds = {"labels": pa.binary(), "seeded": pa.list_(pa.bool_())}
-        new = [pa.array(v, kinds.get(c, ints)) for c, v in out.items()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new], names=[*TILE, *out])
+        places = [(*span(ty, h, side), *span(tx, w, side), ty * count(w, side) + tx) for w, h, ty, tx in rows_of(batch, *TILE[1:])]
+        first = np.cumsum([0, *(bottom - top + 1 for top, bottom, *_ in places)])
+        px = np.zeros((first[-1], max((right - left for _, _, left, right, _ in places), default=0)), np.uint8)
+        set_ = np.zeros(px.shape, bool)
+        boxes = [np.s_[at : at + bottom - top, : right - left] for at, (top, bottom, left, right, _) in zip(first[:-1].tolist(), places, strict=True)]
+        for here, (raw,) in zip(boxes, rows_of(batch, "pixels"), strict=True):
+            px[here] = np.frombuffer(raw, np.uint8).reshape(px[here].shape)
+            set_[here] = mask(px[here])
+        labels, sizes = labelled(set_)
+        n = len(sizes)
+        tile = np.repeat(np.arange(len(places)), np.diff(first))
+        y, x = np.nonzero(labels)
+        own = labels[y, x] - 1
+        top, left = (np.array([p[k] for p in places], np.int64) for k in (0, 2))
+        whose = np.zeros(n, np.int64)
+        whose[own] = tile[y]
+        box = np.tile(np.array([1 << 40, 1 << 40, -1, -1]), (n, 1))
+        ys, xs = y + (top - first[:-1])[tile[y]], x + left[tile[y]]
+        for k, (v, pick) in enumerate(((ys, np.minimum), (xs, np.minimum), (ys, np.maximum), (xs, np.maximum))):
+            pick.at(box[:, k], own, v)
+        many = np.bincount(whose, minlength=len(places))  # regions come in the order of their tiles
+        before = np.cumsum(many) - many
+        labels = np.where(labels > 0, labels - before[tile][:, None], 0).astype("<i4")
+        parts = [labels[here] for here in boxes]
+        seeded = np.bincount(own[px[y, x] >= seeds], minlength=n) > 0
+        borders = {}
+        for name, pick in (("up", np.s_[0]), ("down", np.s_[-1]), ("before", np.s_[:, 0]), ("after", np.s_[:, -1])):
+            lines = [p[pick] if p.size else p.ravel() for p in parts]
+            line = np.concatenate(lines) if lines else np.zeros(0, np.int64)
+            number = np.repeat(np.array([p[4] * NODE for p in places], np.int64), np.array([len(a) for a in lines], np.int64))
+            borders[name] = lists(np.where(line > 0, line + number, -1), [len(a) for a in lines])
+        out = {
+            "labels": pa.array([p.tobytes() for p in parts], pa.binary()), "sizes": lists(sizes, many), "seeded": lists(seeded, many),
+            "boxes": lists(box.ravel(), 4 * many), **borders,
+        }
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], *out.values()], names=[*TILE, *out])
 
 
 def label_tiles(tiles: DataFrame, mask: Callable[[np.ndarray], np.ndarray], side: int = SIDE, seeds: int = 256) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,12 +87,21 @@ def _slices(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordB
 
 def _assembled(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for w, h, ty, tx, lines in rows_of(batch, "width", "height", "ty", "tx", "lines"):
+        out, lines = [], batch.column(batch.schema.get_field_index("lines"))
+        n = lines.value_lengths().to_numpy()
+        ends = np.cumsum(n)
+        y, line = lines.flatten().flatten()
+        y, level = y.to_numpy(), np.frombuffer(b"".join(line.to_pylist()), np.uint8)
+        long = pc.binary_length(line).to_numpy()
+        at = 0
+        for w, h, ty, tx, first, end in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), ends - n, ends, strict=True):
             (top, bottom), (left, right) = span(ty, h, side), span(tx, w, side)
             px = np.zeros((bottom - top, right - left), np.uint8)
-            for line in lines:
-                px[line["y"] - top] = np.frombuffer(line["px"], np.uint8)
+            size = (end - first) * (right - left)
+            if (long[first:end] != right - left).any():
+                raise ValueError("a row of pixels must be as long as its image is wide")
+            px[y[first:end] - top] = level[at : at + size].reshape(end - first, right - left)
+            at += size
             out.append(px.tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=[*TILE, "pixels"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,11 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def lists(values: np.ndarray, lengths: np.ndarray | list[int]) -> pa.ListArray:
+    """Lists of so many of the values each, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(values))
+
+
 def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str, most: int = PIECE) -> DataFrame:
     """df.mapInArrow(each, ddl), batches bounded on both sides: `each` gives a batch for each piece that it gets."""
     bounded(df.sparkSession)
