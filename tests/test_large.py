@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import maps, tiles
+from larkspur.operators import maps, regions, tiles
 from larkspur.plans import registry
 from larkspur.sources import views
 
@@ -78,3 +78,17 @@ def test_curves_of_many_images_take_little_memory(spark, sf_dir, functions):
     tracemalloc.stop()
     assert n == images
     assert most <= 4 * MOST
+
+
+def many_tiles(n, side=64):
+    px = [np.full((side, side), 250 + k % 6, np.uint8).tobytes() for k in range(6)]
+    ints = [pa.array([v] * n, pa.int32()) for v in (side, side, 0, 0)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n)), *ints, pa.array([px[k % 6] for k in range(n)], pa.binary())], [*tiles.TILE, "pixels"])
+
+
+def test_regions_of_many_photographs_come_in_small_batches(spark, sf_dir, functions):
+    photos = tiles.from_rows(views.card_photos(spark, sf_dir), 48)
+    regions.label_tiles(photos, lambda px: px >= 250, 64)
+    found = list(functions[-1](iter([many_tiles(2000)])))
+    assert [len(s) for b in found for s in b.column(6).to_pylist()] == [1] * 2000
+    assert max(b.nbytes for b in found) <= MOST
