@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import maps, regions, tiles
+from larkspur.operators import maps, outlines, regions, tiles
 from larkspur.plans import registry
 from larkspur.sources import views
 
@@ -92,3 +92,17 @@ def test_regions_of_many_photographs_come_in_small_batches(spark, sf_dir, functi
     found = list(functions[-1](iter([many_tiles(2000)])))
     assert [len(s) for b in found for s in b.column(6).to_pylist()] == [1] * 2000
     assert max(b.nbytes for b in found) <= MOST
+
+
+def test_chains_of_many_photographs_come_in_small_batches(spark, sf_dir, functions):
+    outlines.tile_chains(tiles.from_rows(views.card_photos(spark, sf_dir), 48), 64)
+    sent, chained = functions[-2:]
+    strips = list(sent(iter([many_tiles(4000)])))
+    assert max(b.nbytes for b in strips) <= MOST
+    whole = pa.Table.from_batches(strips).combine_chunks()
+    parts = pa.StructArray.from_arrays([whole[c].chunk(0) for c in ("dy", "dx", "px")], ["dy", "dx", "px"])
+    each = pa.ListArray.from_arrays(pa.array(np.arange(whole.num_rows + 1, dtype=np.int32)), parts)
+    grouped = pa.RecordBatch.from_arrays([*(whole[c].chunk(0) for c in tiles.TILE), each], [*tiles.TILE, "strips"])
+    found = list(chained(iter([grouped])))
+    assert sum(b.num_rows for b in found) == 4000
+    assert max(b.nbytes for b in found) <= MOST
