@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Most rows and bytes of a batch that Spark hands to a task, and bytes of the pieces that a function gets of it.
-ROWS, BYTES = 512, 4 << 20
-PIECE = 1 << 20
+ROWS, BYTES = 512, 1 << 20
+PIECE = 1 << 18
 
 
 def bounded(spark: SparkSession) -> None:
@@ -41,6 +41,14 @@ def lists(values: np.ndarray, lengths: np.ndarray | list[int]) -> pa.ListArray:
 
 
 def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str, most: int = PIECE) -> DataFrame:
-    """df.mapInArrow(each, ddl), batches bounded on both sides: `each` gives a batch for each piece that it gets."""
+    """df.mapInArrow(each, ddl), batches bounded on both sides: `each` gives a batch for each piece that it gets.
+
+    A worker waits for its next task in between, so it gives back what it no longer uses.
+    """
     bounded(df.sparkSession)
-    return df.mapInArrow(lambda batches: each(pieces(batches, most)), ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(pieces(batches, most))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, ddl)
